@@ -5,7 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import crc_fold, cut, table
+
+
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_dedup
+
+    return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def toxicity_lexicon(spark: SparkSession, docs: DataFrame, sf_dir: str):
+    """Learned from the labelled rows of docs that are not held out."""
+    from .toxicity import learn_lexicon
+
+    labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & (crc_fold(F.col("doc_id"), 3) != 1)).select(
+        F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
+    labelled = docs.select(F.col("doc_id").alias("id"), "text").join(labels, "id")
+    return learn_lexicon(labelled)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, toxicity_lexicon(spark, docs, sf_dir))
+    return scored.select("doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "hits")
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import learn_network, predict_language
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = learn_network(docs.where(crc_fold(F.col("doc_id"), 5) != 0).select(F.col("doc_id").alias("id"), "text", "lang"))
+    found = predict_language(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_files import encode_documents
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)[1]
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +82,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP3_SQL = r"""
+WITH norm AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
+best AS (SELECT *, first_value(doc_id) OVER (PARTITION BY body ORDER BY points DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM norm)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM best
+"""
+
 OP10_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -70,8 +130,10 @@ FROM ranked r JOIN ends e ON r.source IS NOT DISTINCT FROM e.source
 
 
 def queries() -> dict:
-    return {"op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+    return {f.__name__: f for f in (
+        op1_ngram_join, op3_exact_dedup, op4_toxicity, op5_html_text, op7_language_id, op8_token_files, op9_sharding, op10_mixing,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op10_mixing": OP10_SQL}
