@@ -14,6 +14,12 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -131,7 +137,7 @@ FROM ranked r JOIN ends e ON r.source IS NOT DISTINCT FROM e.source
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_ngram_join, op3_exact_dedup, op4_toxicity, op5_html_text, op7_language_id, op8_token_files, op9_sharding, op10_mixing,
+        op1_ngram_join, op2_decontaminate, op3_exact_dedup, op4_toxicity, op5_html_text, op7_language_id, op8_token_files, op9_sharding, op10_mixing,
     )}
 
 
