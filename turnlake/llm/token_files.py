@@ -7,18 +7,20 @@ so that a filter on doc_id reads few pages and metadata is read without any toke
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path
 
-#: Words whose ids a Python worker keeps; when full, it starts anew.
-CACHED_WORDS = 400_000
+#: Pieces whose ids a Python worker keeps; when full, it starts anew.
+CACHED_WORDS = 300_000
 FILE_OPTIONS = {
     "compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true",
     "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000",
@@ -26,46 +28,67 @@ FILE_OPTIONS = {
 }
 
 
+#: What the tokenizer's pre-tokenizer splits by; a fixed value of the tokenizer file.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Beyond these characters, normalisation or lower case may take more than a character at a time.
+UNUSUAL = re.compile("[^\x01-\x1b\x20-\u012f\u0131-\u017f]|<\\|")
+RAW = "\0"
+
+
 class WordEncoder:
-    """Ids of whole texts from the library's ids of their words.
+    """Ids of whole texts from the library's ids of their pieces, each of which is encoded once.
 
-    Only for tokenizers whose pre-tokenizer never joins what white space parts, so that a text's ids are
-    those of its words, one after another; each word is encoded once.
+    For tokenizers that lower texts, split them by SPLIT and drop white space: ids of a text are those of
+    its pieces, one after another. Words with unusual characters go to the library as they are.
     """
 
     def __init__(self, path: str, cached: int = CACHED_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), cached
-        self.place: dict[str, int] = {}
         self._start()
 
     def _start(self) -> None:
-        self.place.clear()
-        self.ids: list[np.ndarray] = []
-        self.flat = self.lengths = self.starts = None
+        self.place: dict[str, int] = {}
+        self.flat, self.starts, self.used = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
+
+    def _learn(self, words: list[str]) -> None:
+        """Appends the ids of new words; starts[k] to starts[k + 1] are the k-th word's."""
+        for i in range(0, len(words), 2000):
+            part = words[i:i + 2000]
+            found = [self._ids(w) for w in part]
+            ids = np.fromiter((x for f in found for x in f), np.int32)
+            known = len(self.place)
+            if self.used + len(ids) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty(len(self.flat) + len(ids), np.int32)])
+            if known + len(part) + 1 > len(self.starts):
+                self.starts = np.concatenate([self.starts, np.zeros(len(self.starts) + len(part), np.int64)])
+            self.flat[self.used:self.used + len(ids)] = ids
+            self.starts[known + 1:known + 1 + len(part)] = self.used + np.cumsum([len(f) for f in found])
+            self.place.update(zip(part, range(known, known + len(part))))
+            self.used += len(ids)
+
+    def _ids(self, piece: str) -> list[int]:
+        if piece[0] == RAW:
+            return self.tokenizer.encode(piece[1:], add_special_tokens=False).ids
+        tokens = self.tokenizer.model.tokenize
+        if piece.isascii():
+            return [t.id for t in tokens(piece)]
+        return [t.id for shown, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece) for t in tokens(shown)]
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of all texts, end_id after each."""
         if len(self.place) > self.most:
             self._start()
-        words = [(t.split() if t.isascii() and not any(c in t for c in "\x1c\x1d\x1e\x1f") else _words(t)) for t in texts]
-        place = self.place
-        new = [w for w in dict.fromkeys(w for ws in words for w in ws if w not in place)]
-        if new or self.flat is None:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                place[w] = len(self.ids)
-                self.ids.append(np.asarray(e.ids, np.int32))
-            self.lengths = np.fromiter(map(len, self.ids), np.int64, len(self.ids))
-            self.starts = np.cumsum(self.lengths) - self.lengths
-            self.flat = np.concatenate(self.ids) if self.ids else np.empty(0, np.int32)
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.fromiter((place[w] for ws in words for w in ws), np.int64, int(counts.sum()))
-        n = self.lengths[at]
+        parts = [_words(t) for t in texts]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts))
+        words = [w for p in parts for w in p]
+        self._learn([w for w in dict.fromkeys(words) if w not in self.place])
+        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        n = self.starts[at + 1] - self.starts[at]
         inner = np.cumsum(n)
         total = int(inner[-1]) if len(inner) else 0
-        picked = np.arange(total) - np.repeat(inner - n, n) + np.repeat(self.starts[at], n)
-        body = self.flat[picked]
+        body = self.flat[np.arange(total) + np.repeat(self.starts[at] - (inner - n), n)]
         ends = np.concatenate([[0], inner])[np.cumsum(counts)]  # ids of all texts up to each, without end ids
         ids = np.insert(body, ends, np.int32(end_id)).astype(np.int32)
         offsets = np.concatenate([[0], ends + np.arange(1, len(texts) + 1)]).astype(np.int32)
@@ -73,20 +96,38 @@ class WordEncoder:
 
 
 def _words(text: str) -> list[str]:
-    for c in "\t\n\x0b\x0c\r":
-        text = text.replace(c, " ")
-    return [w for w in text.split(" ") if w]
-
-
-def _encode(path: str, end_id: int, step: int = 1000):
+    """The pieces of a text; a word with unusual characters is one piece, after RAW."""
+    if not UNUSUAL.search(text):
+        return SPLIT.findall(text.lower())
+    return [p for w in re.split(r"[\x20\x09-\x0D]+", text) if w for p in ([RAW + w] if UNUSUAL.search(w) else SPLIT.findall(w.lower()))]
+
+
+def pieces(texts: list[str | None], most: int) -> Iterator[list[str]]:
+    """Consecutive texts, most characters together or a single one."""
+    out, size = [], 0
+    for t in texts:
+        t = t or ""
+        if out and size + len(t) > most:
+            yield out
+            out, size = [], 0
+        out.append(t)
+        size += len(t)
+    if out:
+        yield out
+
+
+def _encode(path: str, end_id: int, most: int = 1 << 19, rows: int = 500):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path)
         for whole in batches:
-            for i in range(0, whole.num_rows, step):
-                batch = whole.slice(i, step)
-                offsets, ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()], end_id)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int64)), lists], ["doc_id", "n_tokens", "ids"])
+            for first in range(0, whole.num_rows, rows):
+                batch = whole.slice(first, rows)
+                at = 0
+                for texts in pieces(batch.column(1).to_pylist(), most):
+                    offsets, ids = encoder.encode(texts, end_id)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(np.diff(offsets).astype(np.int64)), lists], ["doc_id", "n_tokens", "ids"])
+                    at += len(texts)
 
     return run
 
@@ -124,8 +165,8 @@ def read_tokens(spark: SparkSession, path: str, first_id: int | None = None, las
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(2)
-        values, offsets = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
-        crcs = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
+        values, offsets = lists.values, lists.offsets.to_numpy()
+        crcs = [zlib.crc32(values[a:b].to_numpy().astype("<u4").tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "part", "n_tokens", "ids_crc32"])
 
 
