@@ -44,6 +44,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables in a folder of their own in the shared folder, for loops that cut their lineage each round."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.number = spark, new_path(spark, name), 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """The rows of df, written and read again; the path goes along as an attribute, for drop()."""
+        self.number += 1
+        path = f"{self.folder}/{self.number}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.scratch_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing reads any more."""
+        for t in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def crc_fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
