@@ -32,8 +32,7 @@ def toxicity_lexicon(spark: SparkSession, docs: DataFrame, sf_dir: str):
 
     labels = table(spark, sf_dir, "labels").where(F.col("toxic").isNotNull() & (crc_fold(F.col("doc_id"), 3) != 1)).select(
         F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic"))
-    labelled = docs.select(F.col("doc_id").alias("id"), "text").join(labels, "id")
-    return learn_lexicon(labelled)
+    return learn_lexicon(docs.select(F.col("doc_id").alias("id"), "text"), labels)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -130,12 +130,14 @@ def chosen_terms(rows: list, toxic: int, clean: int) -> dict[str, float]:
     return out
 
 
-def learn_lexicon(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, max_terms: int = 2000) -> Lexicon:
-    """labelled: (id, text, toxic). About sample_rows of each label are used, chosen by their hashed id."""
-    n = {r.toxic: r.n for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_terms: int = 2000) -> Lexicon:
+    """docs: (id, text); labels: (id, toxic). About sample_rows of each label are used, chosen by their
+    hashed id before any text is read: the chosen labels are few enough to broadcast."""
+    n = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, sample_rows / max(1, n.get(1, 0)))).otherwise(min(1.0, sample_rows / max(1, n.get(0, 0))))
     place = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20)
-    sample = cut(labelled.where(place < share).select("id", "text", "toxic"))
+    chosen = labels.where(place < share)
+    sample = cut(docs.select("id", "text").join(F.broadcast(chosen), "id").select("id", "text", "toxic"))
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
