@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import allocation  # noqa: F401
+from . import allocation, quality  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["plan_summary"](spark, sf_dir)
+    return QUERIES["quality_corpus_report"](spark, sf_dir)
 
 
 def queries() -> dict:
