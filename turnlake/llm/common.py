@@ -66,6 +66,24 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def maybe_among(df: DataFrame, id_col: str, ids: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """The rows of df whose id is among ids (one column), and a few others.
+
+    ids become one bitmap of hashed ids of `bits` bits, whatever their number, which is small enough to
+    broadcast; so other rows aren't shuffled to find out. With very many ids more others stay.
+    """
+    def place(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c.cast("long")), F.lit(bits))
+
+    at = place(F.col(ids.columns[0]))
+    bitmaps = ids.select(F.bitmap_bucket_number(at).alias("_bucket"), F.bitmap_bit_position(at).alias("_bit")).groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    own = place(F.col(id_col))
+    byte = F.conv(F.hex(F.substring("_map", (F.bitmap_bit_position(own) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = df.join(F.broadcast(bitmaps), F.bitmap_bucket_number(own) == F.col("_bucket"))
+    mask = F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (F.bitmap_bit_position(own) % 8).cast("int") + 1)
+    return joined.where(byte.bitwiseAND(mask) > 0).select(*df.columns)
+
+
 def crc_fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
