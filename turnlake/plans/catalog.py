@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import allocation, frame_grids, quality  # noqa: F401
+from . import allocation, evaluation, frame_grids, quality  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
