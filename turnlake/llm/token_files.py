@@ -8,12 +8,13 @@ so that a filter on doc_id reads few pages and metadata is read without any toke
 from __future__ import annotations
 
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +29,16 @@ FILE_OPTIONS = {
 }
 
 
-#: What the tokenizer's pre-tokenizer splits by; a fixed value of the tokenizer file.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Letters and digits up to U+017F, and what the tokenizer's pre-tokenizer splits by, spelt out for these;
+#: fixed values of Unicode and of the tokenizer file.
+LETTER, DIGIT = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", r"0-9\xb2\xb3\xb9\xbc-\xbe"
+SPLIT = re.compile(rf"[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{DIGIT}]|[^\s{LETTER}{DIGIT}]+")
 #: Beyond these characters, normalisation or lower case may take more than a character at a time.
 UNUSUAL = re.compile("[^\x01-\x1b\x20-\u012f\u0131-\u017f]|<\\|")
 RAW = "\0"
+#: Byte-level tokenizers show a byte as a printable character: itself where it is one, else the next from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SHOWN = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
 class WordEncoder:
@@ -46,6 +52,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), cached
+        self.tokenize = self.tokenizer.model.tokenize
         self._start()
 
     def _start(self) -> None:
@@ -71,10 +78,8 @@ class WordEncoder:
     def _ids(self, piece: str) -> list[int]:
         if piece[0] == RAW:
             return self.tokenizer.encode(piece[1:], add_special_tokens=False).ids
-        tokens = self.tokenizer.model.tokenize
-        if piece.isascii():
-            return [t.id for t in tokens(piece)]
-        return [t.id for shown, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece) for t in tokens(shown)]
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(SHOWN)
+        return [t.id for t in self.tokenize(shown)]
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of all texts, end_id after each."""
@@ -83,8 +88,11 @@ class WordEncoder:
         parts = [_words(t) for t in texts]
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
         words = [w for p in parts for w in p]
-        self._learn([w for w in dict.fromkeys(words) if w not in self.place])
-        at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+        found = list(map(self.place.get, words))
+        if None in found:
+            self._learn(list(dict.fromkeys(w for w, k in zip(words, found) if k is None)))
+            found = list(map(self.place.__getitem__, words))
+        at = np.fromiter(found, np.int64, len(found))
         n = self.starts[at + 1] - self.starts[at]
         inner = np.cumsum(n)
         total = int(inner[-1]) if len(inner) else 0
@@ -97,7 +105,8 @@ class WordEncoder:
 
 def _words(text: str) -> list[str]:
     """The pieces of a text; a word with unusual characters is one piece, after RAW."""
-    if not UNUSUAL.search(text):
+    usual = not any(x in text for x in ("<|", "\0", "\x1c", "\x1d", "\x1e", "\x1f")) if text.isascii() else not UNUSUAL.search(text)
+    if usual:
         return SPLIT.findall(text.lower())
     return [p for w in re.split(r"[\x20\x09-\x0D]+", text) if w for p in ([RAW + w] if UNUSUAL.search(w) else SPLIT.findall(w.lower()))]
 
@@ -116,9 +125,18 @@ def pieces(texts: list[str | None], most: int) -> Iterator[list[str]]:
         yield out
 
 
+def encoder_of(path: str) -> WordEncoder:
+    """The encoder that this process keeps from task to task."""
+    kept = sys.modules.setdefault("turnlake_kept", types.ModuleType("turnlake_kept")).__dict__.setdefault("encoders", {})
+    if path not in kept:
+        kept.clear()
+        kept[path] = WordEncoder(path)
+    return kept[path]
+
+
 def _encode(path: str, end_id: int, most: int = 1 << 19, rows: int = 500):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         for whole in batches:
             for first in range(0, whole.num_rows, rows):
                 batch = whole.slice(first, rows)
