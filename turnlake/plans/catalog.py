@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import allocation, audits, evaluation, frame_grids, logs, quality, storage  # noqa: F401
+from . import allocation, audits, evaluation, frame_grids, logs, quality, storage, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
