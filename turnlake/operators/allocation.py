@@ -9,12 +9,15 @@ from ..functions.exprs import half_even, md5_mod, ratio
 
 
 def build_plan(dims: DataFrame, total: int, silent_share: float = 0.35) -> DataFrame:
-    """Splits total over cells (behaviour, language, domain) with the shares b_share, l_share, d_share.
+    """Splits total over cells (behaviour, language, domain) with the shares k_share of the behaviour's kind,
+    b_share of the behaviour within it, l_share and d_share.
 
     Each level rounds half to even, the remainder of a cell goes to male, and of back-channels with two
     or more a share is silent. Cells without scenarios are left out.
     """
-    n = half_even(half_even(half_even(F.lit(float(total)) * F.col("b_share")) * F.col("l_share")) * F.col("d_share"))
+    n = half_even(F.lit(float(total)) * F.col("k_share"))
+    for share in ("b_share", "l_share", "d_share"):
+        n = half_even(n * F.col(share))
     cells = dims.withColumn("n", n)
     half = F.floor(F.col("n") / 2)
     by_gender = cells.withColumn("g", F.explode(F.array(

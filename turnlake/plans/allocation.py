@@ -5,26 +5,29 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_even, md5_mod
-from ..functions.vocab import BEHAVIOURS, DOMAINS, LANGUAGES
 from ..operators import allocation as A
 from ..sources.adapters import CALLS, MANIFEST, adapted, oracle
 from .registry import query
 
-#: Shares of the default plan's kinds (fixed values of this catalogue's example plan).
-B_SHARES = [0.08, 0.08, 0.12, 0.06, 0.06, 0.144, 0.096, 0.08, 0.1, 0.06, 0.06, 0.06]
-L_SHARES = [0.3, 0.26, 0.24, 0.1, 0.1]
-D_SHARES = [0.4, 0.35, 0.25]
+#: Shares of the default plan (fixed values): behaviours with their kind's share and their part of it.
+BEHAVIOUR_SHARES = [
+    ("endpoint_end", 0.24, 0.6), ("endpoint_hold", 0.24, 0.4), ("barge_real", 0.16, 0.5), ("barge_lookalike", 0.16, 0.5), ("backchannel", 0.12, 1.0),
+    ("overlap_comp", 0.12, 0.5), ("overlap_coop", 0.12, 0.5), ("incomplete_thinking", 0.10, 1.0), ("correction", 0.08, 1.0), ("silence_break", 0.06, 1.0),
+    ("prefetch", 0.06, 1.0), ("nonspeech_neg", 0.06, 1.0),
+]
+LANGUAGE_SHARES = [("hi", 0.30), ("en", 0.26), ("gu", 0.24), ("hi_en_native", 0.10), ("gu_en_native", 0.10)]
+DOMAIN_SHARES = [("sales", 0.40), ("bfsi_collections", 0.35), ("support", 0.25)]
 
 
-def _values(names: list[str], shares: list[float]) -> str:
-    return ", ".join(f"('{n}', {s}e0)" for n, s in zip(names, shares))
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}e0" for x in row) + ")" for row in rows)
 
 
-DIMS = f"""SELECT behaviour, language, domain, b_share, l_share, d_share
-  FROM (VALUES {_values(BEHAVIOURS, B_SHARES)}) AS b(behaviour, b_share) CROSS JOIN (VALUES {_values(LANGUAGES, L_SHARES)}) AS l(language, l_share)
-  CROSS JOIN (VALUES {_values(DOMAINS, D_SHARES)}) AS d(domain, d_share)"""
+DIMS = f"""SELECT behaviour, language, domain, k_share, b_share, l_share, d_share
+  FROM (VALUES {_values(BEHAVIOUR_SHARES)}) AS b(behaviour, k_share, b_share) CROSS JOIN (VALUES {_values(LANGUAGE_SHARES)}) AS l(language, l_share)
+  CROSS JOIN (VALUES {_values(DOMAIN_SHARES)}) AS d(domain, d_share)"""
 PLAN_SQL = f"""dims AS ({DIMS}),
-cells AS (SELECT *, CAST(round_even(CAST(round_even(CAST(round_even(9000e0 * b_share, 0) AS DOUBLE) * l_share, 0) AS DOUBLE) * d_share, 0) AS BIGINT) AS n FROM dims),
+cells AS (SELECT *, CAST(round_even(CAST(round_even(CAST(round_even(CAST(round_even(9000e0 * k_share, 0) AS DOUBLE) * b_share, 0) AS DOUBLE) * l_share, 0) AS DOUBLE) * d_share, 0) AS BIGINT) AS n FROM dims),
 gendered AS (SELECT behaviour, language, domain, 'female' AS gender, n // 2 AS c FROM cells UNION ALL SELECT behaviour, language, domain, 'male', n - n // 2 FROM cells),
 quiet AS (SELECT *, CASE WHEN behaviour = 'backchannel' AND c >= 2 THEN CAST(round_even(c * 0.35e0, 0) AS BIGINT) ELSE 0 END AS s FROM gendered),
 plan AS (SELECT behaviour, language, domain, gender, false AS force_silence, c - s AS count FROM quiet WHERE c - s > 0
