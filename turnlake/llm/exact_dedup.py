@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES
+from .common import SPACES, fresh
 from .patricia import SpillingTrie
 
 #: Bytes of trie that a task keeps in memory before it spills a subtree.
@@ -107,5 +107,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that own their text, with all their columns."""
-    keep = text_owners(docs, id_col, text_col).select(F.col("keep_id"))
-    return docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("keep_id")), "left_semi")
+    own = fresh(docs.columns, "owner_id")
+    keep = text_owners(docs, id_col, text_col).select(F.col("keep_id").alias(own))
+    return docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col(own)), "left_semi")
