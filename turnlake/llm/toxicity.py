@@ -25,6 +25,8 @@ from .common import cut
 
 #: Labelled rows of each label that the lexicon is learned from, in expectation.
 SAMPLE_ROWS = 4000
+#: Log odds from which a head of words is a term.
+LEAST_ODDS = 2.0
 #: Characters that are read as a letter. i, l, 1, | and ! form one class, written i.
 LOOKALIKES = {
     "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i",
@@ -72,24 +74,31 @@ class Lexicon:
 
         found = ahocorasick.Automaton()
         for term, w in self.weights.items():
-            found.add_word(" " + term, (len(term), w))
+            found.add_word(" " + term, (term, w))
         for phrase in self.exceptions:
-            found.add_word(" " + phrase, (len(phrase), None))
+            found.add_word(" " + phrase, (phrase, None))
         if len(found):
             found.make_automaton()
         return found
 
 
-def matches(folded: str, automaton) -> tuple[float, int]:
-    """Sum of weights and number of terms that no exception phrase covers."""
+def terms_in(folded: str, automaton) -> list[tuple[str, float]]:
+    """(term, weight) of every term that no exception phrase covers."""
     if not len(automaton):
-        return 0.0, 0
+        return []
     hits, spared = [], []
-    for end, (n, w) in automaton.iter(folded):
-        (hits if w is not None else spared).append((end - n, end, w))
-    if spared:
-        hits = [h for h in hits if not any(s[0] <= h[0] and h[1] <= s[1] for s in spared)]
-    return sum(h[2] for h in hits), len(hits)
+    for end, (term, w) in automaton.iter(folded):
+        if w is None:
+            spared.append((end - len(term), end))
+        else:
+            hits.append((end - len(term), end, term, w))
+    return [(h[2], h[3]) for h in hits if not any(s[0] <= h[0] and h[1] <= s[1] for s in spared)]
+
+
+def matches(folded: str, automaton) -> tuple[float, int]:
+    """Sum of weights and number of the terms of a text."""
+    found = terms_in(folded, automaton)
+    return sum(w for _, w in found), len(found)
 
 
 def density(weight: float, words: int) -> float:
@@ -116,13 +125,14 @@ def _head_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(((h, t, n) for (h, t), n in counts.items()), columns=["head", "toxic", "n"])
 
 
+def log_odds(t: int, c: int, toxic: int, clean: int) -> float:
+    """How much more often toxic texts hold what t of them and c clean ones hold."""
+    return math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
+
+
 def chosen_terms(rows: list, toxic: int, clean: int) -> dict[str, float]:
     """Of each chain of heads the one in most toxic texts, the longest of these; with its log odds."""
-    found = {}
-    for head, t, c in rows:
-        w = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
-        if w >= 2.0:
-            found[head] = (t, w)
+    found = {head: (t, log_odds(t, c, toxic, clean)) for head, t, c in rows}
     out = {}
     for head in sorted(found, key=lambda h: (-found[h][0], -len(h), h)):
         if not any(head.startswith(x) or x.startswith(head) for x in out):
@@ -146,15 +156,33 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     counts = sample.select("text", "toxic").mapInPandas(_head_counts, "head string, toxic int, n long").groupBy("head").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    rows = counts.where((F.col("t") >= least) & (odds >= 2.0)).orderBy(F.desc("t"), "head").limit(50 * max_terms).collect()
+    # Frequent heads stay for now even if clean texts hold them too: exception phrases may account for these.
+    rows = counts.where((F.col("t") >= least) & (odds >= F.when(F.col("t") >= 5 * least, 1.0).otherwise(LEAST_ODDS))).orderBy(F.desc("t"), "head").limit(50 * max_terms).collect()
     terms = dict(list(chosen_terms([(r.head, r.t, r.c) for r in rows], toxic, clean).items())[:max_terms])
     lexicon = Lexicon(terms)
     lexicon.exceptions = learn_exceptions(sample, lexicon)
+    held = sample.select("text", "toxic").mapInPandas(_term_counts(lexicon), "head string, toxic int, n long").groupBy("head").agg(
+        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")).collect()
+    weights = {r["head"]: log_odds(r.t, r.c, toxic, clean) for r in held}
+    lexicon.weights = {k: round(weights[k], 6) for k in terms if weights.get(k, 0) >= LEAST_ODDS}
+    lexicon.exceptions = [p for p in lexicon.exceptions if any(k in p for k in lexicon.weights)]
     scored = sample.select("id", "text", "toxic").mapInPandas(_densities(lexicon), "x double, toxic int").toPandas()
     lexicon.slope, lexicon.bias = fit_logistic(scored["x"].to_numpy(), scored["toxic"].to_numpy())
     return lexicon
 
 
+def _term_counts(lexicon: Lexicon):
+    """Texts of each label that hold a term outside exception phrases."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton, counts = lexicon.automaton(), Counter()
+        for b in batches:
+            for text, toxic in zip(b["text"], b["toxic"]):
+                counts.update({(term, toxic) for term, _ in terms_in(fold(text or ""), automaton)})
+        yield pd.DataFrame(((h, t, n) for (h, t), n in counts.items()), columns=["head", "toxic", "n"])
+
+    return run
+
+
 def _phrases(lexicon: Lexicon):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()
@@ -162,8 +190,8 @@ def _phrases(lexicon: Lexicon):
             out = set()
             for i, text, toxic in zip(b["id"], b["text"], b["toxic"]):
                 folded = fold(text or "")
-                for end, (n, _) in automaton.iter(folded) if len(automaton) else ():
-                    start = end - n
+                for end, (term, _) in automaton.iter(folded) if len(automaton) else ():
+                    start = end - len(term)
                     stop = folded.find(" ", end + 1)
                     word = folded[start + 1:stop if stop >= 0 else None]
                     before, after = folded[:start].rsplit(" ", 1)[-1], folded[start + 1 + len(word):].split(" ", 2)[1:2]
