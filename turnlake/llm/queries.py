@@ -49,6 +49,12 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import learn_network, predict_language
 
@@ -136,7 +142,7 @@ FROM ranked r JOIN ends e ON r.source IS NOT DISTINCT FROM e.source
 
 def queries() -> dict:
     return {f.__name__: f for f in (
-        op1_ngram_join, op2_decontaminate, op3_exact_dedup, op4_toxicity, op5_html_text, op7_language_id, op8_token_files, op9_sharding, op10_mixing,
+        op1_ngram_join, op2_decontaminate, op3_exact_dedup, op4_toxicity, op5_html_text, op6_licenses, op7_language_id, op8_token_files, op9_sharding, op10_mixing,
     )}
 
 
