@@ -139,19 +139,24 @@ def places_of(own: np.ndarray, words: np.ndarray, template: list[int], least: fl
     """
     m = len(template)
     need, span = -int(-least * m // 1), m + m // 2 + 2
-    out, k, free = [], 0, 0
+    out: list[tuple[float, int, int]] = []
     if len(own) < need:
         return out
-    starts = np.flatnonzero(own[need - 1:] - own[:len(own) - need + 1] < span)
-    for k in starts.tolist():
-        first = int(own[k])
-        if first < free:
-            continue
-        last = min(len(words), first + span)
-        pairs = patience(template, words[first:last].tolist())
-        if len(pairs) >= least * m:
-            out.append((len(pairs) / m, first + pairs[0][1], first + pairs[-1][1]))
-            free = first + pairs[-1][1] + 1
+    starts = own[:len(own) - need + 1][own[need - 1:] - own[:len(own) - need + 1] < span].tolist()
+    k = 0
+    while k < len(starts):
+        best, group = None, starts[k]
+        # a stray word may come before the place: of the starts within one span, the best alignment counts
+        while k < len(starts) and starts[k] < group + span and not (best and best[0] == m):
+            first = starts[k]
+            pairs = patience(template, words[first:min(len(words), first + span)].tolist())
+            if len(pairs) >= least * m and (best is None or len(pairs) > best[0]):
+                best = (len(pairs), first + pairs[0][1], first + pairs[-1][1])
+            k += 1
+        if best:
+            out.append((best[0] / m, best[1], best[2]))
+            while k < len(starts) and starts[k] <= best[2]:
+                k += 1
     return out
 
 
