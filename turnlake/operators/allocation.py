@@ -106,3 +106,9 @@ def random_split(df: DataFrame, key: str, seed: str, train: float, validation: f
     first, second = F.floor(F.col("n") * train), F.floor(F.col("n") * validation)
     split = F.when(F.col("place") < first, "train").when(F.col("place") < first + second, "val").otherwise("test")
     return ranked.withColumn("split", split).drop("h", "bucket", "inner", "start", "n", "place")
+
+
+def prompt() -> Column:
+    """What a plan's row asks of a writer."""
+    end = F.when(F.col("force_silence"), "; the right answer is silence.").otherwise(".")
+    return F.format_string("Write %d %s dialogues in %s for %s, caller %s%s", "count", "behaviour", "language", "domain", "gender", end)

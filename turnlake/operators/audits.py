@@ -76,3 +76,13 @@ def speaking_rates(frames: DataFrame, clip: str, value: str) -> DataFrame:
 def verdict(rate, events, total):
     """What a corpus' label rates tell."""
     return F.when((rate < 0.02) | (rate > 0.98), "degenerate").when(events == 0, "missing").when((events < 500) | (events / total < 0.005), "rare").otherwise("fine")
+
+
+def topup_hours(short: DataFrame, seconds_a_clip: float = 22.0, least: float = 0.1) -> DataFrame:
+    """One row: hours to generate so that the largest deficit goes, least at least."""
+    return short.agg(F.round(F.greatest(F.lit(least), F.coalesce(F.max("short"), F.lit(0)) * seconds_a_clip / 3600), 6).alias("hours"))
+
+
+def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """n rows in the order of their key's MD5: a sample that is the same at each run."""
+    return rows.orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(n)

@@ -127,3 +127,11 @@ def class_weights(counts: DataFrame, power: float = 0.5, least: float = 0.25, mo
     full = raw.withColumn("w", F.coalesce("w", F.max("w").over(every)))
     scaled = full.withColumn("w", F.greatest(F.lit(least), F.least(F.lit(most), F.col("w") / F.avg("w").over(every))))
     return scaled.select("flag", "n", (F.col("w") / F.avg("w").over(every)).alias("weight"))
+
+
+def moving_average(rows: DataFrame, group: str, order: list[str], value: str, keep: float = 0.9) -> DataFrame:
+    """(group, ema): each value moves the average by 1 - keep, starting from the first. A group is one run's steps."""
+    values = F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda x: x[value].cast("double"))
+    steps = rows.groupBy(group).agg(values.alias("v"))
+    fold = F.aggregate(F.slice("v", 2, F.greatest(F.lit(1), F.size("v"))), F.get("v", F.lit(0)), lambda a, x: keep * a + (1 - keep) * x)
+    return steps.select(group, fold.alias("ema"))

@@ -127,3 +127,10 @@ def plan_batches(spark, sf_dir):
 
     jobs = adapted(spark, sf_dir, CALLS).groupBy("job_key").agg(F.count(F.lit(1)).alias("n"))
     return jobs.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("job_key")) - 1) / 4))
+
+
+@query(f"""WITH {PLAN_SQL} SELECT {KEY_SQL} AS job_key, 'Write ' || count || ' ' || behaviour || ' dialogues in ' || language || ' for ' || domain || ', caller ' || gender ||
+CASE WHEN force_silence THEN '; the right answer is silence.' ELSE '.' END AS prompt FROM plan""")
+def plan_prompts(spark, sf_dir):
+    keyed = A.partition_plan(_plan(spark), 8)
+    return keyed.select("job_key", A.prompt().alias("prompt"))

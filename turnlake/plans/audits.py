@@ -76,3 +76,13 @@ def audit_hours_by_band(spark, d):
     return rows.rollup("band").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("rendered").alias("rendered"), F.round(F.sum(F.when(F.col("rendered"), real).otherwise(0.0)), 4).alias("real_s"),
         F.round(F.sum(F.when(F.col("rendered"), real).otherwise(F.greatest(F.lit(1.0), F.col("n_chars") / 6.0) / 2.2)), 4).alias("projected_s")).withColumn("band", F.coalesce("band", F.lit("total")))
+
+
+@query(f"WITH {SHORT} SELECT round(greatest(0.1e0, coalesce(max(short), 0) * 22e0 / 3600), 6) AS hours FROM sh")
+def audit_topup_hours(spark, d):
+    return A.topup_hours(A.deficits(_cover(spark, d), 200))
+
+
+@query("SELECT doc_id, quality FROM labels ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 50")
+def audit_judge_sample(spark, d):
+    return A.hash_sample(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality"), "doc_id", 50)

@@ -119,3 +119,9 @@ def eval_class_weights(spark, d):
 def eval_validation_rollup(spark, d):
     batches = _frames(spark, d).groupBy("clip").agg(F.avg("value").alias("m"), F.count_if((F.col("flag") == 1) & (F.col("pred") == 1)).alias("tp"), F.count_if(F.col("pred") == 1).alias("p"), F.count_if(F.col("flag") == 1).alias("t"))
     return batches.agg(F.round(F.avg("m"), 6).alias("loss"), F.round(2 * F.sum("tp") / (F.sum("p") + F.sum("t")), 8).alias("vad_f1"), F.sum("p").alias("predicted"), F.sum("t").alias("truth"))
+
+
+@query(f"WITH f AS ({FR}) SELECT clip, round(list_reduce(list(CAST(value AS DOUBLE) ORDER BY frame), lambda a, x: 0.9e0 * a + (1 - 0.9e0) * x), 6) AS ema FROM f WHERE frame < 50 GROUP BY clip")
+def eval_moving_average(spark, d):
+    early = _frames(spark, d).where("frame < 50")
+    return E.moving_average(early, "clip", ["frame"], "value").select("clip", F.round("ema", 6).alias("ema"))

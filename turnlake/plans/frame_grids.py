@@ -156,3 +156,10 @@ SELECT clip, CAST(frame AS INT) AS frame, round(ln(sqrt(p + 1e-9) + 1e-6), 5) AS
 def vad_frame_energy(spark, d):
     rows = V.frame_energy(adapted(spark, d, FRAMES), "clip", "frame", "value", 16)
     return rows.select("clip", "frame", F.round("energy", 5).alias("energy"))
+
+
+@query(f"WITH s AS ({S}), {SPANS} SELECT scenario_id, CAST(i AS INT) AS i, word, CAST(start_char AS BIGINT) AS start_char, CAST(end_char AS BIGINT) AS end_char FROM sp")
+def frames_word_spans(spark, d):
+    flat = adapted(spark, d, SCENARIOS).select("scenario_id", F.trim(F.regexp_replace("user_text", r"(?U)\s+", " ")).alias("flat"))
+    rows = G.word_spans(flat, "scenario_id", "flat").select("scenario_id", F.explode("words").alias("w"))
+    return rows.select("scenario_id", "w.i", F.col("w.text").alias("word"), "w.start_char", "w.end_char")
