@@ -2,6 +2,9 @@
 
 import itertools
 import random
+from collections import Counter
+
+import numpy as np
 
 from turnlake.llm import licenses as S
 
@@ -28,6 +31,19 @@ def test_patience_aligns_equal_words():
     assert S.patience(words, words) == [(k, k) for k in range(50)]
 
 
+def test_most_aligned_against_brute_force():
+    rng = random.Random(1)
+    for _ in range(200):
+        template = [rng.randrange(8) for _ in range(rng.randrange(2, 9))]
+        texts = [[rng.randrange(12) for _ in range(rng.randrange(0, 40))] for _ in range(3)]
+        offsets, words = np.cumsum([0] + [len(t) for t in texts]), np.array(sum(texts, []), np.int64)
+        counts, span = np.bincount(template, minlength=12), S.span_of(len(template))
+        own = np.flatnonzero(counts[words] > 0)
+        text = np.searchsorted(offsets, own, "right") - 1
+        found = S.most_aligned(own, words[own], offsets[text], counts, span)
+        assert found.tolist() == [sum((Counter(words[s:min(offsets[t + 1], s + span)].tolist()) & Counter(template)).values()) for s, t in zip(own, text)]
+
+
 def test_scan(spark):
     rng = random.Random(8)
     filler = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))

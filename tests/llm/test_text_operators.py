@@ -214,6 +214,17 @@ def test_subsequence():
         assert D.common_subsequence(np.array(a), np.array(b)) == lcs(a, b)
 
 
+def test_half_sums_against_brute_force():
+    rng = np.random.default_rng(4)
+    lengths = np.array([0, 1, 16, 17, 0, 50, 2000, 0])
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    at = rng.integers(0, D.BUCKETS, offsets[-1])
+    table = D.with_zero(rng.integers(0, 9, (D.BUCKETS, 5)).astype(np.float32))
+    first, last, text = D.halves_of(offsets)
+    found = D.half_sums(table, D.half_words(at, first, last), rows=7)
+    assert found.tolist() == [table[at[a:b]].sum(0).tolist() for a, b in zip(first, last)] and text.tolist() == sorted(text.tolist())
+
+
 @pytest.fixture(scope="module")
 def leaky():
     rng = random.Random(7)

@@ -3,8 +3,8 @@
 A text's words and a license's are aligned on words that are unique in both: the longest increasing
 subsequence of their places gives the anchors, the gaps between anchors are aligned in the same way,
 and a gap without anchors by its longest common subsequence. A license is found where its aligned words
-cover enough of it. Only spans that hold as many of a license's words as that takes are aligned; no
-other span could reach the coverage. Where places of several licenses overlap, the one with most aligned
+cover enough of it. Only spans that hold as many of a license's words as that takes, each as often as
+the license does at most, are aligned; no other span could reach the coverage. Where places of several licenses overlap, the one with most aligned
 words stays: a notice of version 3 isn't one of version 2 as well.
 """
 
@@ -131,27 +131,46 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def places_of(own: np.ndarray, words: np.ndarray, template: list[int], least: float) -> list[tuple[float, int, int]]:
+def span_of(size: int) -> int:
+    """Words that a place of a template spans at most: half as many again as the template has, and two."""
+    return size + size // 2 + 2
+
+
+def most_aligned(own: np.ndarray, kind: np.ndarray, begin: np.ndarray, counts: np.ndarray, span: int) -> np.ndarray:
+    """For each place in own, how many words of the template can be aligned within the span from there.
+
+    own: ascending places of the template's words; kind: which word each is; begin: where its text begins;
+    counts: how often the template holds each word. A word counts as often as both hold it, so a place
+    counts for the starts after its word's counts-th place before it.
+    """
+    order = np.argsort(kind, kind="stable")
+    k, p = kind[order], own[order]
+    before = np.arange(len(p)) - counts[k]
+    same = (before >= 0) & (k[before] == k)
+    first = np.maximum(np.where(same, p[before], -1), np.maximum(p - span, begin[order] - 1)) + 1
+    change = np.bincount(np.searchsorted(own, first), minlength=len(own) + 1)
+    change[1:] -= 1  # each place counts up to the start that it is itself
+    return np.cumsum(change[:-1])
+
+
+def places_of(starts: list[int], most: list[int], words: np.ndarray, template: list[int], least: float) -> list[tuple[float, int, int]]:
     """(coverage, first word, last word) of each place of a template.
 
-    own: ascending places of the template's words in the text. A place spans at most half as many words
-    again as the template has, and two.
+    starts: ascending places where enough of the template's words follow within its span; most: how many
+    of them can be aligned.
     """
-    m = len(template)
-    need, span = -int(-least * m // 1), m + m // 2 + 2
+    m, span = len(template), span_of(len(template))
     out: list[tuple[float, int, int]] = []
-    if len(own) < need:
-        return out
-    starts = own[:len(own) - need + 1][own[need - 1:] - own[:len(own) - need + 1] < span].tolist()
     k = 0
     while k < len(starts):
         best, group = None, starts[k]
         # a stray word may come before the place: of the starts within one span, the best alignment counts
         while k < len(starts) and starts[k] < group + span and not (best and best[0] == m):
             first = starts[k]
-            pairs = patience(template, words[first:min(len(words), first + span)].tolist())
-            if len(pairs) >= least * m and (best is None or len(pairs) > best[0]):
-                best = (len(pairs), first + pairs[0][1], first + pairs[-1][1])
+            if best is None or most[k] > best[0]:
+                pairs = patience(template, words[first:min(len(words), first + span)].tolist())
+                if len(pairs) >= least * m and (best is None or len(pairs) > best[0]):
+                    best = (len(pairs), first + pairs[0][1], first + pairs[-1][1])
             k += 1
         if best:
             out.append((best[0] / m, best[1], best[2]))
@@ -176,7 +195,7 @@ def apart(found: list[tuple[int, str, float, int, int]]) -> list[tuple[int, str,
 def _scan(templates: dict[str, list[int]], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unique(np.array([w for t in templates.values() for w in t] or [0], np.uint64))
-        member = {name: np.isin(known, np.array(t, np.uint64)) for name, t in templates.items() if t}
+        counts = {name: np.bincount(np.searchsorted(known, np.array(t, np.uint64)), minlength=len(known)) for name, t in templates.items() if t}
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), []
             for base, texts in groups_of(batch.column(1).to_pylist(), 1 << 20):
@@ -188,18 +207,16 @@ def _scan(templates: dict[str, list[int]], least: float):
                 of = at[hits]
                 text_of = np.searchsorted(offsets, hits, "right") - 1
                 places: dict[int, list] = {}
-                for name, mask in member.items():
-                    chosen = mask[of]
-                    own, texts_own = hits[chosen], text_of[chosen]
+                for name, count in counts.items():
                     size = len(templates[name])
-                    need = -int(-least * size // 1)
-                    # so many of its words within the span, in one text
-                    if len(own) < need:
-                        continue
-                    close = (own[need - 1:] - own[:len(own) - need + 1] < size + size // 2 + 2) & (texts_own[need - 1:] == texts_own[:len(own) - need + 1])
-                    for t in np.unique(texts_own[:len(own) - need + 1][close]).tolist():
-                        a, b = np.searchsorted(texts_own, [t, t + 1])
-                        found = places_of(own[a:b] - offsets[t], words[offsets[t]:offsets[t + 1]], templates[name], least)
+                    chosen = count[of] > 0
+                    own, text = hits[chosen], text_of[chosen]
+                    most = most_aligned(own, of[chosen], offsets[text], count, span_of(size))
+                    enough = np.flatnonzero(most >= least * size)
+                    own, text, most = own[enough], text[enough], most[enough]
+                    for t in np.unique(text).tolist():
+                        a, b = np.searchsorted(text, [t, t + 1])
+                        found = places_of((own[a:b] - offsets[t]).tolist(), most[a:b].tolist(), words[offsets[t]:offsets[t + 1]], templates[name], least)
                         places.setdefault(t, []).extend((round(c * size), name, c, first, last) for c, first, last in found)
                 for t in sorted(places):
                     kept: dict[str, list] = {}
