@@ -37,10 +37,11 @@ def resume_done_meter(spark, d):
     return docs.join(labels, "doc_id", "left_semi").agg(F.count(F.lit(1)).alias("done"), F.sum("n_chars").alias("chars"))
 
 
-@query(f"WITH r AS ({R}) SELECT id, status, CASE WHEN status = 'ok' AND id % 4 = 0 THEN chars + 1000 ELSE chars END AS chars FROM r")
+@query(f"WITH r AS ({R}) SELECT id, status, CASE WHEN status = 'ok' AND duration_s > 20 THEN chars + 1000 ELSE chars END AS chars FROM r")
 def storage_correct(spark, d):
-    rows = adapted(spark, d, RENDERS).select("id", "status", "chars")
-    fixes = rows.where("id % 4 = 0").select("id", (F.col("chars") + 1000).alias("new_value"))
+    renders = adapted(spark, d, RENDERS)
+    rows = renders.select("id", "status", "chars")
+    fixes = renders.where("duration_s > 20").select("id", (F.col("chars") + 1000).alias("new_value"))
     return W.corrected(rows, fixes, "id", "chars").select("id", "status", "chars")
 
 
@@ -56,10 +57,10 @@ def storage_pack(spark, d):
 
 
 @query(f"""WITH s AS ({S}) SELECT scenario_id, CASE WHEN l.doc_id IS NOT NULL THEN 'encoded' WHEN d.doc_id IS NOT NULL THEN 'words' ELSE 'estimate' END AS timing FROM s
-LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id < 60) d ON d.doc_id = conv_id LEFT JOIN labels l ON l.doc_id = conv_id""")
+LEFT JOIN (SELECT doc_id FROM documents WHERE lang = 'en') d ON d.doc_id = conv_id LEFT JOIN labels l ON l.doc_id = conv_id""")
 def join_sidecars(spark, d):
     docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
-    words = docs.where("doc_id < 60").select(F.col("doc_id").alias("conv_id"), (F.col("n_chars") / 100.0).alias("duration_s"))
+    words = docs.where("lang = 'en'").select(F.col("doc_id").alias("conv_id"), (F.col("n_chars") / 100.0).alias("duration_s"))
     encoded = labels.select(F.col("doc_id").alias("conv_id"), F.col("quality").alias("frames"))
     return W.joined_sidecars(adapted(spark, d, SCENARIOS), words, encoded, "conv_id").select("scenario_id", "timing")
 
