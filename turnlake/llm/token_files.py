@@ -12,6 +12,7 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,18 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SHOWN = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
 
+class Places(dict):
+    """Numbers words as they come; new are those that came since it was last emptied, in their order."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        place = self[word] = len(self)
+        self.new.append(word)
+        return place
+
+
 class WordEncoder:
     """Ids of whole texts from the library's ids of their pieces, each of which is encoded once.
 
@@ -56,7 +69,7 @@ class WordEncoder:
         self._start()
 
     def _start(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place, self.known = Places(), 0
         self.flat, self.starts, self.used = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
 
     def _learn(self, words: list[str]) -> None:
@@ -65,14 +78,14 @@ class WordEncoder:
             part = words[i:i + 2000]
             found = [self._ids(w) for w in part]
             ids = np.fromiter((x for f in found for x in f), np.int32)
-            known = len(self.place)
+            known = self.known
             if self.used + len(ids) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.empty(len(self.flat) + len(ids), np.int32)])
             if known + len(part) + 1 > len(self.starts):
                 self.starts = np.concatenate([self.starts, np.zeros(len(self.starts) + len(part), np.int64)])
             self.flat[self.used:self.used + len(ids)] = ids
             self.starts[known + 1:known + 1 + len(part)] = self.used + np.cumsum([len(f) for f in found])
-            self.place.update(zip(part, range(known, known + len(part))))
+            self.known += len(part)
             self.used += len(ids)
 
     def _ids(self, piece: str) -> list[int]:
@@ -87,12 +100,14 @@ class WordEncoder:
             self._start()
         parts = [_words(t) for t in texts]
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        words = [w for p in parts for w in p]
-        found = list(map(self.place.get, words))
-        if None in found:
-            self._learn(list(dict.fromkeys(w for w, k in zip(words, found) if k is None)))
-            found = list(map(self.place.__getitem__, words))
-        at = np.fromiter(found, np.int64, len(found))
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
+        if self.place.new:
+            try:
+                self._learn(self.place.new)
+            except BaseException:
+                self._start()  # numbers without ids must not stay for this process's next task
+                raise
+            self.place.new = []
         n = self.starts[at + 1] - self.starts[at]
         inner = np.cumsum(n)
         total = int(inner[-1]) if len(inner) else 0
