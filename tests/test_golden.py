@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from turnlake.functions.exprs import half_even, md5_mod, rank_floor, script_ok, word_count
 from turnlake.functions.vocab import FLAGS
+from turnlake.operators import evaluation as E
 from turnlake.operators import frames as G
 from turnlake.operators import quality as Q
 from turnlake.plans.catalog import queries
@@ -87,3 +88,24 @@ def test_json_lines(spark, tmp_path):
 
 def test_vocabulary():
     assert FLAGS.index("BARGE_HARD") == 5 and len(FLAGS) == 11
+
+
+def test_moving_average_needs_no_list(spark):
+    """The fold over a long run, from sums that need no run in one row; a null leaves no average."""
+    values = [(7 * k) % 101 - 50.0 for k in range(3000)]
+    rows = spark.createDataFrame([("a", k, v) for k, v in enumerate(values)] + [("b", 0, 4.0), ("c", 0, 1.0), ("c", 1, None)], "run string, step int, x double")
+    found = E.moving_average(rows, "run", ["step"], "x")
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    want = values[0]
+    for v in values[1:]:
+        want = 0.9 * want + (1 - 0.9) * v
+    got = {r.run: r.ema for r in found.collect()}
+    assert abs(got["a"] - want) < 1e-9 and got["b"] == 4.0 and got["c"] is None
+
+
+def test_whole_clips(spark):
+    """Registered over whole clips too, beside the queries of the first 40 and 50 frames."""
+    folder = "/root/testdata/sf0.001"
+    every = spark.read.parquet(f"{folder}/events.parquet").count()
+    assert queries()["eval_best_checkpoint_whole"](spark, folder).count() == every
+    assert queries()["eval_moving_average_whole"](spark, folder).count() == queries()["eval_moving_average"](spark, folder).count()

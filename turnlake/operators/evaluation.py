@@ -130,8 +130,11 @@ def class_weights(counts: DataFrame, power: float = 0.5, least: float = 0.25, mo
 
 
 def moving_average(rows: DataFrame, group: str, order: list[str], value: str, keep: float = 0.9) -> DataFrame:
-    """(group, ema): each value moves the average by 1 - keep, starting from the first. A group is one run's steps."""
-    values = F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda x: x[value].cast("double"))
-    steps = rows.groupBy(group).agg(values.alias("v"))
-    fold = F.aggregate(F.slice("v", 2, F.greatest(F.lit(1), F.size("v"))), F.get("v", F.lit(0)), lambda a, x: keep * a + (1 - keep) * x)
-    return steps.select(group, fold.alias("ema"))
+    """(group, ema): each value moves the average by 1 - keep, starting from the first. A group is one run's steps.
+
+    A value's weight follows from the number of values after it, so the average is a sum with partial sums; a null makes it null.
+    """
+    w = Window.partitionBy(group).orderBy(*[F.desc(c) for c in dict.fromkeys([*order, value])])
+    placed = rows.select(group, F.col(value).cast("double").alias("x"), (F.row_number().over(w) - 1).alias("after"), F.lead(F.lit(1)).over(w).isNull().alias("first"))
+    weight = F.pow(F.lit(keep), F.col("after")) * F.when(F.col("first"), 1.0).otherwise(1 - keep)
+    return placed.groupBy(group).agg(F.when(F.count("x") == F.count(F.lit(1)), F.sum(weight * F.col("x"))).alias("ema"))

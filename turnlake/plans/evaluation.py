@@ -98,6 +98,14 @@ def eval_best_checkpoint(spark, d):
     return E.best_so_far(early, "clip", "frame", "value").select("clip", "frame", F.round("best", 6).alias("best"), "improved", "stale")
 
 
+@query(f"""WITH f AS ({FR}), b AS (SELECT clip, frame, value, coalesce(value < min(value) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved,
+min(value) OVER (PARTITION BY clip ORDER BY frame) AS best FROM f)
+SELECT clip, frame, round(best, 6) AS best, improved, frame - max(CASE WHEN improved THEN frame END) OVER (PARTITION BY clip ORDER BY frame) AS stale FROM b""")
+def eval_best_checkpoint_whole(spark, d):
+    """eval_best_checkpoint over all frames of each clip."""
+    return E.best_so_far(_frames(spark, d), "clip", "frame", "value").select("clip", "frame", F.round("best", 6).alias("best"), "improved", "stale")
+
+
 @query(f"""WITH f AS (SELECT (event_id % 97 + 1) / 99e0 AS p, flag, valid, clip FROM ({FR}))
 SELECT round(avg(pow(1 - p, 2) * -ln(p) * 0.25e0), 8) AS focal, round(avg(-(flag % 2 * ln(p) + (1 - flag % 2) * ln(1 - p))), 8) AS bce, round(exp(avg(-ln(p))), 8) AS perplexity FROM f WHERE valid""")
 def eval_losses(spark, d):
@@ -125,3 +133,9 @@ def eval_validation_rollup(spark, d):
 def eval_moving_average(spark, d):
     early = _frames(spark, d).where("frame < 50")
     return E.moving_average(early, "clip", ["frame"], "value").select("clip", F.round("ema", 6).alias("ema"))
+
+
+@query(f"WITH f AS ({FR}) SELECT clip, round(list_reduce(list(CAST(value AS DOUBLE) ORDER BY frame), lambda a, x: 0.9e0 * a + (1 - 0.9e0) * x), 6) AS ema FROM f GROUP BY clip")
+def eval_moving_average_whole(spark, d):
+    """eval_moving_average over all frames of each clip."""
+    return E.moving_average(_frames(spark, d), "clip", ["frame"], "value").select("clip", F.round("ema", 6).alias("ema"))
