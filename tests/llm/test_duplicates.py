@@ -107,6 +107,20 @@ def test_large_group(spark, monkeypatch):
     assert [by[i] for i in range(len(texts))] == brute(texts)
 
 
+@pytest.mark.parametrize("block", [16, 256])
+def test_links_of_a_large_group(spark, monkeypatch, block):
+    """n_links counts every similar row, also of pairs that share no hub, once, in one block and in several."""
+    monkeypatch.setattr(N, "BLOCK", block)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = [changed(rng, base, rng.randrange(1, 6)) for _ in range(120)]
+    texts += texts[:7] + texts[:3]
+    grams = [frozenset(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    want = [sum(len(a & b) >= 0.8 * len(a | b) for b in grams) - 1 for a in grams]
+    found = {r.doc_id: r.n_links for r in N.near_duplicates(spark.createDataFrame(rows_of(texts), SCHEMA)).collect()}
+    assert [found[i] for i in range(len(texts))] == want
+
+
 def test_bands():
     bands, rows = N.bands_for(0.8, 0.999)
     assert 1 - (1 - 0.8 ** rows) ** bands >= 0.999 and bands * rows <= 64 and rows >= 4

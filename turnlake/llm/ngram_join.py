@@ -4,9 +4,10 @@ Rows with equal sets of word five-grams form a set, which the join handles once.
 signature, cut into bands whose number and width are chosen for a target recall. Sets that share a band
 meet at a hub: the set of the band that shares most bands overall. Every other set is verified against
 the hub on full five-gram sets, so the links of a large group grow with its size, not with its square.
-Links join sets to classes. Where a band then still holds sets of several classes, these are compared
-in blocks, by one matrix product of their shared five-grams; only links that join two classes come out
-of a block. A link that is not listed thus joins two sets of one class.
+Links join sets to classes. The sets of each band are then compared in blocks, by one matrix product of
+their shared five-grams. Out of a block come the numbers of rows that each set is similar to, each pair
+counted at its first shared band, and only those links that join two classes: no list of pairs is built.
+Where numbers aren't asked for, only bands that still hold several classes are compared.
 """
 
 from __future__ import annotations
@@ -118,11 +119,16 @@ def intersections(grams: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out
 
 
-def joining_links(ids: list[int], classes: list[int], grams: list[np.ndarray], similarity: float) -> list[tuple[int, int, float]]:
-    """Similar pairs of different classes, as many as it takes to join the classes that any such pair joins."""
-    sizes = np.array([len(g) for g in grams], np.float32)
-    common = intersections(grams)
+def similar(grams: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(Jaccard similarities of all pairs, which of them reach the similarity, each pair once)."""
+    sizes = np.array([len(g) for g in grams], np.float64)
+    common = intersections(grams).astype(np.float64)
     found = common / np.maximum(sizes[:, None] + sizes[None, :] - common, 1)
+    return found, np.triu(found >= similarity, 1)
+
+
+def joining_links(ids: list[int], classes: list[int], found: np.ndarray, alike: np.ndarray) -> list[tuple[int, int, float]]:
+    """Similar pairs of different classes, as many as it takes to join the classes that any such pair joins."""
     kind = np.array(classes)
     head = {c: c for c in classes}
 
@@ -133,7 +139,7 @@ def joining_links(ids: list[int], classes: list[int], grams: list[np.ndarray], s
         return c
 
     out = []
-    for i, j in zip(*np.nonzero(np.triu((found >= similarity - 1e-6) & (kind[:, None] != kind[None, :]), 1))):
+    for i, j in zip(*np.nonzero(alike & (kind[:, None] != kind[None, :]))):
         a, b = top(classes[i]), top(classes[j])
         if a != b:
             head[max(a, b)] = min(a, b)
@@ -141,50 +147,86 @@ def joining_links(ids: list[int], classes: list[int], grams: list[np.ndarray], s
     return out
 
 
-def _block_links(n: int, similarity: float):
-    """Rows (band, i, j, id, class_id, text) with those of a block together -> (a, b, similarity)."""
+def similar_rows(alike: np.ndarray, copies: list[int], bands: list[list[int]], at: int, parts: list[int]) -> np.ndarray:
+    """For each set, the rows of the sets similar to it that the pair's block counts: sets of two parts, where
+    there are two, that share no band before the one of number at."""
+    counted, part = alike.copy(), np.array(parts)
+    if part.min() < part.max():
+        counted &= part[:, None] != part[None, :]
+    keys = np.array([b[:at] for b in bands], np.int64).reshape(len(bands), at)
+    i, j = np.nonzero(counted)
+    for k in range(at):
+        apart = keys[i, k] != keys[j, k]
+        i, j = i[apart], j[apart]
+    weight = np.array(copies, np.int64)
+    out = np.zeros(len(copies), np.int64)
+    np.add.at(out, i, weight[j])
+    np.add.at(out, j, weight[i])
+    return out
+
+
+def _block_links(n: int, similarity: float, counted: bool):
+    """Rows (band, at, i, j, own, id, class_id, copies, bands, text) with those of a block together -> links
+    (a, b, similarity, null) and, if counted, numbers (a, null, null, rows similar to a)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, classes, texts = None, [], [], []
-        out: list[tuple[int, int, float]] = []
+        key, rows = None, []
+        out: list[tuple] = []
 
         def finish() -> None:
-            if len(set(classes)) > 1:
-                words, offsets = hashed_words([(t or "").lower().encode("utf-8", "replace") for t in texts], SPACED)
-                grams, offsets = shingles(words, offsets, n)
-                out.extend(joining_links(ids, classes, [set_of(grams[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], similarity))
-
-        def found() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+            if len(rows) < 2:
+                return
+            parts, ids, classes, copies, bands, texts = map(list, zip(*rows))
+            if not counted and len(set(classes)) < 2:
+                return
+            words, offsets = hashed_words([(t or "").lower().encode("utf-8", "replace") for t in texts], SPACED)
+            grams, offsets = shingles(words, offsets, n)
+            found, alike = similar([set_of(grams[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], similarity)
+            out.extend((*link, None) for link in joining_links(ids, classes, found, alike))
+            if counted:
+                linked = similar_rows(alike, copies, bands, key[1], parts).tolist()
+                out.extend((i, None, None, m) for i, m in zip(ids, linked) if m)
+
+        def collected() -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["a", "b", "similarity", "linked"])
 
         for batch in batches:
-            for *own, i, c, text in zip(*(x.to_pylist() for x in batch.columns)):
-                if own != key:
+            for band, at, i, j, *row in zip(*(x.to_pylist() for x in batch.columns)):
+                if (band, at, i, j) != key:
                     finish()
-                    key, ids, classes, texts = own, [], [], []
-                ids.append(i)
-                classes.append(c)
-                texts.append(text)
-            yield found()
+                    key, rows = (band, at, i, j), []
+                rows.append(row)
+            yield collected()
             out = []
         finish()
-        yield found()
+        yield collected()
 
     return run
 
 
-def block_links(rows: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(a, b, similarity) between the rows (band, id, class_id) of each band that are of different classes.
+def block_links(rows: DataFrame, texts: DataFrame, n: int, similarity: float, counted: bool) -> DataFrame:
+    """(a, b, similarity, linked) of the rows (band, at, id, class_id, copies, bands) of each band: links between
+    those of different classes, and, if counted, rows with b null for the rows similar to a.
 
     A band's rows are dealt to blocks of about BLOCK by hashed id, and each two blocks are compared in a
     group of their own, so that no task holds a band as a whole.
     """
-    sizes = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = rows.groupBy("band", "at").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, ["band", "at"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select("id", "class_id", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    full = dealt.join(texts, "id").select("band", "i", "j", "id", "class_id", "text")
-    together = full.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "id")
-    return together.mapInArrow(_block_links(n, similarity), "a long, b long, similarity double")
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    full = dealt.join(texts, "id").select("band", "at", "i", "j", "own", "id", "class_id", "copies", "bands", "text")
+    together = full.repartition("band", "at", "i", "j").sortWithinPartitions("band", "at", "i", "j", "id")
+    return together.mapInArrow(_block_links(n, similarity, counted), "a long, b long, similarity double, linked long")
+
+
+def unlike_bands(placed: DataFrame) -> DataFrame:
+    """(band, at) of the bands in placed (id, band, at), of those with the same sets only the first: what such
+    bands hold is compared once. Sets are told by their number and two sums of hashed ids."""
+    own = placed.groupBy("band", "at").agg(
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit("bands"))).alias("y"), F.min("id").alias("least"))
+    first = F.min(F.struct("at", "band")).alias("first")
+    return own.groupBy("size", "x", "y", "least").agg(first).select("first.band", "first.at")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -212,11 +254,13 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 def jaccard_join(
     docs: DataFrame, n: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text",
+    counted: bool = True,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members, sets, links) of the join of docs with itself.
+    """(members, sets, linked) of the join of docs with itself.
 
     members (id, set_id): each row with words; set_id is the smallest id with the same n-grams. sets
-    (id, copies, class_id). links (a, b, similarity): verified pairs of sets.
+    (id, copies, class_id). linked (a, linked): the rows of other sets that are similar to a's and share a
+    band with it; empty unless counted.
     """
     bands, rows = bands_for(similarity, recall)
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -225,11 +269,11 @@ def jaccard_join(
     members = signed.join(sets.select("name", F.col("id").alias("set_id")), "name").select("id", "set_id")
 
     scratch = Scratch(docs.sparkSession, "ngram-join")
-    placed = sets.select("id", "n", F.explode("bands").alias("band"))
+    placed = sets.select("id", "n", F.posexplode("bands").alias("at", "band"))
     shared = placed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    live = scratch.table(placed.join(shared, "band").select("id", "n", "band", "size"))
+    live = scratch.table(placed.join(shared, "band").select("id", "n", "at", "band", "size"))
     central = live.groupBy("id").agg(F.sum("size").alias("score"))
-    live = scratch.table(live.join(central, "id").select("id", "n", "band", "score"))
+    live = scratch.table(live.join(central, "id").select("id", "n", "at", "band", "score"))
     # Texts of sets that share a band, once a set.
     texts = scratch.table(maybe_among(source, "id", live.select("id")).groupBy("id").agg(F.min("text").alias("text")))
 
@@ -245,35 +289,37 @@ def jaccard_join(
     classes = ids.join(components(to_hubs, scratch), "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
     classes = scratch.table(classes)
 
-    at = live.select("id", "band").join(classes, "id")
-    several = at.groupBy("band").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).where("least < most")
-    between = scratch.table(block_links(at.join(several.select("band"), "band"), texts, n, similarity).groupBy("a", "b").agg(F.max("similarity").alias("similarity")))
+    at = live.select("id", "at", "band").join(classes, "id")
+    if counted:
+        compared = unlike_bands(live)
+    else:
+        compared = at.groupBy("band", "at").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).where("least < most").select("band", "at")
+    sides = at.join(compared, ["band", "at"]).join(sets.select("id", "copies", "bands"), "id")
+    out = scratch.table(block_links(sides, texts, n, similarity, counted))
+    linked = out.where("b is null").groupBy("a").agg(F.sum("linked").alias("linked"))
+    between = scratch.table(out.where("b is not null").select("a", "b").distinct())
     of = classes.select(F.col("id"), F.col("class_id").alias("class"))
     joined = between.join(of.withColumnRenamed("id", "a"), "a").withColumnRenamed("class", "class_a").join(of.withColumnRenamed("id", "b"), "b")
     merged = components(joined.select(F.col("class_a").alias("a"), F.col("class").alias("b")).distinct(), scratch)
     renamed = merged.select(F.col("id").alias("class_id"), F.col("class_id").alias("new_class"))
     classes = scratch.table(classes.join(renamed, "class_id", "left").select("id", F.coalesce("new_class", "class_id").alias("class_id")))
-    links = to_hubs.union(between)
     ends = sets.select("id", "copies").join(classes, "id", "left").select("id", "copies", F.coalesce("class_id", "id").alias("class_id"))
-    return members, ends, links
+    return members, ends, linked
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(id, set_id, class_id, copies, n_links), one row for each row of docs.
 
     class_id is the smallest id of the row's class, set_id of the rows with the same n-grams, copies
-    their number; n_links counts rows: the other copies, and those of the sets that a listed link joins
-    to this one. Any two rows whose similarity is reached are in one class.
+    their number; n_links counts rows: the other copies, and those of all sets whose similarity to this one
+    is reached. Any two rows whose similarity is reached are in one class.
 
     Defined results: rows without words (null, empty, blank) are alone in their class, with no links;
     texts of fewer than n words have one n-gram, of all their words; a null id has null ids and no
     links; rows that repeat an id and text count as copies; an empty table gives an empty one; other
     columns are ignored.
     """
-    members, sets, links = jaccard_join(docs, n, similarity, RECALL, id_col, text_col)
-    sizes = sets.select("id", "copies")
-    both = links.select("a", "b").union(links.select("b", "a")).distinct()
-    linked = both.join(sizes.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.sum("copies").alias("linked"))
+    members, sets, linked = jaccard_join(docs, n, similarity, RECALL, id_col, text_col)
     facts = sets.join(linked, sets["id"] == linked["a"], "left").select(
         F.col("id").alias("set_id"), "class_id", "copies", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
     worded = members.join(facts, "set_id").select("id", "set_id", "class_id", "copies", "n_links")
@@ -284,7 +330,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is their class's smallest, with all their columns; rows without an id stay."""
-    members, sets, _ = jaccard_join(docs, id_col=id_col, text_col=text_col)
+    members, sets, _ = jaccard_join(docs, id_col=id_col, text_col=text_col, counted=False)
     owners = sets.select(F.col("id").alias("set_id"), "class_id")
     gone = fresh(docs.columns, "copy_id")
     others = members.join(owners, "set_id").where("id != class_id").select(F.col("id").alias(gone))
