@@ -257,6 +257,36 @@ def test_leaks(spark, leaky):
     assert D.find_leaks(none, benchmark).count() == 0 and D.find_leaks(frame, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_short_paraphrases(spark):
+    """Items of 8 to 15 words with changed, dropped and inserted words, against all items word by word."""
+    rng = random.Random(5)
+    vocabulary = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ru", "te") for b in ("ban", "dor", "fel", "gim", "sut") for c in "aeiou"]
+    common = ["the", "of", "and", "in", "to", "a", "is", "it"]
+
+    def words(n):
+        return [rng.choice(common) if rng.random() < 0.4 else rng.choice(vocabulary) + rng.choice(vocabulary) for _ in range(n)]
+
+    items = [(k, words(8 + k % 8)) for k in range(40)]
+    docs = []
+    for n in range(240):
+        own = list(items[n % 40][1])
+        for _ in range(len(own) // 5):
+            at = rng.randrange(len(own))
+            own[at:at + 1] = [words(1), [], [own[at], *words(1)]][n % 3]
+        docs.append((n, " ".join(words(rng.randrange(20, 90)) + own + words(rng.randrange(20, 90)))))
+    docs += [(1000 + n, " ".join(words(150))) for n in range(100)]
+    hashed = D.item_parts([(k, " ".join(w)) for k, w in items])
+    want = set()
+    for d, text in docs:
+        own = D.hashed_words([text.encode()], D.LETTERS)[0]
+        want |= {(d, k) for k, w, a in zip(hashed.ids, hashed.words, hashed.answers) if D.is_leak(*D.close_coverage(w, a, own), len(w))}
+    assert sum(d < 1000 and k == d % 40 for d, k in want) >= 230 and len(want) < 250
+    frame, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in D.find_leaks(frame, benchmark).collect()}
+    print("recall", len(want & found), "of", len(want))
+    assert found <= want and len(want & found) >= 0.95 * len(want)
+
+
 def test_search_recall_on_documents(spark):
     """Against all items word by word: nothing that holds eight words of an item in a row, and most of it, is missed."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
