@@ -16,12 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import Scratch, fresh
 
 SEED = "pareto-1"
 BUCKETS = 4096
-#: Up to so many sources, the table of cuts is broadcast; beyond, it is joined by shuffling.
-BROADCAST_SOURCES = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -74,32 +72,32 @@ def pareto_mix(
 
     Defined results: a null source is a source of its own and comes last; a null size is 0; documents
     of size 0 take 0 words; rows that repeat an id share its random number and are taken or left
-    together; an empty table gives an empty one. Columns of docs that are called as the added ones are
+    together, whatever their sizes; an empty table gives an empty one. Columns of docs that are called as the added ones are
     replaced, other columns are kept.
     """
     added = ["size", "source_size", "target", "copies", "taken"]
     kept = [c for c in docs.columns if c not in added]
     clash = fresh(docs.columns, "own_size")
     sized = docs.withColumn(clash, F.coalesce(size, F.lit(0)).cast("long")).drop(*added).withColumnRenamed(clash, "size")
-    rows = cut(sized.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), "size"))
+    scratch = Scratch(docs.sparkSession, "mixing")
+    rows = scratch.table(sized.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), "size"))
 
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    goals = cut(
+    # Tables of one row a source: Spark broadcasts them while their files are small, by its own limit.
+    goals = scratch.table(
         source_targets(per_source, most)
         .withColumn("whole", F.floor(ratio).cast("long"))
         .withColumn("missing", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
         .withColumn("share", F.when(F.col("source_size") > 0, F.col("missing") / F.col("source_size")).otherwise(0.0))
         .withColumn("mean", F.greatest(F.lit(1.0), F.col("source_size") / F.col("n")))
     )
-    few = goals.count() <= BROADCAST_SOURCES
-    small = F.broadcast if few else (lambda x: x)
 
     def bucket_of(rank: Column) -> Column:
         return F.least(F.floor(rank * buckets), F.lit(buckets - 1)).cast("int")
 
     ranked = (
-        rows.join(small(goals.withColumnRenamed("source", "g_source")), F.col("source").eqNullSafe(F.col("g_source")))
+        rows.join(goals.withColumnRenamed("source", "g_source"), F.col("source").eqNullSafe(F.col("g_source")))
         .withColumn("rank", _rank(F.col("size"), F.col("id"), F.col("share"), F.col("mean")))
         .select("id", "source", "size", "missing", "rank", bucket_of(F.col("rank")).alias("bucket"))
     )
@@ -108,25 +106,24 @@ def pareto_mix(
         ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
         .withColumn("before", F.sum("words").over(upto) - F.col("words"))
         .where((F.col("before") < F.col("missing")) & (F.col("before") + F.col("words") >= F.col("missing")))
-        .select("source", "bucket", "before")
+        .select(F.col("source").alias("c_source"), F.col("bucket").alias("c_bucket"), "before")
     )
-    crossing = cut(crossing)  # one row a source at most
-    c = crossing.select(F.col("source").alias("c_source"), F.col("bucket").alias("c_bucket"), "before")
-    inside = ranked.join(small(c), ranked["source"].eqNullSafe(c["c_source"]) & (ranked["bucket"] == c["c_bucket"]))
+    c = scratch.table(crossing)  # one row a source at most
+    inside = ranked.join(c, ranked["source"].eqNullSafe(c["c_source"]) & (ranked["bucket"] == c["c_bucket"]))
+    # Rows of equal rank and id are taken or left together.
     steps = Window.partitionBy("source").orderBy("rank", "id").rangeBetween(Window.unboundedPreceding, 0)
     off = F.abs(F.col("before") + F.sum("size").over(steps) - F.col("missing"))
     last = (
         inside.withColumn("off", off)
-        .groupBy("source").agg(F.min(F.struct("off", "rank", "id")).alias("best"), F.first(F.col("missing") - F.col("before")).alias("none_off"))
-        .select(F.col("source").alias("l_source"), F.when(F.col("best.off") < F.col("none_off"), F.struct("best.rank", "best.id")).alias("last"))
+        .groupBy("source", "c_bucket").agg(F.min(F.struct("off", "rank", "id")).alias("best"), F.first(F.col("missing") - F.col("before")).alias("none_off"))
+        .select(F.col("source").alias("l_source"), "c_bucket", F.when(F.col("best.off") < F.col("none_off"), F.struct("best.rank", "best.id")).alias("last"))
     )
     of = fresh([*sized.columns, *added], "cut_of_source")
-    cuts = goals.join(c, goals["source"].eqNullSafe(c["c_source"]), "left")
-    cuts = cuts.join(last, cuts["source"].eqNullSafe(last["l_source"]), "left")
-    cuts = cut(cuts.select(F.struct("source", "source_size", "target", "whole", "mean", "share", "c_bucket", "last").alias(of)))
+    cuts = goals.join(last, goals["source"].eqNullSafe(last["l_source"]), "left")
+    cuts = scratch.table(cuts.select(F.struct("source", "source_size", "target", "whole", "mean", "share", "c_bucket", "last").alias(of)))
 
     g = F.col(of)
-    out = sized.join(small(cuts), F.col(source_col).eqNullSafe(g["source"]))
+    out = sized.join(cuts, F.col(source_col).eqNullSafe(g["source"]))
     rank = _rank(F.col("size"), F.col(id_col), g["share"], g["mean"])
     at, place = bucket_of(rank), F.struct(rank.alias("rank"), F.col(id_col).alias("id"))
     chosen = F.coalesce((at < g["c_bucket"]) | ((at == g["c_bucket"]) & (place <= g["last"])), F.lit(False))

@@ -74,15 +74,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sharding import minimax_shards, text_size
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    placed = minimax_shards(docs, shards=8)
-    return placed.select(
-        "doc_id", text_size(F.col("text")).alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
-    )
+    from .sharding import minimax_shards, text_group, text_size
+
+    text = F.col("text")
+    narrow = table(spark, sf_dir, "documents").select(
+        "doc_id", text_size(text).alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), text_group(text).alias("grp"))
+    rows = cut(narrow)  # texts are read once, and none is shuffled
+    placed = minimax_shards(rows, shards=8, group_col="grp", size_col="size")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
