@@ -132,3 +132,27 @@ def test_intersections():
     want = [[len(np.intersect1d(a, b)) if i != j else None for j, b in enumerate(sets)] for i, a in enumerate(sets)]
     found = N.intersections(sets, columns=7)
     assert all(want[i][j] is None or found[i, j] == want[i][j] for i in range(30) for j in range(30))
+
+
+def test_ids_of_several_texts(spark):
+    """An id that stands for two texts joins nothing: rows go by their own text."""
+    rng = random.Random(2)
+    a, b, c = ([f"{x}{rng.randrange(5000)}" for _ in range(60)] for x in "abc")
+    rows = [(5, a), (5, b), (6, b), (7, a), (8, c), (9, c[:-1] + ["other"]), (5, c)]
+    docs = spark.createDataFrame([(i, " ".join(t), "x", 0, "y") for i, t in rows], SCHEMA)
+    found = N.near_duplicates(docs).collect()
+    assert len(found) == len(rows)
+    of = {r.doc_id: r for r in found if r.doc_id != 5}
+    assert len({of[6].class_id, of[7].class_id, of[8].class_id}) == 3 and of[8].class_id == of[9].class_id
+    assert sorted((r.doc_id, r.n_links) for r in found) == [(5, 1), (5, 1), (5, 2), (6, 1), (7, 1), (8, 2), (9, 2)]
+    assert {r.class_id for r in found if r.doc_id == 5} == {of[6].class_id, of[7].class_id, of[8].class_id} and 5 in {r.class_id for r in found}
+    left = sorted((r.doc_id, r.text[0]) for r in N.one_of_each(docs).collect())
+    assert left == [(5, "a"), (5, "b"), (5, "c")]
+
+
+def test_long_texts_and_ties(spark):
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(9000)}" for _ in range(120_000)]
+    rows = [(4, " ".join(long)), (3, " ".join(long)), (9, changed(rng, long, 300)), (1, "word " * 50_000), (2, "word " * 7), (None, "word")]
+    found = {r.doc_id: r for r in N.near_duplicates(spark.createDataFrame([(*r, "x", 0, "y") for r in rows], SCHEMA)).collect()}
+    assert [found[i].class_id for i in (1, 2, 3, 4, 9)] == [1, 1, 3, 3, 3] and [found[i].n_links for i in (1, 2, 3, 4, 9)] == [1, 1, 2, 2, 2]

@@ -1,11 +1,12 @@
 """N-gram Jaccard join by MinHash bands, verified on full n-gram sets.
 
-Rows with equal sets of word five-grams form a set, which the join handles once. Each set has a MinHash
-signature, cut into bands whose number and width are chosen for a target recall. Sets that share a band
-meet at a hub: the set of the band that shares most bands overall. Every other set is verified against
-the hub on full five-gram sets, so the links of a large group grow with its size, not with its square.
-Links join sets to classes. The sets of each band are then compared in blocks, by one matrix product of
-their shared five-grams. Out of a block come the numbers of rows that each set is similar to, each pair
+Rows with equal sets of word five-grams form a set, which the join handles once, under the digest of its
+n-grams. Each set has a MinHash signature, cut into bands whose number and width are chosen for a target
+recall. Sets that share a band meet at a hub: the set of the band that shares most bands overall. Every
+other set is verified against the hub on full five-gram sets, so the links of a large group grow with its
+size, not with its square; the sets of one hub are dealt to many tasks, each of which has the hub's text
+once. Links join sets to classes. The sets of each band are then compared in blocks, by one matrix product
+of their shared five-grams. Out of a block come the numbers of rows that each set is similar to, each pair
 counted at its first shared band, and only those links that join two classes: no list of pairs is built.
 Where numbers aren't asked for, only bands that still hold several classes are compared.
 """
@@ -19,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, cut, fresh, maybe_among
+from .common import Scratch, fresh, maybe_among
 from .vectors import SPACED, groups_of, hashed_words, mixed, shingles
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
-#: Sets in a block, about.
-BLOCK = 256
+#: Sets in a block, and their n-grams together, about.
+BLOCK, BLOCK_GRAMS = 256, 400_000
+#: Tasks that the sets of one hub are dealt to, at most.
+SALTS = 256
 
 
 def bands_for(similarity: float, recall: float, most: int = 64) -> tuple[int, int]:
@@ -49,8 +52,7 @@ def _signatures(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
-            ids = batch.column(0)
-            for first, texts in groups_of(batch.column(1).to_pylist(), 1 << 20):
+            for first, texts in groups_of(batch.column(2).to_pylist(), 1 << 20):
                 words, offsets = hashed_words(texts, SPACED)
                 grams, offsets = shingles(words, offsets, n)
                 some = np.flatnonzero(np.diff(offsets) > 0)
@@ -68,38 +70,50 @@ def _signatures(n: int, bands: int, rows: int):
                     with np.errstate(over="ignore"):
                         names.append(np.array([own.sum(dtype=np.uint64), mixed(own).sum(dtype=np.uint64)]).tobytes() if len(own) else None)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * bands), pa.array(keys.view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, len(texts)), pa.array(names, pa.binary()), pa.array(sizes), lists], ["id", "name", "n", "bands"])
+                own = [batch.column(k).slice(first, len(texts)) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.binary()), pa.array(sizes), lists], ["id", "text_hash", "name", "n", "bands"])
 
     return run
 
 
-def _jaccards(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_id, known = None, None
+def grams_of(text: str | None, n: int) -> np.ndarray:
+    words, offsets = hashed_words([(text or "").lower().encode("utf-8", "replace")], SPACED)
+    return set_of(shingles(words, offsets, n)[0])
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / max(1, len(a) + len(b) - common)
 
-        def grams(text: str) -> np.ndarray:
-            words, offsets = hashed_words([(text or "").lower().encode("utf-8", "replace")], SPACED)
-            return set_of(shingles(words, offsets, n)[0])
 
+def _hub_links(n: int, similarity: float):
+    """Rows (hub, salt, a, text), those of a hub and salt together and the hub's own (a null) first -> links (a, b)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.empty(0, np.uint64)
         for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
             out = []
-            for i, j, x, y in zip(a, b, ta, tb):
-                if j != known_id:
-                    known_id, known = j, grams(y)
-                own = grams(x)
-                common = len(np.intersect1d(own, known, assume_unique=True))
-                out.append(common / max(1, len(own) + len(known) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["a", "b", "similarity"])
+            for hub, _, a, text in zip(*(c.to_pylist() for c in batch.columns)):
+                own = grams_of(text, n)
+                if a is None:
+                    known = own
+                elif jaccard(own, known) >= similarity:
+                    out.append((a, hub))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.binary()) for k in range(2)], ["a", "b"])
 
     return run
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
-    """pairs (a, b) whose texts' n-gram sets are similar enough; a's texts are many, b is seldom another."""
-    left = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_jaccards(n), "a long, b long, similarity double").where(F.col("similarity") >= similarity)
+def hub_links(met: DataFrame, texts: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The pairs (a, hub) of met, as (a, b), whose texts' n-gram sets are similar enough; texts: (name, text).
+
+    A hub may be met by most sets: these are salted, and the hub's text goes along once for each salt in use.
+    """
+    salted = met.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int"))
+    own = salted.join(texts.withColumnRenamed("name", "a").hint("merge"), "a").select("hub", "salt", "a", "text")
+    hubs = salted.select("hub", "salt").distinct().join(texts.withColumnRenamed("name", "hub").hint("merge"), "hub")
+    rows = own.union(hubs.select("hub", "salt", F.lit(None).cast("binary").alias("a"), "text"))
+    together = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("a").asc_nulls_first())
+    return together.mapInArrow(_hub_links(n, similarity), "a binary, b binary")
 
 
 def intersections(grams: list[np.ndarray], columns: int = 4096) -> np.ndarray:
@@ -119,20 +133,20 @@ def intersections(grams: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     return out
 
 
-def similar(grams: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(Jaccard similarities of all pairs, which of them reach the similarity, each pair once)."""
+def similar(grams: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs reach the Jaccard similarity, each pair once."""
     sizes = np.array([len(g) for g in grams], np.float64)
     common = intersections(grams).astype(np.float64)
-    found = common / np.maximum(sizes[:, None] + sizes[None, :] - common, 1)
-    return found, np.triu(found >= similarity, 1)
+    return np.triu(common / np.maximum(sizes[:, None] + sizes[None, :] - common, 1) >= similarity, 1)
 
 
-def joining_links(ids: list[int], classes: list[int], found: np.ndarray, alike: np.ndarray) -> list[tuple[int, int, float]]:
+def joining_links(ids: list, classes: list, alike: np.ndarray) -> list[tuple]:
     """Similar pairs of different classes, as many as it takes to join the classes that any such pair joins."""
-    kind = np.array(classes)
+    numbers = {c: k for k, c in enumerate(dict.fromkeys(classes))}
+    kind = np.array([numbers[c] for c in classes])
     head = {c: c for c in classes}
 
-    def top(c: int) -> int:
+    def top(c):
         while head[c] != c:
             head[c] = head[head[c]]
             c = head[c]
@@ -143,7 +157,7 @@ def joining_links(ids: list[int], classes: list[int], found: np.ndarray, alike:
         a, b = top(classes[i]), top(classes[j])
         if a != b:
             head[max(a, b)] = min(a, b)
-            out.append((ids[i], ids[j], float(found[i, j])))
+            out.append((ids[i], ids[j]))
     return out
 
 
@@ -166,8 +180,8 @@ def similar_rows(alike: np.ndarray, copies: list[int], bands: list[list[int]], a
 
 
 def _block_links(n: int, similarity: float, counted: bool):
-    """Rows (band, at, i, j, own, id, class_id, copies, bands, text) with those of a block together -> links
-    (a, b, similarity, null) and, if counted, numbers (a, null, null, rows similar to a)."""
+    """Rows (band, at, i, j, own, name, class, copies, bands, text) with those of a block together -> links
+    (a, b, null) and, if counted, numbers (a, null, rows similar to a)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
         out: list[tuple] = []
@@ -180,15 +194,15 @@ def _block_links(n: int, similarity: float, counted: bool):
                 return
             words, offsets = hashed_words([(t or "").lower().encode("utf-8", "replace") for t in texts], SPACED)
             grams, offsets = shingles(words, offsets, n)
-            found, alike = similar([set_of(grams[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], similarity)
-            out.extend((*link, None) for link in joining_links(ids, classes, found, alike))
+            alike = similar([set_of(grams[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], similarity)
+            out.extend((*link, None) for link in joining_links(ids, classes, alike))
             if counted:
                 linked = similar_rows(alike, copies, bands, key[1], parts).tolist()
-                out.extend((i, None, None, m) for i, m in zip(ids, linked) if m)
+                out.extend((i, None, m) for i, m in zip(ids, linked) if m)
 
         def collected() -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["a", "b", "similarity", "linked"])
+            kinds = (pa.binary(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["a", "b", "linked"])
 
         for batch in batches:
             for band, at, i, j, *row in zip(*(x.to_pylist() for x in batch.columns)):
@@ -205,50 +219,51 @@ def _block_links(n: int, similarity: float, counted: bool):
 
 
 def block_links(rows: DataFrame, texts: DataFrame, n: int, similarity: float, counted: bool) -> DataFrame:
-    """(a, b, similarity, linked) of the rows (band, at, id, class_id, copies, bands) of each band: links between
-    those of different classes, and, if counted, rows with b null for the rows similar to a.
+    """(a, b, linked) of the rows (band, at, name, n, class, copies, bands) of each band: links between those of
+    different classes, and, if counted, rows with b null for the rows similar to a.
 
-    A band's rows are dealt to blocks of about BLOCK by hashed id, and each two blocks are compared in a
+    A band's rows are dealt to blocks of about BLOCK by hashed name, and each two blocks are compared in a
     group of their own, so that no task holds a band as a whole.
     """
-    sizes = rows.groupBy("band", "at").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, ["band", "at"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    most = F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_GRAMS))
+    sizes = rows.groupBy("band", "at").agg(F.ceil(most).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, ["band", "at"]).withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    full = dealt.join(texts, "id").select("band", "at", "i", "j", "own", "id", "class_id", "copies", "bands", "text")
-    together = full.repartition("band", "at", "i", "j").sortWithinPartitions("band", "at", "i", "j", "id")
-    return together.mapInArrow(_block_links(n, similarity, counted), "a long, b long, similarity double, linked long")
+    full = dealt.join(texts.hint("merge"), "name").select("band", "at", "i", "j", "own", "name", "class", "copies", "bands", "text")
+    together = full.repartition("band", "at", "i", "j").sortWithinPartitions("band", "at", "i", "j", "name")
+    return together.mapInArrow(_block_links(n, similarity, counted), "a binary, b binary, linked long")
 
 
 def unlike_bands(placed: DataFrame) -> DataFrame:
-    """(band, at) of the bands in placed (id, band, at), of those with the same sets only the first: what such
-    bands hold is compared once. Sets are told by their number and two sums of hashed ids."""
+    """(band, at) of the bands in placed (name, band, at), of those with the same sets only the first: what such
+    bands hold is compared once. Sets are told by their number and two sums of hashed names."""
     own = placed.groupBy("band", "at").agg(
-        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit("bands"))).alias("y"), F.min("id").alias("least"))
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("name")).alias("x"), F.bit_xor(F.xxhash64("name", F.lit("bands"))).alias("y"), F.min("name").alias("least"))
     first = F.min(F.struct("at", "band")).alias("first")
     return own.groupBy("size", "x", "y", "least").agg(first).select("first.band", "first.at")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, class_id): the smallest id that links (a, b) lead to, for all ids in them.
+    """(name, class): the smallest name that links (a, b) lead to, for all names in them.
 
     Each round takes the smallest label of all neighbours and then the label's own label, so the number
     of rounds grows with the logarithm of a class's diameter.
     """
     both = scratch.table(links.select("a", "b").union(links.select("b", "a")).distinct())
-    labels = scratch.table(both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("id"), F.least("a", "near").alias("class_id")))
+    labels = scratch.table(both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("name"), F.least("a", "near").alias("class")))
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("class_id").alias("near"))
-        lower = labels.join(near, labels["id"] == near["a"]).select("id", F.col("class_id").alias("old"), F.least("class_id", "near").alias("class_id"))
-        heads = labels.select(F.col("id").alias("head"), F.col("class_id").alias("head_class"))
-        jumped = lower.join(heads, lower["class_id"] == heads["head"]).select("id", "old", F.least("class_id", "head_class").alias("class_id"))
+        near = both.join(labels.withColumnRenamed("name", "b").hint("merge"), "b").groupBy("a").agg(F.min("class").alias("near"))
+        lower = labels.join(near.hint("merge"), labels["name"] == near["a"]).select("name", F.col("class").alias("old"), F.least("class", "near").alias("class"))
+        heads = labels.select(F.col("name").alias("head"), F.col("class").alias("head_class"))
+        jumped = lower.join(heads.hint("merge"), lower["class"] == heads["head"]).select("name", "old", F.least("class", "head_class").alias("class"))
         previous, labels = labels, scratch.table(jumped)
         scratch.drop(previous)
-        if not labels.where("class_id < old").limit(1).count():
+        if not labels.where("class < old").limit(1).count():
             scratch.drop(both)
-            return labels.select("id", "class_id")
+            return labels.select("name", "class")
         path = labels.scratch_path
-        labels = labels.select("id", "class_id")
+        labels = labels.select("name", "class")
         labels.scratch_path = path
 
 
@@ -258,52 +273,63 @@ def jaccard_join(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, sets, linked) of the join of docs with itself.
 
-    members (id, set_id): each row with words; set_id is the smallest id with the same n-grams. sets
-    (id, copies, class_id). linked (a, linked): the rows of other sets that are similar to a's and share a
-    band with it; empty unless counted.
+    members (id, text_hash, name): each row with words; name is its set's digest. sets (name, copies, set_id,
+    class, kept): set_id is the smallest id of the set's rows, class the smallest name of its class, kept the
+    class's first row as (id, name, text_hash). linked (name, linked): the rows of other sets that are similar
+    to a set's and share a band with it; empty unless counted.
     """
     bands, rows = bands_for(similarity, recall)
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(source.mapInArrow(_signatures(n, bands, rows), "id long, name binary, n int, bands array<long>").where("name is not null"))
-    sets = cut(signed.groupBy("name").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    members = signed.join(sets.select("name", F.col("id").alias("set_id")), "name").select("id", "set_id")
-
+    source = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     scratch = Scratch(docs.sparkSession, "ngram-join")
-    placed = sets.select("id", "n", F.posexplode("bands").alias("at", "band"))
+    signed = scratch.table(source.mapInArrow(_signatures(n, bands, rows), "id long, text_hash long, name binary, n int, bands array<long>").where("name is not null"))
+    # An id may stand for several texts: sets are known by name, and a set's text is that of its first row.
+    sets = scratch.table(signed.groupBy("name").agg(
+        F.min(F.struct("id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    members = signed.select("id", "text_hash", "name")
+
+    placed = sets.select("name", "n", F.posexplode("bands").alias("at", "band"))
     shared = placed.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    live = scratch.table(placed.join(shared, "band").select("id", "n", "at", "band", "size"))
-    central = live.groupBy("id").agg(F.sum("size").alias("score"))
-    live = scratch.table(live.join(central, "id").select("id", "n", "at", "band", "score"))
+    met = scratch.table(placed.join(shared.hint("merge"), "band").select("name", "n", "at", "band", "size"))
+    central = met.groupBy("name").agg(F.sum("size").alias("score"))
+    live = scratch.table(met.join(central.hint("merge"), "name").select("name", "n", "at", "band", "score"))
+    scratch.drop(met)
     # Texts of sets that share a band, once a set.
-    texts = scratch.table(maybe_among(source, "id", live.select("id")).groupBy("id").agg(F.min("text").alias("text")))
+    first = sets.join(live.select("name").distinct(), "name", "left_semi").select("name", F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"))
+    texts = scratch.table(maybe_among(source, "id", first.select("id")).join(first.hint("merge"), ["id", "text_hash"]).groupBy("name").agg(F.min("text").alias("text")))
 
     def alike(a: Column, b: Column) -> Column:
         """No set with so different a number of n-grams can be similar enough."""
         return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
 
-    ids = live.select("id").distinct()
-    best = F.max(F.struct("score", (-F.col("id")).alias("minus_id"), "n")).alias("hub")
-    hubs = live.groupBy("band").agg(best).select("band", (-F.col("hub.minus_id")).alias("b"), F.col("hub.n").alias("hub_n"))
-    met = live.join(hubs, "band").where((F.col("id") != F.col("b")) & alike(F.col("n"), F.col("hub_n")))
-    to_hubs = scratch.table(verified(met.select(F.col("id").alias("a"), "b").distinct(), texts, n, similarity))
-    classes = ids.join(components(to_hubs, scratch), "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
-    classes = scratch.table(classes)
-
-    at = live.select("id", "at", "band").join(classes, "id")
+    best = F.max(F.struct("score", "name", "n")).alias("best")
+    hubs = live.groupBy("band").agg(best).select("band", F.col("best.name").alias("hub"), F.col("best.n").alias("hub_n"))
+    at_hub = live.join(hubs.hint("merge"), "band").where((F.col("name") != F.col("hub")) & alike(F.col("n"), F.col("hub_n")))
+    to_hubs = scratch.table(hub_links(at_hub.select(F.col("name").alias("a"), "hub").distinct(), texts, n, similarity))
+    known = components(to_hubs, scratch)
+    scratch.drop(to_hubs)
+    at = live.select("name", "n", "at", "band").join(known.hint("merge"), "name", "left").withColumn("class", F.coalesce("class", "name"))
     if counted:
         compared = unlike_bands(live)
     else:
-        compared = at.groupBy("band", "at").agg(F.min("class_id").alias("least"), F.max("class_id").alias("most")).where("least < most").select("band", "at")
-    sides = at.join(compared, ["band", "at"]).join(sets.select("id", "copies", "bands"), "id")
+        compared = at.groupBy("band", "at").agg(F.min("class").alias("least"), F.max("class").alias("most")).where("least < most").select("band", "at")
+    sides = at.join(compared.hint("merge"), ["band", "at"]).join(sets.select("name", "copies", "bands").hint("merge"), "name")
     out = scratch.table(block_links(sides, texts, n, similarity, counted))
-    linked = out.where("b is null").groupBy("a").agg(F.sum("linked").alias("linked"))
-    between = scratch.table(out.where("b is not null").select("a", "b").distinct())
-    of = classes.select(F.col("id"), F.col("class_id").alias("class"))
-    joined = between.join(of.withColumnRenamed("id", "a"), "a").withColumnRenamed("class", "class_a").join(of.withColumnRenamed("id", "b"), "b")
-    merged = components(joined.select(F.col("class_a").alias("a"), F.col("class").alias("b")).distinct(), scratch)
-    renamed = merged.select(F.col("id").alias("class_id"), F.col("class_id").alias("new_class"))
-    classes = scratch.table(classes.join(renamed, "class_id", "left").select("id", F.coalesce("new_class", "class_id").alias("class_id")))
-    ends = sets.select("id", "copies").join(classes, "id", "left").select("id", "copies", F.coalesce("class_id", "id").alias("class_id"))
+    scratch.drop(live, texts)
+    linked = out.where("b is null").groupBy(F.col("a").alias("name")).agg(F.sum("linked").alias("linked"))
+    between = out.where("b is not null").select("a", "b").distinct()
+    if between.limit(1).count():
+        # classes by the name that heads them, joined once more where a block has found a link
+        top = lambda side: between.join(known.withColumnRenamed("name", side), side, "left").withColumn(side, F.coalesce("class", side)).select("a", "b")
+        between = top("a")
+        merged = components(top("b"), scratch)
+        renamed = merged.select(F.col("name").alias("head"), F.col("class").alias("new_class"))
+        every = known.union(merged.select("name", F.col("name").alias("class"))).groupBy("name").agg(F.min("class").alias("class"))
+        known = every.join(renamed, every["class"] == renamed["head"], "left").select("name", F.coalesce("new_class", "class").alias("class"))
+    classed = sets.select("name", "first", "copies").join(known.hint("merge"), "name", "left").withColumn("class", F.coalesce("class", "name"))
+    classed = scratch.table(classed)
+    kept = classed.groupBy("class").agg(F.min(F.struct(F.col("first.id").alias("id"), "name", F.col("first.text_hash").alias("text_hash"))).alias("kept"))
+    ends = scratch.table(classed.join(kept.hint("merge"), "class").select("name", "copies", F.col("first.id").alias("set_id"), "class", "kept"))
     return members, ends, linked
 
 
@@ -312,26 +338,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     class_id is the smallest id of the row's class, set_id of the rows with the same n-grams, copies
     their number; n_links counts rows: the other copies, and those of all sets whose similarity to this one
-    is reached. Any two rows whose similarity is reached are in one class.
+    is reached. Two rows whose similarity is reached meet if they share a band, which they do with the
+    probability RECALL at the similarity itself and more surely above it; all that meet are in one class.
 
     Defined results: rows without words (null, empty, blank) are alone in their class, with no links;
-    texts of fewer than n words have one n-gram, of all their words; a null id has null ids and no
-    links; rows that repeat an id and text count as copies; an empty table gives an empty one; other
-    columns are ignored.
+    texts of fewer than n words have one n-gram, of all their words; texts of any length count whole; a
+    null id has null ids and no links; rows that repeat an id and text count as copies. An id may stand for
+    several texts, each with the class of its own text: where classes have the same smallest id, the one
+    with the smallest digest has it as its class_id, and others a negative number made of their digest.
+    Ties are broken by digest. An empty table gives an empty one; other columns are ignored.
     """
     members, sets, linked = jaccard_join(docs, n, similarity, RECALL, id_col, text_col)
-    facts = sets.join(linked, sets["id"] == linked["a"], "left").select(
-        F.col("id").alias("set_id"), "class_id", "copies", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    worded = members.join(facts, "set_id").select("id", "set_id", "class_id", "copies", "n_links")
+    owners = sets.groupBy(F.col("kept.id").alias("owned")).agg(F.min("class").alias("owner"))
+    facts = sets.join(owners.hint("merge"), sets["kept.id"] == owners["owned"]).join(linked.hint("merge"), "name", "left").select(
+        "name", "set_id", F.when(F.col("class") == F.col("owner"), F.col("owned")).otherwise(-1 - F.xxhash64("class").bitwiseAND(F.lit((1 << 62) - 1))).alias("class_id"),
+        "copies", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    worded = members.join(facts.hint("merge"), "name").select("id", "set_id", "class_id", "copies", "n_links")
     blank = docs.where(F.col(id_col).isNull() | F.coalesce(~F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(True))).select(F.col(id_col).cast("long").alias("id"))
     blank = blank.select("id", F.col("id").alias("set_id"), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_links"))
     return worded.union(blank).withColumnRenamed("id", id_col)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is their class's smallest, with all their columns; rows without an id stay."""
+    """The first row of each class of docs, by id, with all columns.
+
+    Rows without an id or without words stay. Rows are told by id and text, so a row stays or goes by its own
+    text, whatever others repeat its id; rows that repeat both stay or go together.
+    """
     members, sets, _ = jaccard_join(docs, id_col=id_col, text_col=text_col, counted=False)
-    owners = sets.select(F.col("id").alias("set_id"), "class_id")
-    gone = fresh(docs.columns, "copy_id")
-    others = members.join(owners, "set_id").where("id != class_id").select(F.col("id").alias(gone))
-    return docs.join(others, F.col(id_col).cast("long") == F.col(gone), "left_anti")
+    copy_id, copy_hash = fresh(docs.columns, "copy_id"), fresh(docs.columns, "copy_hash")
+    rows = members.join(sets.select("name", "kept").hint("merge"), "name")
+    stays = (F.col("id") == F.col("kept.id")) & (F.col("text_hash") == F.col("kept.text_hash")) & (F.col("name") == F.col("kept.name"))
+    others = rows.where(~stays).select(F.col("id").alias(copy_id), F.col("text_hash").alias(copy_hash))
+    return docs.join(others, (F.col(id_col).cast("long") == F.col(copy_id)) & (F.xxhash64(text_col) == F.col(copy_hash)), "left_anti")
