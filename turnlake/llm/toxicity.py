@@ -1,13 +1,16 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
 Folding maps look-alike letters and digits that stand for letters to one class each, on both sides, so
-"1d1ot" meets "idiot". Terms are heads of words, learned from labelled rows by how much more often
-they occur in toxic texts; phrases that hold a term but occur in clean texts are exceptions. A
-document's score is a logistic function of its summed weights per word.
+"1d1ot" meets "idiot". Terms are heads of words of SHORTEST to LONGEST letters, and shorter words as a
+whole, learned from labelled rows by how much more often they occur in toxic texts; phrases that hold a
+term but occur in clean texts are exceptions. A document's score is a logistic function of its summed
+weights per word. The sample of labelled rows is bounded (SAMPLE_ROWS); all terms and phrases that it
+supports are taken, however many.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
@@ -16,15 +19,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Scratch
 
 #: Labelled rows of each label that the lexicon is learned from, in expectation.
 SAMPLE_ROWS = 4000
+#: Letters of the heads of words that may be terms. Shorter words are terms as a whole only; longer words count by their head.
+SHORTEST, LONGEST = 4, 16
 #: Log odds from which a head of words is a term.
 LEAST_ODDS = 2.0
 #: Characters that are read as a letter. i, l, 1, | and ! form one class, written i.
@@ -87,12 +91,24 @@ def terms_in(folded: str, automaton) -> list[tuple[str, float]]:
     if not len(automaton):
         return []
     hits, spared = [], []
-    for end, (term, w) in automaton.iter(folded):
+    for end, (term, w) in automaton.iter(folded + " "):
         if w is None:
             spared.append((end - len(term), end))
         else:
-            hits.append((end - len(term), end, term, w))
-    return [(h[2], h[3]) for h in hits if not any(s[0] <= h[0] and h[1] <= s[1] for s in spared)]
+            hits.append((end - len(term), end - term.endswith(" "), term, w))
+    if not spared:
+        return [(h[2], h[3]) for h in hits]
+    spared.sort()
+    starts, furthest, top = [s for s, _ in spared], [], -1
+    for _, end in spared:  # the furthest end of all phrases that start so early
+        top = max(top, end)
+        furthest.append(top)
+    out = []
+    for start, end, term, w in hits:
+        k = bisect.bisect_right(starts, start)
+        if not k or furthest[k - 1] < end:
+            out.append((term, w))
+    return out
 
 
 def matches(folded: str, automaton) -> tuple[float, int]:
@@ -106,23 +122,33 @@ def density(weight: float, words: int) -> float:
     return math.log1p(1e4 * weight / (words + 1))
 
 
-def heads(folded: str, shortest: int = 4, longest: int = 12) -> set[str]:
-    """Heads of all words: the words themselves up to the longest length, and their beginnings."""
+def heads(folded: str, shortest: int = SHORTEST, longest: int = LONGEST) -> set[str]:
+    """Heads of all words, of shortest to longest letters; shorter words as they are, with the space after them."""
     out = set()
     for word in set(folded.split()):
+        if len(word) < shortest:
+            out.add(word + " ")
         out.update(word[:n] for n in range(shortest, min(len(word), longest) + 1))
     return out
 
 
-def _head_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+COUNTS = "head string, toxic int, n long"
+
+
+def _counted(counts: Counter) -> pa.RecordBatch:
+    keys = list(counts)
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(counts.values(), pa.int64())], ["head", "toxic", "n"])
+
+
+def _head_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for b in batches:
-        for text, toxic in zip(b["text"], b["toxic"]):
+        for text, toxic in zip(*(c.to_pylist() for c in b.columns)):
             counts.update((h, toxic) for h in heads(fold(text or "")))
             if len(counts) > 400_000:
-                yield pd.DataFrame(((h, t, n) for (h, t), n in counts.items()), columns=["head", "toxic", "n"])
+                yield _counted(counts)
                 counts.clear()
-    yield pd.DataFrame(((h, t, n) for (h, t), n in counts.items()), columns=["head", "toxic", "n"])
+    yield _counted(counts)
 
 
 def log_odds(t: int, c: int, toxic: int, clean: int) -> float:
@@ -133,87 +159,94 @@ def log_odds(t: int, c: int, toxic: int, clean: int) -> float:
 def chosen_terms(rows: list, toxic: int, clean: int) -> dict[str, float]:
     """Of each chain of heads the one in most toxic texts, the longest of these; with its log odds."""
     found = {head: (t, log_odds(t, c, toxic, clean)) for head, t, c in rows}
-    out = {}
+    out, begun = {}, set()
     for head in sorted(found, key=lambda h: (-found[h][0], -len(h), h)):
-        if not any(head.startswith(x) or x.startswith(head) for x in out):
+        if head not in begun and not any(head[:k] in out for k in range(1, len(head))):
             out[head] = round(found[head][1], 6)
+            begun.update(head[:k] for k in range(1, len(head) + 1))
     return out
 
 
-def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, max_terms: int = 2000) -> Lexicon:
+def sums_of(counts: DataFrame, key: str) -> DataFrame:
+    """(key, t, c): counts of toxic and of clean texts."""
+    return counts.groupBy(key).agg(
+        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
+
+
+def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Lexicon:
     """docs: (id, text); labels: (id, toxic). About sample_rows of each label are used, chosen by their
-    hashed id before any text is read: the chosen labels are few enough to broadcast."""
+    hashed id before any text is read: the chosen labels are few enough to broadcast, and what is collected
+    of them is bounded by the sample."""
     n = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, min(1.0, sample_rows / max(1, n.get(1, 0)))).otherwise(min(1.0, sample_rows / max(1, n.get(0, 0))))
     place = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20)
     chosen = labels.where(place < share)
-    sample = cut(docs.select("id", "text").join(F.broadcast(chosen), "id").select("id", "text", "toxic"))
+    sample = Scratch(docs.sparkSession, "toxicity").table(docs.select("id", "text").join(F.broadcast(chosen), "id").select("id", "text", "toxic"))
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
         return Lexicon({})
     least = max(3, toxic // 500)
-    counts = sample.select("text", "toxic").mapInPandas(_head_counts, "head string, toxic int, n long").groupBy("head").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
+    counts = sums_of(sample.select("text", "toxic").mapInArrow(_head_counts, COUNTS), "head")
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
     # Frequent heads stay for now even if clean texts hold them too: exception phrases may account for these.
-    rows = counts.where((F.col("t") >= least) & (odds >= F.when(F.col("t") >= 5 * least, 1.0).otherwise(LEAST_ODDS))).orderBy(F.desc("t"), "head").limit(50 * max_terms).collect()
-    terms = dict(list(chosen_terms([(r.head, r.t, r.c) for r in rows], toxic, clean).items())[:max_terms])
+    rows = counts.where((F.col("t") >= least) & (odds >= F.when(F.col("t") >= 5 * least, 1.0).otherwise(LEAST_ODDS))).collect()
+    terms = chosen_terms([(r.head, r.t, r.c) for r in rows], toxic, clean)
     lexicon = Lexicon(terms)
     lexicon.exceptions = learn_exceptions(sample, lexicon)
-    held = sample.select("text", "toxic").mapInPandas(_term_counts(lexicon), "head string, toxic int, n long").groupBy("head").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")).collect()
+    held = sums_of(sample.select("text", "toxic").mapInArrow(_term_counts(lexicon), COUNTS), "head").collect()
     weights = {r["head"]: log_odds(r.t, r.c, toxic, clean) for r in held}
     lexicon.weights = {k: round(weights[k], 6) for k in terms if weights.get(k, 0) >= LEAST_ODDS}
-    lexicon.exceptions = [p for p in lexicon.exceptions if any(k in p for k in lexicon.weights)]
-    scored = sample.select("id", "text", "toxic").mapInPandas(_densities(lexicon), "x double, toxic int").toPandas()
-    lexicon.slope, lexicon.bias = fit_logistic(scored["x"].to_numpy(), scored["toxic"].to_numpy())
+    lexicon.exceptions = [p for p in lexicon.exceptions if any(" " + k in f" {p} " for k in lexicon.weights)]
+    scored = sample.select("text", "toxic").mapInArrow(_densities(lexicon), "x double, toxic int").collect()
+    lexicon.slope, lexicon.bias = fit_logistic(np.array([r.x for r in scored]), np.array([r.toxic for r in scored], float))
     return lexicon
 
 
 def _term_counts(lexicon: Lexicon):
     """Texts of each label that hold a term outside exception phrases."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, counts = lexicon.automaton(), Counter()
         for b in batches:
-            for text, toxic in zip(b["text"], b["toxic"]):
+            for text, toxic in zip(*(c.to_pylist() for c in b.columns)):
                 counts.update({(term, toxic) for term, _ in terms_in(fold(text or ""), automaton)})
-        yield pd.DataFrame(((h, t, n) for (h, t), n in counts.items()), columns=["head", "toxic", "n"])
+        yield _counted(counts)
 
     return run
 
 
 def _phrases(lexicon: Lexicon):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of texts of each label that hold a two-word phrase around a term."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for b in batches:
-            out = set()
-            for i, text, toxic in zip(b["id"], b["text"], b["toxic"]):
-                folded = fold(text or "")
+            counts: Counter = Counter()
+            for text, toxic in zip(*(c.to_pylist() for c in b.columns)):
+                folded, out = fold(text or "") + " ", set()
                 for end, (term, _) in automaton.iter(folded) if len(automaton) else ():
                     start = end - len(term)
-                    stop = folded.find(" ", end + 1)
-                    word = folded[start + 1:stop if stop >= 0 else None]
-                    before, after = folded[:start].rsplit(" ", 1)[-1], folded[start + 1 + len(word):].split(" ", 2)[1:2]
-                    out.update((i, toxic, p) for p in ([f"{before} {word}"] if before else []) + [f"{word} {a}" for a in after])
-            yield pd.DataFrame(list(out), columns=["id", "toxic", "phrase"])
+                    stop = folded.find(" ", start + 1)
+                    word = folded[start + 1:stop]
+                    before, after = folded[folded.rfind(" ", 0, start) + 1:start] if start else "", folded[stop + 1:max(stop + 1, folded.find(" ", stop + 1))]
+                    out.update(p for p, other in ((f"{before} {word}", before), (f"{word} {after}", after)) if other)
+                counts.update((p, toxic) for p in out)
+            yield _counted(counts)
 
     return run
 
 
-def learn_exceptions(sample: DataFrame, lexicon: Lexicon, most: int = 2000) -> list[str]:
+def learn_exceptions(sample: DataFrame, lexicon: Lexicon) -> list[str]:
     """Two-word phrases around a term that two clean texts or more hold, and no toxic one."""
-    found = sample.mapInPandas(_phrases(lexicon), "id long, toxic int, phrase string").groupBy("phrase").agg(
-        F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-    return [r.phrase for r in found.where("t = 0 and c >= 2").orderBy(F.desc("c"), "phrase").limit(most).collect()]
+    found = sums_of(sample.select("text", "toxic").mapInArrow(_phrases(lexicon), COUNTS), "head")
+    return sorted(r["head"] for r in found.where("t = 0 and c >= 2").collect())
 
 
 def _densities(lexicon: Lexicon):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for b in batches:
-            folded = [fold(t or "") for t in b["text"]]
-            yield pd.DataFrame({"x": [density(matches(f, automaton)[0], f.count(" ")) for f in folded], "toxic": b["toxic"]})
+            folded = [fold(t or "") for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([density(matches(f, automaton)[0], f.count(" ")) for f in folded], pa.float64()), b.column(1)], ["x", "toxic"])
 
     return run
 
@@ -248,8 +281,9 @@ def _score(lexicon: Lexicon):
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, hits) for each row of docs, from the whole text.
 
-    Defined results: null and empty texts hold no term and get the score of none; repeated rows get
-    equal scores; without labels of both kinds the lexicon is empty and all scores are alike and low; an
+    Defined results: null and empty texts hold no term and get the score of none; texts of any length are
+    scored whole; repeated rows get equal scores; of terms that start alike the one in most toxic texts is
+    kept, the longest of equal ones; without labels of both kinds the lexicon is empty and all scores are alike and low; an
     empty table gives an empty one; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
