@@ -93,30 +93,99 @@ def test_html(spark):
     assert H.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_low_places_against_brute_force(spark):
-    """Entropies by grouped sums equal those of the site's texts put together."""
+def site_importances(pages):
+    """Importances of a site's branches by putting its different pages together."""
     import math
-    from collections import defaultdict
-
-    pages = [(n, "http://h.example/", PAGE.format(n=n % 5)) for n in range(9)]
-    spread, content = defaultdict(lambda: defaultdict(list)), {}
-    held = defaultdict(int)
-    for _, _, page in pages:
-        seen = defaultdict(lambda: defaultdict(int))
-        for e, t in H.blocks(page):
-            seen[e.place][t] += 1
-        for place, texts in seen.items():
-            held[place] += 1
-            for t, c in texts.items():
-                spread[place][t].append(c)
-    for place, texts in spread.items():
-        total = sum(map(sum, texts.values()))
-        h = sum(sum(cs) * -sum(c / sum(cs) * math.log(c / sum(cs)) for c in cs) for cs in texts.values()) / total
-        content[place] = 1 - h / math.log(held[place])
-    low = {r.place for r in H.low_places(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
-    leaf_low = {p for p, c in content.items() if 0.9 * c < H.LEAST_IMPORTANCE - 0.1}
-    leaf_high = {p for p, c in content.items() if 0.9 * c > H.LEAST_IMPORTANCE}
-    assert leaf_low and leaf_low <= low and not (leaf_high & low)
+    from collections import Counter, defaultdict
+
+    pages = sorted(set(pages))
+    texts, shapes, ups = defaultdict(list), defaultdict(list), {}
+    for page in pages:
+        elements, found = H.parsed(page)
+        first = {}
+        for e in elements:
+            first.setdefault(e.place, e)
+        for place, e in first.items():
+            shapes[place].append(" ".join(dict.fromkeys(e.children)))
+            ups[place], x = [], e
+            while x is not None:
+                ups[place].append(x.place)
+                x = x.parent
+        own = defaultdict(Counter)
+        for e, t in found:
+            own[e.place][t] += 1
+        for place, c in own.items():
+            texts[place].append(c)
+
+    def entropy(counts):
+        return -sum(c / sum(counts) * math.log(c / sum(counts)) for c in counts)
+
+    content, many, weighed, size = {}, {}, Counter(), Counter()
+    for place, counts in texts.items():
+        m = len(shapes[place])
+        total = sum(sum(c.values()) for c in counts)
+        spread = sum(sum(cs) * entropy(cs) for cs in ([c[t] for c in counts if t in c] for t in set().union(*counts))) / total
+        content[place], many[place] = (max(0.0, 1 - spread / math.log(m)) if m > 1 else 1.0), total
+        for up in ups[place]:
+            weighed[up] += content[place] * total
+            size[up] += total
+    out = {}
+    for place, n in size.items():
+        m = len(shapes[place])
+        shape = entropy(list(Counter(shapes[place]).values())) / math.log(m) if m > 1 else 1.0
+        x = H.OWN_SHARE * shape + (1 - H.OWN_SHARE) * weighed[place] / n
+        out[place] = (x * (m - 1) + H.PRIOR_PAGES) / (m - 1 + H.PRIOR_PAGES)
+    return out
+
+
+def test_importances_against_brute_force(spark):
+    pages = [(n, "http://h.example/", PAGE.format(n=n % 5).replace("Second", "Second" * (n % 3))) for n in range(19)] + [(30, "http://i.example/", PAGE.format(n=1)), (31, None, PAGE.format(n=2))]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    found = {(r.host, r.place): r.importance for r in H.importances(frame).collect()}
+    want = {(h, p): x for h in ("h.example", "i.example", "") for p, x in site_importances([t for _, u, t in pages if H.host_of(u) == h]).items()}
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+SITE = """<html><body><div class="x1"><p>Menu of the site</p></div><main><h1>Story {n}</h1><p>What happened, told in {n} parts.</p><p>More of {n}.</p>
+<div class="x7"><p>Become a friend of ours today</p></div></main></body></html>"""
+
+
+@pytest.mark.parametrize("most", [50_000, 0])
+def test_tree_decides_inside_main_too(spark, most):
+    """What all pages of a host share goes, unnamed and inside main; by both ways of bringing importances to pages."""
+    rows = [(n, "http://big.example/", SITE.format(n=n)) for n in range(8)] + [(100 + n, f"http://small{n}.example/", SITE.format(n=n)) for n in range(3)] + [(200, None, SITE.format(n=7))]
+    found = {r.page_id: r.text for r in H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), broadcast_places=most).collect()}
+    for n in range(8):
+        story = f"Story {n}\nWhat happened, told in {n} parts.\nMore of {n}."
+        assert found[n] == story
+        assert H.main_text(SITE.format(n=n), {}) == f"Menu of the site\n{story}\nBecome a friend of ours today"
+    assert found[100] == H.main_text(SITE.format(n=0), {}) and found[200] == H.main_text(SITE.format(n=7), {})
+
+
+def test_copies_of_one_page_keep_their_text(spark):
+    rows = [(n, "http://c.example/", SITE.format(n=1)) for n in range(9)]
+    found = {r.text for r in H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {H.main_text(SITE.format(n=1), {})}
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<div class='layout has-sidebar'><article><p>a</p></article></div>", "a"), ("<div id='search-page'><main><p>a</p></main></div>", "a"),
+    ("<section class='post no-comments'><p>a</p></section>", "a"), ("<form action='x'><article><p>a</p><button>go</button></article></form>", "a"),
+    ("<article><p>a</p><section class='comments'><article><p>b</p></article></section></article>", "a"), ("<aside><article>b</article></aside><p>a</p>", "a"),
+    ("<p>1 < 2 <b>and</b> it's <a href='x>y'>fine</a> <math><mi>x</mi></math>", "1 < 2 and it's fine x"), ("<p class=it's>a</p><p>b's</p>", "a\nb's"),
+    ("<table><tr><td>a<td>b<tr><td>c</table>d<table><tr><td><table><tr><td>e</table>f</table>", "a\nb\nc\nd\ne\nf"), ("a<!-- > --><![CDATA[b]]><?c ?>d<p", "ad<p"),
+])
+def test_markup(page, text):
+    assert H.main_text(page, {}) == text
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "deep", "<div><p>" * 50_000 + "x", '<a "' * 100_000, '<a "' * 100_000 + ">", "<li><div>" * 40_000, "<table>" + "<div>" * 50_000 + "<td>x</td>" * 20_000, "<script" * 50_000 + ">", "<a href='" * 50_000 + ">"])
+def test_time_is_linear(page):
+    import time
+
+    began = time.perf_counter()
+    H.main_text(page, {})
+    assert time.perf_counter() - began < 10
 
 
 # Language
