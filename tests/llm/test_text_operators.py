@@ -68,6 +68,43 @@ def test_toxicity_edges(spark):
     assert empty.weights == {} and X.score_toxicity(docs, empty).count() == 5
 
 
+def slow_score(lexicon, text):
+    """The score by looking for every term and every exception phrase at every place."""
+    folded = X.fold(text or "") + " "
+    at = lambda term: [k for k in range(len(folded)) if folded.startswith(" " + term, k)]
+    spared = [(k, k + 1 + len(p)) for p in lexicon.exceptions for k in at(p)]
+    weight = hits = 0
+    for term, w in lexicon.weights.items():
+        for k in at(term):
+            if not any(a <= k and k + 1 + len(term.rstrip()) <= b for a, b in spared):
+                weight, hits = weight + w, hits + 1
+    z = lexicon.slope * np.log1p(1e4 * weight / (folded.count(" "))) + lexicon.bias
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30))), hits
+
+
+def test_toxicity_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    lexicon = Q.toxicity_lexicon(spark, docs, SF)
+    extra = X.Lexicon({**lexicon.weights, "bad ": 3.0, "ba": 1.0}, [*lexicon.exceptions, "bad hair day", "hair day", "not bad"], lexicon.slope, lexicon.bias)
+    texts = [r.text for r in docs.orderBy("doc_id").collect()] + ["so bad", "not bad at all", "bad hair day, bad", "badly not badly", "b4d !", "", "a bad hair", None]
+    rows = spark.createDataFrame(edges(*texts), EDGES)
+    for one in (lexicon, extra):
+        found = {r.doc_id: r for r in X.score_toxicity(rows, one).collect()}
+        for i, text in enumerate(texts):
+            score, hits = slow_score(one, text)
+            assert found[i].hits == hits and found[i].score == pytest.approx(score, abs=1e-12), text
+    assert found[len(texts) - 8].hits == 2 and found[len(texts) - 7].hits == 0
+
+
+def test_short_words_are_terms(spark):
+    rows = [(i, f"you {'pox' if i % 2 else 'fox'} and {i} others, {'kek' if i % 2 else 'keks'} there") for i in range(200)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    lexicon = X.learn_lexicon(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "id long, toxic int"))
+    assert {X.fold(w)[1:] + " " for w in ("pox", "kek")} <= set(lexicon.weights)
+    found = X.score_toxicity(docs, lexicon, "id").collect()
+    assert all((r.score > 0.7) == bool(r.id % 2) for r in found)
+
+
 def test_toxicity_held_out(spark):
     found = Q.op4_toxicity(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.toxic for r in found) >= 0.95 * len(found)
@@ -211,10 +248,45 @@ def test_gradients():
     assert near >= 6
 
 
-def test_windows_cover_texts():
-    data = np.frombuffer(b"abcdefghij", np.uint8)
-    x, row = L.windows_of(data, np.array([0, 3, 3]), np.array([3, 3, 10]), window=4)
-    assert [bytes(r) for r in x] == [b"abc\0", b"defg", b"hij\0"] and row.tolist() == [0, 2, 2]
+def test_segments_cover_texts():
+    first, last = L.segments_of(np.array([0, 3, 3]), np.array([3, 3, 10]), 4)
+    assert first.tolist() == [0, 3, 7] and last.tolist() == [3, 7, 10]
+
+
+def slow_probabilities(net, text, segment):
+    """Mean label of a text's letters by a network that goes byte by byte."""
+    clip = lambda v, low: [min(1.0, max(low, x)) for x in v]
+    times = lambda h, u: [sum(h[i] * float(u[i][j]) for i in range(len(h))) for j in range(len(h))]
+    data, p, total, n = text.encode(), net.parts, [0.0] * len(net.langs), 0
+    for at in range(0, len(data), segment):
+        part = data[at:at + segment]
+        logits = [[float(x) for x in p["b"]] for _ in part]
+        for d in "fb":
+            h = [0.0] * len(p[f"{d}Uz"])
+            for t in range(len(part)) if d == "f" else reversed(range(len(part))):
+                c = part[t]
+                z = clip([float(p[f"{d}Ez"][c][j]) + x for j, x in enumerate(times(h, p[f"{d}Uz"]))], 0.0)
+                r = clip([float(p[f"{d}Er"][c][j]) + x for j, x in enumerate(times(h, p[f"{d}Ur"]))], 0.0)
+                g = clip([float(p[f"{d}En"][c][j]) + r[j] * x for j, x in enumerate(times(h, p[f"{d}Un"]))], -1.0)
+                h = [z[j] * h[j] + (1 - z[j]) * g[j] for j in range(len(h))]
+                for k in range(len(net.langs)):
+                    logits[t][k] += sum(h[j] * float(p[f"{d}W"][j][k]) for j in range(len(h)))
+        for c, row in zip(part, logits):
+            if L.LETTER_BYTES[c]:
+                top = [np.exp(x - max(row)) for x in row]
+                total = [a + x / sum(top) for a, x in zip(total, top)]
+                n += 1
+    return [x / max(1, n) for x in total]
+
+
+def test_language_against_a_slow_network(spark):
+    net = L.new_network(["de", "en", "fr"], units=5, seed=4)
+    texts = ["the cat", "é", "wörter und 12 zahlen " * 9, "x" * 70, "a b c d e f " * 30, "q"]
+    docs = spark.createDataFrame(edges(None, *texts), EDGES).repartition(2)
+    found = {r.doc_id: r for r in L.predict_language(docs, net, segment=100).collect()}
+    for i, text in enumerate(texts, 1):
+        want = slow_probabilities(net, text, 100)
+        assert found[i].lang_pred == net.langs[int(np.argmax(want))] and found[i].score == pytest.approx(max(want), abs=1e-4)
 
 
 def test_language_held_out(spark):

@@ -1,9 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network runs over windows of a text's UTF-8 bytes in both directions, labels every position, and a
-document's probabilities are the mean over the positions that belong to letters. It is trained in
-numpy by backpropagation through time, on windows from a bounded sample of labelled documents. Its
-activations are piecewise linear, which numpy evaluates several times faster than tanh.
+The network runs over a text's UTF-8 bytes in both directions, its state carried along, labels every
+position, and a document's probabilities are the mean over the positions that belong to letters. Texts
+of more than SEGMENT bytes are read in segments, each from a state of its own. The network is trained in
+numpy by backpropagation through time, on windows from a bounded sample of labelled documents. Its gates
+are piecewise linear (a hard sigmoid and a hard tanh).
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 #: Labelled documents of each language that the network is trained on, in expectation, and windows of each.
 SAMPLE_DOCS, WINDOWS_PER_DOC = 600, 8
 WINDOW = 48
+#: Bytes that a state is carried over at most, and steps that are taken at once.
+SEGMENT, STEPS = 8192, 32
 UNITS = 12
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of ASCII letters and of characters beyond ASCII.
@@ -44,16 +47,21 @@ def new_network(langs: list[str], units: int = UNITS, seed: int = 7) -> Network:
     return Network(langs, parts)
 
 
-def sweep(parts: dict, d: str, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-    """States after each position, (T, B, units); x: bytes (T, B). keep gets what the gradient needs."""
+def sweep(parts: dict, d: str, x: np.ndarray, keep: list | None = None, h: np.ndarray | None = None) -> np.ndarray:
+    """States after each position, (T, B, units); x: bytes (T, B). keep gets what the gradient needs.
+
+    Direction b runs from the last position to the first. With a state h to start from, x is already in the
+    order of the direction.
+    """
     t_end, b = x.shape
     units = parts[f"{d}Uz"].shape[0]
     ez, er, en, uz, ur, un = (parts[f"{d}{k}{g}"] for k in "EU" for g in GATES)
     out = np.empty((t_end, b, units), np.float32)
-    h = np.zeros((b, units), np.float32)
+    forward = d == "f" or h is not None
+    h = np.zeros((b, units), np.float32) if h is None else h
     z, r, n, g = (np.empty((b, units), np.float32) for _ in range(4))
     zero, one = np.float32(0), np.float32(1)
-    for t in range(t_end) if d == "f" else range(t_end - 1, -1, -1):
+    for t in range(t_end) if forward else range(t_end - 1, -1, -1):
         xt = x[t]
         for gate, e, u in ((z, ez, uz), (r, er, ur)):
             np.take(e, xt, 0, out=gate, mode="clip")
@@ -149,16 +157,41 @@ def train(net: Network, x: np.ndarray, y: np.ndarray, steps: int = 240, batch: i
     return float(np.mean(losses[-20:]))
 
 
-def windows_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes (n, window), row of each window) that cover data[starts[i]:ends[i]] for each i; 0 beyond an end."""
-    count = -(-(ends - starts) // window)
+def segments_of(starts: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the segments of most bytes that each [start, end) is cut into."""
+    count = -(-(ends - starts) // most)
     row = np.repeat(np.arange(len(starts)), count)
-    first = np.repeat(starts, count) + window * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
-    at = first[:, None] + np.arange(window)
-    inside = at < ends[row][:, None]
-    x = data[np.minimum(at, max(len(data) - 1, 0))]
-    x[~inside] = 0
-    return x, row
+    first = starts[row] + most * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+    return first, np.minimum(first + most, ends[row])
+
+
+def byte_probabilities(net: Network, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """(len(data), langs): the label of every byte of the segments [start, end) of data.
+
+    Longer segments come first, so those still going on are a head of the list; a segment's last steps
+    may go beyond its end, where nothing is kept.
+    """
+    p = net.parts
+    out = np.zeros((len(data), len(net.langs)), np.float32)
+    out += p["b"]
+    order = np.argsort(starts - ends, kind="stable")
+    starts, ends = starts[order], ends[order]
+    lengths = ends - starts
+    step = np.arange(steps)[:, None]
+    for d in "fb":
+        h = np.zeros((len(starts), p[f"{d}Uz"].shape[0]), np.float32)
+        for at in range(0, int(lengths[0]) if len(lengths) else 0, steps):
+            m = int(np.searchsorted(-lengths, -at))  # segments longer than this
+            place = starts[:m] + at + step if d == "f" else ends[:m] - 1 - at - step
+            inside = at + step < lengths[:m]
+            x = data[np.clip(place, 0, len(data) - 1)].astype(np.intp)
+            states = sweep(p, d, x, h=h[:m])
+            h = states[-1]
+            out[place[inside]] += (states @ p[f"{d}W"])[inside]
+    out -= out.max(-1, keepdims=True)
+    np.exp(out, out=out)
+    out /= out.sum(-1, keepdims=True)
+    return out
 
 
 def training_windows(text: str, doc_id: int, per_doc: int = WINDOWS_PER_DOC) -> np.ndarray:
@@ -199,46 +232,47 @@ def learn_network(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: in
     return net
 
 
-def _predict(net: Network, block: int = 2048):
+def _predict(net: Network, segment: int, block: int = 2 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(net.langs)
         names = np.array([*net.langs, "und"], dtype=object)
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_string())
-            raw = [t.encode() if t is not None else b"" for t in texts.to_pylist()]
+            texts = batch.column(1).cast(pa.large_string()).to_pylist()
+            raw = [t.encode("utf-8", "replace") if t is not None else b"" for t in texts]
             ends = np.cumsum([len(b) for b in raw], dtype=np.int64)
             starts = ends - np.fromiter(map(len, raw), np.int64, len(raw))
             data = np.frombuffer(b"".join(raw) or b"\0", np.uint8)
+            first, last = segments_of(starts, ends, segment)
             sums, weights = np.zeros((len(raw), k)), np.zeros(len(raw))
             lo = 0
-            while lo < len(raw):  # some rows at a time: windows take several times the text's room
-                hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + (4 << 20), "right")))
-                for at in range(int(starts[lo]), int(ends[hi - 1]), 4 << 20):  # a very long text is worked through piece by piece
-                    upto = min(int(ends[hi - 1]), at + (4 << 20))
-                    x, row = windows_of(data, np.maximum(starts[lo:hi], at), np.minimum(ends[lo:hi], upto).clip(np.maximum(starts[lo:hi], at)))
-                    for i in range(0, len(x), block):
-                        xb = np.ascontiguousarray(x[i:i + block].T).astype(np.intp)
-                        letters = LETTER_BYTES[xb]
-                        p = (position_probabilities(net, xb) * letters[..., None]).sum(0)
-                        np.add.at(sums, lo + row[i:i + block], p)
-                        np.add.at(weights, lo + row[i:i + block], letters.sum(0))
+            while lo < len(first):  # some segments at a time, together about a block
+                hi = max(lo + 1, int(np.searchsorted(last, first[lo] + block, "right")))
+                a, b = int(first[lo]), int(last[hi - 1])
+                letters = LETTER_BYTES[data[a:b]]
+                found = byte_probabilities(net, data[a:b], first[lo:hi] - a, last[lo:hi] - a)
+                found *= letters[:, None]
+                begin = first[lo:hi] - a
+                row = np.searchsorted(ends, first[lo:hi], "right")
+                np.add.at(sums, row, np.add.reduceat(found, begin, 0, dtype=np.float64))
+                np.add.at(weights, row, np.add.reduceat(letters, begin, dtype=np.int64))
                 lo = hi
             mean = sums / np.maximum(weights, 1)[:, None]
             best = mean.argmax(1)
             score = mean[np.arange(len(raw)), best]
-            none = np.array([t is None or not LETTER.search(t) for t in texts.to_pylist()], bool)
+            none = np.array([t is None or not LETTER.search(t) for t in texts], bool)
             best[none], score[none] = k, 0.0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(np.clip(score, 0, 1))], ["id", "lang_pred", "score"])
 
     return run
 
 
-def predict_language(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predict_language(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", segment: int = SEGMENT) -> DataFrame:
     """(id, lang_pred, score) for each row of docs, from the whole text.
 
-    Defined results: null texts and texts without a letter are `und` with score 0; repeated rows get
-    equal predictions; without labelled rows all others are `und` too; an empty table gives an empty
+    Defined results: null texts and texts without a letter are `und` with score 0; texts of any length are
+    read whole, in segments; repeated rows get equal predictions; of equally probable languages the first by
+    name is taken; without labelled rows all others are `und` too; an empty table gives an empty
     one; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_predict(net), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(_predict(net, segment), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
