@@ -73,3 +73,39 @@ def test_every_notice_is_found(spark):
     found = {(r.doc_id, r.license_id) for r in S.scan_licenses(docs).collect()}
     want = {(r.doc_id, k) for r in docs.collect() for k, t in S.TEMPLATES.items() if t in r.text}
     assert want and want <= found
+
+
+def test_short_notices_count_word_by_word(spark):
+    texts = [
+        "Released under the BSD License.", "Licensed under CC BY-ND 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Released under the new MIT License.",
+    ]
+    found = S.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license_id) for r in found) == [(0, "bsd-notice"), (1, "cc-by-nd-4.0-notice"), (3, "cc-by-nc-4.0-sentence")]
+
+
+def test_spread(spark):
+    """A license with other words between its own is one place as far as spread goes."""
+    mit = S.TEMPLATES["mit"].split()
+    rows = [(k, " ".join(w + " page footer" * (i % 2) * k for i, w in enumerate(mit))) for k in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [(r.doc_id, r.coverage) for r in S.scan_licenses(docs).collect()] == [(0, 1.0)]
+    assert sorted((r.doc_id, r.coverage) for r in S.scan_licenses(docs, spread=2.5).collect()) == [(0, 1.0), (1, 1.0)]
+
+
+def test_longer_licenses_win(spark):
+    texts = [S.TEMPLATES[k] for k in ("bsd-3-clause", "isc-whole", "lgpl-header", "agpl-header", "gpl-header", "zlib", "unlicense", "mpl-2.0-notice")]
+    found = S.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.license_id for r in sorted(found)] == ["bsd-3-clause", "isc-whole", "lgpl-header", "agpl-header", "gpl-header", "zlib", "unlicense", "mpl-2.0-notice"]
+
+
+def test_long_texts_of_license_words(spark):
+    """Words of a license over and over, in no order: looked at in good time, and no license."""
+    import time
+
+    rng = random.Random(6)
+    words = S.TEMPLATES["mit"].split()
+    texts = [" ".join(rng.sample(words, len(words)) * 1)for _ in range(2)] + [" ".join(w for _ in range(120) for w in rng.sample(words, len(words))), "license " * 30_000]
+    began = time.perf_counter()
+    found = S.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert not found and time.perf_counter() - began < 60

@@ -3,9 +3,12 @@
 A text's words and a license's are aligned on words that are unique in both: the longest increasing
 subsequence of their places gives the anchors, the gaps between anchors are aligned in the same way,
 and a gap without anchors by its longest common subsequence. A license is found where its aligned words
-cover enough of it. Only spans that hold as many of a license's words as that takes, each as often as
-the license does at most, are aligned; no other span could reach the coverage. Where places of several licenses overlap, the one with most aligned
-words stays: a notice of version 3 isn't one of version 2 as well.
+cover enough of it. A place of a license spans at most `spread` times its words, which is what makes it
+one: further apart, common words stand in any order somewhere. Only spans that hold as many of a license's
+words as the coverage takes, each as often as the license does at most, are aligned; no other span could
+reach it. Notices of fewer than SHORT words count only where they stand word by word: one word more or less
+makes another license of them. Where places of several licenses overlap, the one with most aligned words
+stays: a notice of version 3 isn't one of version 2 as well.
 """
 
 from __future__ import annotations
@@ -20,9 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, fresh
+from .decontaminate import common_subsequence
 from .vectors import LETTERS, groups_of, hashed_words
 
-COVERAGE = 0.8
+COVERAGE, SPREAD = 0.8, 1.5
+#: Templates of fewer words count only where all their words stand side by side.
+SHORT = 16
 
 # Notices and license texts, as published.
 TEMPLATES = {
@@ -35,6 +41,14 @@ TEMPLATES = {
     "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0.",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0-sentence": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "bsd-notice": "Released under the BSD License.",
+    "cc-by-nd-4.0-notice": "Licensed under CC BY-ND 4.0.",
+    "cc-by-nc-sa-4.0-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nc-nd-4.0-notice": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nc-4.0-sentence": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-sa-4.0-sentence": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "mpl-2.0-notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with
+        this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "cc0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the
         "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish,
@@ -46,6 +60,29 @@ TEMPLATES = {
         CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the
         above copyright notice and this permission notice appear in all copies.""",
+    "isc-whole": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
+        the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+        WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE
+        LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+        WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+        SOFTWARE.""",
+    "lgpl-header": """This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+        FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "agpl-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as
+        published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+        distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+        FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+        arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+        applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be
+        misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the
+        product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be
+        misrepresented as being the original software. This notice may not be removed or altered from any source distribution.""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+        distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
+        means.""",
     "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the
         License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in
         writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either
@@ -58,6 +95,13 @@ TEMPLATES = {
         conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following
         disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
         in the documentation and/or other materials provided with the distribution.""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions
+        are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its
+        contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE
+        IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+        IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
 }
 
 
@@ -131,9 +175,9 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def span_of(size: int) -> int:
-    """Words that a place of a template spans at most: half as many again as the template has, and two."""
-    return size + size // 2 + 2
+def span_of(size: int, spread: float = SPREAD) -> int:
+    """Words that a place of a template spans at most."""
+    return int(size * spread) + 2
 
 
 def most_aligned(own: np.ndarray, kind: np.ndarray, begin: np.ndarray, counts: np.ndarray, span: int) -> np.ndarray:
@@ -146,29 +190,38 @@ def most_aligned(own: np.ndarray, kind: np.ndarray, begin: np.ndarray, counts: n
     order = np.argsort(kind, kind="stable")
     k, p = kind[order], own[order]
     before = np.arange(len(p)) - counts[k]
-    same = (before >= 0) & (k[before] == k)
-    first = np.maximum(np.where(same, p[before], -1), np.maximum(p - span, begin[order] - 1)) + 1
+    earlier = np.maximum(before, 0)
+    same = (before >= 0) & (k[earlier] == k)
+    first = np.maximum(np.where(same, p[earlier], -1), np.maximum(p - span, begin[order] - 1)) + 1
     change = np.bincount(np.searchsorted(own, first), minlength=len(own) + 1)
     change[1:] -= 1  # each place counts up to the start that it is itself
     return np.cumsum(change[:-1])
 
 
-def places_of(starts: list[int], most: list[int], words: np.ndarray, template: list[int], least: float) -> list[tuple[float, int, int]]:
+def places_of(starts: list[int], most: list[int], words: np.ndarray, template: list[int], least: float, spread: float = SPREAD) -> list[tuple[float, int, int]]:
     """(coverage, first word, last word) of each place of a template.
 
     starts: ascending places where enough of the template's words follow within its span; most: how many
     of them can be aligned.
     """
-    m, span = len(template), span_of(len(template))
+    m, span = len(template), span_of(len(template), spread)
     out: list[tuple[float, int, int]] = []
+    if m < SHORT:
+        for k in starts:
+            if (not out or k > out[-1][2]) and words[k:k + m].tolist() == template:
+                out.append((1.0, k, k + m - 1))
+        return out
+    whole = np.array(template, np.uint64)
     k = 0
     while k < len(starts):
         best, group = None, starts[k]
         # a stray word may come before the place: of the starts within one span, the best alignment counts
         while k < len(starts) and starts[k] < group + span and not (best and best[0] == m):
             first = starts[k]
-            if best is None or most[k] > best[0]:
-                pairs = patience(template, words[first:min(len(words), first + span)].tolist())
+            part = words[first:min(len(words), first + span)]
+            # no alignment is longer than the longest common subsequence, which is soon known
+            if (best is None or most[k] > best[0]) and common_subsequence(whole, part) >= max(least * m, best[0] + 1 if best else 0):
+                pairs = patience(template, part.tolist())
                 if len(pairs) >= least * m and (best is None or len(pairs) > best[0]):
                     best = (len(pairs), first + pairs[0][1], first + pairs[-1][1])
             k += 1
@@ -181,10 +234,10 @@ def places_of(starts: list[int], most: list[int], words: np.ndarray, template: l
 
 def apart(found: list[tuple[int, str, float, int, int]]) -> list[tuple[int, str, float, int, int]]:
     """(aligned words, license, coverage, first, last) without those that overlap a better one: more aligned
-    words, then a shorter place, then the name."""
+    words, then a shorter place, then a higher coverage, then the name."""
     out: list[tuple[int, str, float, int, int]] = []
     taken: list[tuple[int, int]] = []
-    for f in sorted(found, key=lambda f: (-f[0], f[4] - f[3], f[1], f[3])):
+    for f in sorted(found, key=lambda f: (-f[0], f[4] - f[3], -f[2], f[1], f[3])):
         at = bisect.bisect_left(taken, (f[3], f[4]))
         if (at == 0 or taken[at - 1][1] < f[3]) and (at == len(taken) or f[4] < taken[at][0]):
             taken.insert(at, (f[3], f[4]))
@@ -192,7 +245,7 @@ def apart(found: list[tuple[int, str, float, int, int]]) -> list[tuple[int, str,
     return out
 
 
-def _scan(templates: dict[str, list[int]], least: float):
+def _scan(templates: dict[str, list[int]], least: float, spread: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unique(np.array([w for t in templates.values() for w in t] or [0], np.uint64))
         counts = {name: np.bincount(np.searchsorted(known, np.array(t, np.uint64)), minlength=len(known)) for name, t in templates.items() if t}
@@ -211,12 +264,12 @@ def _scan(templates: dict[str, list[int]], least: float):
                     size = len(templates[name])
                     chosen = count[of] > 0
                     own, text = hits[chosen], text_of[chosen]
-                    most = most_aligned(own, of[chosen], offsets[text], count, span_of(size))
+                    most = most_aligned(own, of[chosen], offsets[text], count, span_of(size, spread))
                     enough = np.flatnonzero(most >= least * size)
                     own, text, most = own[enough], text[enough], most[enough]
                     for t in np.unique(text).tolist():
                         a, b = np.searchsorted(text, [t, t + 1])
-                        found = places_of((own[a:b] - offsets[t]).tolist(), most[a:b].tolist(), words[offsets[t]:offsets[t + 1]], templates[name], least)
+                        found = places_of((own[a:b] - offsets[t]).tolist(), most[a:b].tolist(), words[offsets[t]:offsets[t + 1]], templates[name], least, spread)
                         places.setdefault(t, []).extend((round(c * size), name, c, first, last) for c, first, last in found)
                 for t in sorted(places):
                     kept: dict[str, list] = {}
@@ -231,17 +284,21 @@ def _scan(templates: dict[str, list[int]], least: float):
     return run
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(
+    docs: DataFrame, templates: dict[str, str] | None = None, least: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", spread: float = SPREAD,
+) -> DataFrame:
     """(doc_id, license_id, coverage, n_places, first_word, last_word): a row for each row of docs and license in it.
 
     coverage, first_word and last_word are of the place that covers most, the first of equal ones; words
-    are runs of letters and digits, counted from 0. Defined results: null and empty texts and templates
-    without words are found nowhere; repeated rows are found each; an empty table gives an empty one;
+    are runs of letters and digits, counted from 0. templates: texts by name, TEMPLATES if none are given.
+    Defined results: null and empty texts and templates without words are found nowhere; texts of any length
+    are scanned whole; of licenses that overlap in as many words the shorter place stays, then what it covers more of, then the first
+    name; repeated rows are found each; an empty table gives an empty one;
     other columns are ignored.
     """
     known = {name: template_words(text) for name, text in (TEMPLATES if templates is None else templates).items()}
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scan(known, least), "doc_id long, license_id string, coverage double, n_places long, first_word long, last_word long")
+    return rows.mapInArrow(_scan(known, least, spread), "doc_id long, license_id string, coverage double, n_places long, first_word long, last_word long")
 
 
 def without_licenses(docs: DataFrame, licenses: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
