@@ -336,6 +336,39 @@ def test_token_files(spark, tmp_path):
     T.write_token_files(spark.createDataFrame([], EDGES), none, TOKENIZER)
 
 
+def test_index_follows_the_files(spark, tmp_path):
+    """Starts and checksums belong to what stands there in the files, also where ids repeat."""
+    rows = [(k // 3, f"word{k} " * (k * 7 % 5 + 1), "x", "y", 0, "z") for k in range(60)] + [(4, None, "x", "y", 0, "z"), (4, "", "x", "y", 0, "z"), (None, "a", "x", "y", 0, "z")]
+    path = str(tmp_path / "tokens")
+    T.write_token_files(spark.createDataFrame(rows, EDGES).repartition(4), path, TOKENIZER)
+    parts = sorted((r.part, r.place, r.doc_id, r.ids) for r in spark.read.parquet(path).select("*", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("part")).collect())
+    stream = [x for *_, ids in parts for x in ids]
+    assert [d for _, _, d, _ in parts] == sorted((r[0] for r in rows), key=lambda d: (d is not None, d))
+    found = T.token_index(spark, path).collect()
+    assert len(found) == len(rows) and sorted(r.start for r in found) == [0, *np.cumsum([len(p[3]) for p in parts])[:-1].tolist()]
+    for r in found:
+        assert r.ids_crc32 == zlib.crc32(np.array(stream[r.start:r.start + r.n_tokens], "<u4").tobytes())
+    none = str(tmp_path / "none")
+    T.write_token_files(spark.createDataFrame([], EDGES), none, TOKENIZER)
+    assert T.token_index(spark, none).count() == 0
+
+
+def test_other_tokenizers_go_to_the_library(tmp_path):
+    import json
+
+    with open(TOKENIZER, encoding="utf-8") as file:
+        settings = json.load(file)
+    assert T.takes_pieces(settings) and isinstance(T.encoder_of(TOKENIZER), T.WordEncoder)
+    settings["normalizer"]["normalizers"].pop()
+    other = tmp_path / "cased.json"
+    other.write_text(json.dumps(settings), encoding="utf-8")
+    encoder = T.encoder_of(str(other))
+    assert not T.takes_pieces(settings) and isinstance(encoder, T.TextEncoder)
+    offsets, ids = encoder.encode(["It's A b", "", "é"], 1)
+    for k, t in enumerate(["It's A b", "", "é"]):
+        assert ids[offsets[k]:offsets[k + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids + [1]
+
+
 # Decontamination
 
 

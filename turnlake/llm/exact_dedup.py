@@ -45,13 +45,6 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], ["sha", "body", "length", "points", "id", "n"])
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text as bytes) -> (id, sha)."""
-    for batch in batches:
-        shas = [hashlib.sha256(t.as_buffer().to_pybytes().translate(None, DELETED) if t.is_valid else b"").digest() for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas, pa.binary())], ["id", "sha"])
-
-
 def _owners(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = SpillingTrie(limit)
@@ -97,7 +90,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null id ranks after all others of equal length; rows that repeat the owner's id are all kept, as
     ids tell rows apart; an empty table gives an empty one; other columns are ignored.
     """
-    digests = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_digests, "id long, sha binary")
+    body = F.translate(F.coalesce(text_col, F.lit("")), SPACES, "")
+    digests = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(body.cast("binary"), 256)).alias("sha"))
     owners = text_owners(docs, id_col, text_col, trie_bytes)
     kept: Column = F.col("id").eqNullSafe(F.col("keep_id"))
     return digests.join(owners, "sha").select(

@@ -49,11 +49,13 @@ class SpillingTrie:
         self.own = folder is None
         self.folder = folder or tempfile.mkdtemp(prefix="trie-")
         self.root, self.bytes, self.files = Node(b""), 0, {}
+        self.lengths: list[int] = []  # of the spilled prefixes
         self.spills = 0
 
     def insert(self, key: bytes, rank: tuple, count: int, tag) -> None:
-        for prefix, file in self.files.items():
-            if key.startswith(prefix):
+        for n in self.lengths:
+            file = self.files.get(key[:n])
+            if file is not None:
                 pickle.dump((key, rank, count, tag), file)
                 return
         self._place(key, rank, count, tag)
@@ -89,24 +91,33 @@ class SpillingTrie:
             prefix += node.label
         if not node.children:
             return  # a single text: nothing to part
-        sizes = {b: sum(NODE_BYTES + len(x.label) for x, _ in self._walk(c, b"")) for b, c in node.children.items()}
+        sizes = {b: self._size(c) for b, c in node.children.items()}
         largest = max(sizes, key=sizes.get)
         child = node.children.pop(largest)
-        # The texts' first depth bytes aren't in this trie; any text below has them.
-        whole = [x for x in self._walk(child, bytes(prefix))]
         file = open(os.path.join(self.folder, f"{self.depth}-{len(prefix)}-{largest}-{self.spills}-{id(self)}"), "w+b")
         self.spills += 1
         head = self._head + bytes(prefix) + bytes([largest])
-        for x, path in whole:
+        # The texts' first depth bytes aren't in this trie; any text below has them. One text at a time is put together.
+        for x, path in self._walk(child, bytes(prefix)):
             if x.count:
                 pickle.dump((self._head + path, x.rank, x.count, x.tag), file)
         self.files[head] = file
+        self.lengths = sorted(set(map(len, self.files)), reverse=True)  # a longer one was there first
         self.bytes -= sizes[largest]
 
     @property
     def _head(self) -> bytes:
         return getattr(self, "head", b"")
 
+    @staticmethod
+    def _size(node: Node) -> int:
+        total, stack = 0, [node]
+        while stack:
+            node = stack.pop()
+            total += NODE_BYTES + len(node.label)
+            stack += node.children.values()
+        return total
+
     @staticmethod
     def _walk(node: Node, before: bytes) -> Iterator[tuple[Node, bytes]]:
         stack = [(node, before)]

@@ -7,6 +7,7 @@ so that a filter on doc_id reads few pages and metadata is read without any toke
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
@@ -36,6 +37,12 @@ LETTER, DIGIT = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f", r"0-9\xb2\xb
 SPLIT = re.compile(rf"[{LETTER}]+|'(?:s|t|re|ve|m|ll|d)|[{DIGIT}]|[^\s{LETTER}{DIGIT}]+")
 #: Beyond these characters, normalisation or lower case may take more than a character at a time.
 UNUSUAL = re.compile("[^\x01-\x1b\x20-\u012f\u0131-\u017f]|<\\|")
+#: The settings of a tokenizer file that the pieces above are made for; fixed values of the tokenizer file.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 RAW = "\0"
 #: Byte-level tokenizers show a byte as a printable character: itself where it is one, else the next from U+0100 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -54,6 +61,33 @@ class Places(dict):
         return place
 
 
+def takes_pieces(settings: dict) -> bool:
+    """Whether a tokenizer file's settings are those that pieces are made for: then a text's ids are its pieces' ids."""
+    normal, split, model = (settings.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    added = all(a["content"].startswith("<|") and not a["normalized"] for a in settings.get("added_tokens") or [])
+    return (
+        normal.get("normalizers") == NORMALIZERS and split.get("pretokenizers") == PRE_TOKENIZERS and model.get("type") == "BPE"
+        and not model.get("dropout") and added and not settings.get("truncation") and not settings.get("padding"))
+
+
+def ended(lists: list[list[int]], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, ids) of all lists, end_id after each."""
+    offsets = np.cumsum([0] + [len(x) + 1 for x in lists]).astype(np.int32)
+    return offsets, np.fromiter(chain.from_iterable(chain(x, (end_id,)) for x in lists), np.int32, int(offsets[-1]))
+
+
+class TextEncoder:
+    """Ids of whole texts by the library alone, for any tokenizer."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        return ended([e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)], end_id)
+
+
 class WordEncoder:
     """Ids of whole texts from the library's ids of their pieces, each of which is encoded once.
 
@@ -140,18 +174,20 @@ def pieces(texts: list[str | None], most: int) -> Iterator[list[str]]:
         yield out
 
 
-def encoder_of(path: str) -> WordEncoder:
-    """The encoder that this process keeps from task to task."""
+def encoder_of(path: str) -> WordEncoder | TextEncoder:
+    """The encoder that this process keeps from task to task: by pieces where the tokenizer file allows it."""
     kept = sys.modules.setdefault("turnlake_kept", types.ModuleType("turnlake_kept")).__dict__.setdefault("encoders", {})
     if path not in kept:
         kept.clear()
-        kept[path] = WordEncoder(path)
+        with open(path, encoding="utf-8") as file:
+            settings = json.load(file)
+        kept[path] = (WordEncoder if takes_pieces(settings) else TextEncoder)(path)
     return kept[path]
 
 
 def _encode(path: str, end_id: int, most: int = 1 << 19, rows: int = 500):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
+        encoder, place = encoder_of(path), 0
         for whole in batches:
             for first in range(0, whole.num_rows, rows):
                 batch = whole.slice(first, rows)
@@ -159,8 +195,10 @@ def _encode(path: str, end_id: int, most: int = 1 << 19, rows: int = 500):
                 for texts in pieces(batch.column(1).to_pylist(), most):
                     offsets, ids = encoder.encode(texts, end_id)
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(np.diff(offsets).astype(np.int64)), lists], ["doc_id", "n_tokens", "ids"])
+                    places = pa.array(np.arange(place, place + len(texts), dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), places, pa.array(np.diff(offsets).astype(np.int64)), lists], ["doc_id", "place", "n_tokens", "ids"])
                     at += len(texts)
+                    place += len(texts)
 
     return run
 
@@ -168,15 +206,16 @@ def _encode(path: str, end_id: int, most: int = 1 << 19, rows: int = 500):
 def write_token_files(
     docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
 ) -> None:
-    """Writes (doc_id, n_tokens, ids) in ascending doc_id order, part after part.
+    """Writes (doc_id, place, n_tokens, ids) in ascending doc_id order, part after part; place is the row's number
+    in its part.
 
-    Defined results: a null or empty text has the end id alone; null ids come first; rows that repeat an
-    id follow one another in the order of their text; an empty table gives files without rows; other
-    columns are ignored.
+    Defined results: a null or empty text has the end id alone; texts of any length are encoded whole; null
+    ids come first; rows that repeat an id follow one another in the order of their text's hash, and may be
+    dealt to several parts; an empty table gives files without rows; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = ordered.mapInArrow(_encode(tokenizer_path, end_id), "doc_id long, n_tokens long, ids array<int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    ordered = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash").select("doc_id", "text")
+    encoded = ordered.mapInArrow(_encode(tokenizer_path, end_id), "doc_id long, place long, n_tokens long, ids array<int>")
     encoded.write.options(**FILE_OPTIONS).parquet(path)
 
 
@@ -197,25 +236,25 @@ def read_tokens(spark: SparkSession, path: str, first_id: int | None = None, las
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        lists = batch.column(2)
+        lists = batch.column(3)
         values, offsets = lists.values, lists.offsets.to_numpy()
         crcs = [zlib.crc32(values[a:b].to_numpy().astype("<u4").tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "part", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(offsets).astype(np.int64)), pa.array(crcs, pa.int64())], ["doc_id", "part", "place", "n_tokens", "ids_crc32"])
 
 
 def token_index(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files' ids; start counts the ids of all rows before.
 
-    Files hold ascending ranges, so running sums are taken in each file and shifted by the totals of the
-    files before it.
+    Files hold ascending ranges, so running sums are taken in each file, in the order of its rows, and
+    shifted by the totals of the files before it.
     """
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
-    rows = spark.read.parquet(path).select("doc_id", part.alias("part"), "ids").mapInArrow(_checksums, "doc_id long, part int, n_tokens long, ids_crc32 long")
+    rows = spark.read.parquet(path).select("doc_id", part.alias("part"), "place", "ids").mapInArrow(_checksums, "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row a file.
     shifts = read_metadata_parts(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("total")).select(
         "part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("shift"))
-    inside = Window.partitionBy("part").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     summed = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
     return summed.join(F.broadcast(shifts), "part").select("doc_id", (F.col("shift") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
