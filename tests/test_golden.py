@@ -41,7 +41,9 @@ def test_point_event_reverts_to_base(spark):
     grid = {r.scenario_id: r for r in G.grid(G.lengths(G.with_events(scenarios, targets))).collect()}
     flags = grid["a"].flags
     assert flags[:2] == ["LISTEN"] * 2 and flags[2:5] == ["INCOMPLETE"] * 3 and flags[5] == "COMMIT_LLM" and flags[6] == "LISTEN"
-    assert grid["a"].states[4:6] == ["IDLE", "LLM_GEN"] and set(grid["b"].flags) == {"HOLD"}
+    assert grid["a"].states[4:6] == ["IDLE", "LLM_GEN"]
+    # an empty timeline is one LISTEN at frame 0, whatever the agent does
+    assert set(grid["b"].flags) == {"LISTEN"} and set(grid["b"].states) == {"TTS_SPEAKING"}
     assert len(flags) == grid["a"].num_frames == 25
 
 
@@ -50,7 +52,56 @@ def test_char_to_time(spark):
     words = [("hi", 0.5, 0.9, 2, 3), ("you", 1.0, 1.6, 5, 7)]
     df = spark.createDataFrame([(c, words) for c in (0, 2, 3, 4, 6)], "c int, words array<struct<text:string,start_s:double,end_s:double,start_char:int,end_char:int>>")
     found = [round(r[0], 6) for r in df.select(G.char_to_time(F.col("words"), F.col("c"))).collect()]
-    assert found == [0.5, 0.5, 0.7, 1.6, 1.2]
+    assert found == [0.5, 0.5, 0.9, 1.6, 1.3]
+    none = df.select(G.char_to_time(F.array().cast(df.schema["words"].dataType), F.col("c"), F.lit(2.0), F.lit(8))).collect()
+    assert [r[0] for r in none] == [0.0, 0.5, 0.75, 1.0, 1.5]
+
+
+#: Eight published records: audio and window lengths, flags and states as (first frame, id), spoken frames.
+SAMPLES = [
+    ("sample_endpoint_en", "IDLE", 10, [(0, "LISTEN", ""), (18, "PREFETCH_LLM", ""), (24, "TURN_END", ""), (25, "COMMIT_LLM", "")], 57, 65, {18: 7, 24: 3, 25: 8}, 0, [(0, 0), (18, 1)], []),
+    ("sample_backchannel_en", "TTS_DONE", 10, [(0, "LISTEN", ""), (20, "LISTEN", "right")], 57, 65, {}, 0, [(0, 3)], [(20, "right")]),
+    ("sample_backchannel_silent_hi", "TTS_DONE", 12, [(0, "LISTEN", ""), (14, "LISTEN", "")], 68, 76, {}, 0, [(0, 3)], []),
+    ("sample_barge_real_hi", "TTS_SPEAKING", 7, [(0, "HOLD", ""), (2, "BARGE_HARD", "")], 40, 48, {2: 5}, 1, [(0, 2), (2, 0)], []),
+    ("sample_barge_lookalike_hi", "TTS_SPEAKING", 4, [(0, "HOLD", ""), (3, "CONTINUE", "")], 23, 31, {k: 6 for k in range(3, 31)}, 1, [(0, 2)], []),
+    ("sample_incomplete_gu", "IDLE", 6, [(0, "LISTEN", ""), (16, "INCOMPLETE", "yes")], 34, 42, {k: 2 for k in range(16, 42)}, 0, [(0, 0)], [(16, "yes")]),
+    ("sample_silence_break_en", "IDLE", 1, [(0, "LISTEN", ""), (40, "SILENCE_BREAK", "Are you still there?")], 6, 49, {40: 10}, 0, [(0, 0), (40, 2)], [(40, "Are you still there?")]),
+    ("sample_correction_hi", "IDLE", 9, [(0, "LISTEN", ""), (12, "INCOMPLETE", ""), (26, "TURN_END", "")], 51, 59, {**{k: 2 for k in range(12, 26)}, 26: 3}, 0, [(0, 0), (26, 1)], []),
+]
+
+
+def test_published_records(spark):
+    scenarios = spark.createDataFrame(
+        [(s[0], "b", "l", "d", "", " ".join(["w"] * s[2]), s[1]) for s in SAMPLES], "scenario_id string, behaviour string, language string, domain string, agent_text string, user_text string, agent_state string")
+    targets = spark.createDataFrame([(s[0], k, *e) for s in SAMPLES for k, e in enumerate(s[3])], "scenario_id string, ord int, frame_offset int, flag string, spoken_text string")
+    none = spark.createDataFrame([], "scenario_id string, frame int, e double")
+    found = {r.scenario_id: r for r in G.frame_records(G.lengths(G.with_events(scenarios, targets)), none).collect()}
+    for name, _, _, _, audio, frames, flags, base, states, spoken in SAMPLES:
+        r = found[name]
+        assert (r.audio_frames, r.num_frames) == (audio, frames) and r.flags == [flags.get(k, base) for k in range(frames)]
+        assert r.agent_state == [next(s for at, s in reversed(states) if at <= k) for k in range(frames)]
+        assert [(s.frame, s.text) for s in r.spoken_spans] == spoken and r.speaking_mask == [int(k in dict(spoken)) for k in range(frames)]
+        assert r.vad == [int(k < audio) for k in range(frames)]
+
+
+def test_states_follow_painted_flags(spark):
+    """A hidden event leads nowhere; events before the start are moved to it, those of one frame in list order."""
+    scenarios = spark.createDataFrame([("a", "x", "IDLE", "endpoint_end"), ("b", "x", "IDLE", "endpoint_end")], "scenario_id string, user_text string, agent_state string, behaviour string")
+    targets = spark.createDataFrame(
+        [("a", 0, 5, "TURN_END", ""), ("a", 1, 5, "INCOMPLETE", ""), ("b", 0, -3, "PREFETCH_LLM", ""), ("b", 1, 4, "HOLD", "")], "scenario_id string, ord int, frame_offset int, flag string, spoken_text string")
+    clips = G.with_events(scenarios, targets)
+    grid = {r.scenario_id: r for r in G.grid(G.lengths(clips)).collect()}
+    assert set(grid["a"].states) == {"IDLE"} and grid["a"].flags[5:] == ["INCOMPLETE"] * (len(grid["a"].flags) - 5)
+    assert grid["b"].flags[:5] == ["PREFETCH_LLM", "LISTEN", "LISTEN", "LISTEN", "HOLD"] and set(grid["b"].states) == {"LLM_GEN"}
+    moved = {r.scenario_id: [(e.frame_offset, e.ord) for e in r.events] for r in G.calibrated(clips, F.lit(2), G.primary_flag(F.col("behaviour"))).collect()}
+    assert moved == {"a": [(2, 0), (2, 1)], "b": [(0, 0), (2, 1)]}
+
+
+def test_words_of_characters(spark):
+    chunks = [(list("hi y"), [0.0, 0.1, 0.2, 0.3], [0.1, 0.2, 0.3, 0.4]), (list("ou !"), [0.4, 0.5, 0.6], [0.5, 0.6, 0.7, 0.8])]
+    df = spark.createDataFrame([(chunks,)], "chunks array<struct<characters:array<string>,starts:array<double>,ends:array<double>>>")
+    timeline = df.select(G.character_timeline(F.col("chunks")).alias("t"))
+    assert [tuple(w) for w in timeline.select(G.words_of_characters(F.col("t")).alias("w")).first().w] == [("hi", 0.0, 0.2, 0, 1), ("you", 0.3, 0.6, 3, 5)]
 
 
 def test_json_in_prose(spark):

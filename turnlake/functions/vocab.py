@@ -21,6 +21,12 @@ WORD_LIMITS = {"short": 30, "extended": 29, "long": 66}
 WIDTHS = {"TURN_END": (2, 3), "BARGE_SOFT": (2, 3), "BARGE_HARD": (2, 3), "PREFETCH_LLM": (1, 6), "COMMIT_LLM": (1, 2), "CANCEL_LLM": (1, 2), "SILENCE_BREAK": (2, 4)}
 #: Which event wins a frame, first to last.
 PAINT_ORDER = ["BARGE_HARD", "BARGE_SOFT", "TURN_END", "COMMIT_LLM", "CANCEL_LLM", "SILENCE_BREAK", "PREFETCH_LLM"]
+#: The flag that a behaviour's audio is aligned by.
+PRIMARY = {
+    "barge_real": "BARGE_HARD", "barge_lookalike": "CONTINUE", "backchannel": "LISTEN", "overlap_comp": "BARGE_SOFT", "overlap_coop": "CONTINUE",
+    "endpoint_end": "TURN_END", "endpoint_hold": "INCOMPLETE", "correction": "TURN_END", "incomplete_thinking": "INCOMPLETE",
+    "silence_break": "SILENCE_BREAK", "prefetch": "PREFETCH_LLM", "nonspeech_neg": "LISTEN",
+}
 SUSTAINED = ["LISTEN", "HOLD", "INCOMPLETE", "CONTINUE"]
 FRAME_MS, FRAMES_PER_SECOND, WORDS_PER_SECOND = 80, 12.5, 2.2
 

@@ -4,23 +4,66 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.vocab import FLAGS, PAINT_ORDER, WIDTHS
+from ..functions.vocab import FLAGS, PAINT_ORDER, PRIMARY, WIDTHS
 from ..operators import frames as G
 from ..operators import vad as V
-from ..sources.adapters import FRAMES, SCENARIOS, TARGETS, adapted, oracle
+from ..sources.adapters import FRAMES, HEARD, SCENARIOS, TARGETS, adapted, oracle
 from .quality import WORDS
 from .registry import query
 
 S, T, FR = oracle(SCENARIOS), oracle(TARGETS), oracle(FRAMES)
 FLAG_IDS = "list_position([" + ", ".join(f"'{f}'" for f in FLAGS) + "], {x}) - 1"
-CLIPS = f"""s AS ({S}), t AS ({T}), e AS (SELECT scenario_id, max(frame_offset) AS last FROM t GROUP BY scenario_id),
-sized AS (SELECT s.*, CAST(round_even(greatest(1, {WORDS.format(x='user_text')}) / 2.2e0 * 12.5e0, 0) AS BIGINT) AS audio_frames, coalesce(last, 0) AS last FROM s LEFT JOIN e USING (scenario_id)),
+#: Characters of a clip's speech take 0.06 s each; two clips of three have such timings.
+SPANS = r"""s AS (@S), t AS (@T), w AS (SELECT scenario_id, event_char, trim(regexp_replace(user_text, '\s+', ' ', 'g')) AS txt FROM s WHERE conv_id % 3 <> 0),
+x AS (SELECT scenario_id, event_char, unnest(string_split(txt, ' ')) AS word, generate_subscripts(string_split(txt, ' '), 1) - 1 AS i FROM w),
+y AS (SELECT *, sum(length(word) + 1) OVER (PARTITION BY scenario_id ORDER BY i) - length(word) - 1 AS start_char FROM x),
+sp AS (SELECT scenario_id, event_char, i, word, start_char, start_char + length(word) - 1 AS end_char, start_char * 0.06e0 AS start_s, (start_char + length(word)) * 0.06e0 AS end_s FROM y WHERE word <> ''),
+tm AS (SELECT scenario_id, coalesce(min(CASE WHEN event_char BETWEEN start_char AND end_char THEN start_s + (end_s - start_s) * (event_char - start_char) / greatest(1, end_char - start_char) END),
+  max(end_s)) AS seconds, max(end_s) AS duration_s FROM sp GROUP BY scenario_id)""".replace("@S", S).replace("@T", T)
+PRIMARIES = "CASE behaviour " + " ".join(f"WHEN '{b}' THEN '{f}'" for b, f in PRIMARY.items()) + " END"
+EVENTS = f"""{SPANS},
+o AS (SELECT scenario_id, coalesce(arg_min(frame_offset, ord) FILTER (flag = {PRIMARIES}), arg_max(frame_offset, ord)) AS base FROM t JOIN s USING (scenario_id) GROUP BY scenario_id),
+ev AS (SELECT t.scenario_id, ord, flag, spoken_text, CASE WHEN seconds IS NULL THEN frame_offset ELSE greatest(0, frame_offset + CAST(round_even(seconds * 12.5e0, 0) AS BIGINT) - base) END AS fr
+  FROM t JOIN o USING (scenario_id) LEFT JOIN tm USING (scenario_id)
+  UNION ALL SELECT scenario_id, -1, 'LISTEN', '', 0 FROM s WHERE scenario_id NOT IN (SELECT scenario_id FROM t))"""
+CLIPS = f"""{EVENTS}, h AS ({oracle(HEARD)}), hn AS (SELECT scenario_id, count(*) AS encoded FROM h GROUP BY scenario_id), e AS (SELECT scenario_id, max(fr) AS last FROM ev GROUP BY scenario_id),
+sized AS (SELECT s.*, last, coalesce(encoded, CAST(round_even(duration_s * 12.5e0, 0) AS BIGINT), CAST(round_even(greatest(1, {WORDS.format(x='user_text')}) / 2.2e0 * 12.5e0, 0) AS BIGINT)) AS audio_frames
+  FROM s JOIN e USING (scenario_id) LEFT JOIN hn USING (scenario_id) LEFT JOIN tm USING (scenario_id)),
 c AS (SELECT *, greatest(16, audio_frames, last + 1) + 8 AS num_frames FROM sized),
 g AS (SELECT scenario_id, CAST(unnest(range(0, num_frames)) AS INT) AS frame FROM c)"""
+GRID = f"""{CLIPS}, n AS (SELECT *, row_number() OVER l AS k, lead(fr) OVER l AS nxt FROM ev WINDOW l AS (PARTITION BY scenario_id ORDER BY fr, ord)),
+r AS (SELECT scenario_id, k, flag, unnest(range(greatest(0, fr), CASE WHEN flag IN ('LISTEN', 'HOLD', 'INCOMPLETE', 'CONTINUE') THEN coalesce(nxt, 100000) ELSE greatest(0, fr) + 1 END)) AS frame FROM n),
+p AS (SELECT scenario_id, frame, max_by(flag, k) AS flag FROM r GROUP BY ALL),
+f AS (SELECT g.scenario_id, g.frame, coalesce(p.flag, CASE WHEN c.agent_state IN ('TTS_SPEAKING', 'LLM_GEN') THEN 'HOLD' ELSE 'LISTEN' END) AS flag, c.agent_state FROM g JOIN c USING (scenario_id) LEFT JOIN p USING (scenario_id, frame)),
+gr AS (SELECT scenario_id, frame, CAST({FLAG_IDS.format(x='flag')} AS INT) AS flag, CAST(coalesce(last_value(CASE WHEN flag IN ('BARGE_HARD', 'CANCEL_LLM') THEN 0 WHEN flag IN ('TURN_END', 'COMMIT_LLM', 'PREFETCH_LLM') THEN 1
+  WHEN flag IN ('SILENCE_BREAK', 'BARGE_SOFT') THEN 2 END IGNORE NULLS) OVER (PARTITION BY scenario_id ORDER BY frame), list_position(['IDLE', 'LLM_GEN', 'TTS_SPEAKING', 'TTS_DONE'], agent_state) - 1, 0) AS INT) AS state FROM f)"""
+
+
+def _spans(clips):
+    """Words of two clips of three, from characters of 0.06 s each."""
+    flat = F.trim(F.regexp_replace("user_text", r"(?U)\s+", " "))
+    letters = F.transform(F.filter(F.split(flat, ""), lambda c: c != ""), lambda c, i: F.struct(c.alias("c"), (i * 0.06).alias("start_s"), ((i + 1) * 0.06).alias("end_s")))
+    return clips.where("conv_id % 3 <> 0").withColumn("letters", letters).withColumn("words", G.words_of_characters(F.col("letters"))).drop("letters")
+
+
+def _timed(spark, d):
+    """(scenario_id, seconds, duration_s) of the clips with words: their event's time and their length."""
+    words = _spans(adapted(spark, d, SCENARIOS)).select("scenario_id", "event_char", "words")
+    return words.select("scenario_id", G.char_to_time(F.col("words"), F.col("event_char")).alias("seconds"), F.try_element_at("words", F.lit(-1))["end_s"].alias("duration_s"))
+
+
+def _moved(spark, d):
+    clips = G.with_events(adapted(spark, d, SCENARIOS), adapted(spark, d, TARGETS)).join(_timed(spark, d), "scenario_id", "left")
+    return G.calibrated(clips, G.seconds_to_frames(F.col("seconds")), G.primary_flag(F.col("behaviour")))
+
+
+def _heard(spark, d):
+    return adapted(spark, d, HEARD)
 
 
 def _clips(spark, d):
-    return G.lengths(G.with_events(adapted(spark, d, SCENARIOS), adapted(spark, d, TARGETS)))
+    encoded = _heard(spark, d).groupBy("scenario_id").agg(F.count(F.lit(1)).alias("encoded_frames"))
+    return G.lengths(_moved(spark, d).join(encoded, "scenario_id", "left"))
 
 
 @query(f"WITH {CLIPS} SELECT scenario_id, audio_frames, CAST(num_frames AS BIGINT) AS num_frames FROM c")
@@ -28,47 +71,19 @@ def frames_lengths(spark, d):
     return _clips(spark, d).select("scenario_id", "audio_frames", "num_frames")
 
 
-@query(f"""WITH {CLIPS},
-n AS (SELECT *, lead(frame_offset) OVER (PARTITION BY scenario_id ORDER BY frame_offset, ord) AS nxt FROM t),
-r AS (SELECT scenario_id, ord, frame_offset, flag, unnest(range(frame_offset, CASE WHEN flag IN ('LISTEN', 'HOLD', 'INCOMPLETE', 'CONTINUE') THEN coalesce(nxt, 100000) ELSE frame_offset + 1 END)) AS frame FROM n),
-p AS (SELECT scenario_id, frame, max_by(flag, frame_offset * 10 + ord) AS flag FROM r GROUP BY ALL),
-st AS (SELECT g.scenario_id, g.frame, max_by(t.flag, t.frame_offset * 10 + t.ord) AS ev FROM g JOIN t ON t.scenario_id = g.scenario_id AND t.frame_offset <= g.frame
-  AND t.flag IN ('BARGE_HARD', 'CANCEL_LLM', 'TURN_END', 'COMMIT_LLM', 'PREFETCH_LLM', 'SILENCE_BREAK', 'BARGE_SOFT') GROUP BY ALL)
-SELECT g.scenario_id, g.frame, CAST({FLAG_IDS.format(x="coalesce(p.flag, CASE WHEN c.agent_state IN ('TTS_SPEAKING', 'LLM_GEN') THEN 'HOLD' ELSE 'LISTEN' END)")} AS INT) AS flag,
-CASE WHEN ev IN ('BARGE_HARD', 'CANCEL_LLM') THEN 0 WHEN ev IN ('TURN_END', 'COMMIT_LLM', 'PREFETCH_LLM') THEN 1 WHEN ev IS NOT NULL THEN 2
-  ELSE coalesce(list_position(['IDLE', 'LLM_GEN', 'TTS_SPEAKING', 'TTS_DONE'], c.agent_state) - 1, 0) END AS state
-FROM g JOIN c USING (scenario_id) LEFT JOIN p ON p.scenario_id = g.scenario_id AND p.frame = g.frame LEFT JOIN st ON st.scenario_id = g.scenario_id AND st.frame = g.frame""")
+@query(f"WITH {GRID} SELECT scenario_id, frame, flag, state FROM gr")
 def frames_grid(spark, d):
     return G.long_grid(_clips(spark, d))
 
 
-SPANS = r"""w AS (SELECT scenario_id, event_char, trim(regexp_replace(user_text, '\s+', ' ', 'g')) AS txt FROM s),
-x AS (SELECT scenario_id, event_char, unnest(string_split(txt, ' ')) AS word, generate_subscripts(string_split(txt, ' '), 1) - 1 AS i FROM w),
-sp AS (SELECT *, i * 0.4e0 AS start_s, (i + 1) * 0.4e0 AS end_s, sum(length(word) + 1) OVER (PARTITION BY scenario_id ORDER BY i) - length(word) - 1 AS start_char,
-  sum(length(word) + 1) OVER (PARTITION BY scenario_id ORDER BY i) - 2 AS end_char FROM x)"""
-AT_TIME = """tm AS (SELECT scenario_id, coalesce(min(CASE WHEN event_char BETWEEN start_char AND end_char THEN start_s + (end_s - start_s) * (event_char - start_char) / greatest(1, end_char - start_char + 1) END), max(end_s)) AS seconds FROM sp GROUP BY scenario_id)"""
-
-
-def _timed(clips):
-    flat = clips.select("scenario_id", F.trim(F.regexp_replace("user_text", r"(?U)\s+", " ")).alias("flat"))
-    spans = G.word_spans(flat, "scenario_id", "flat")
-    return clips.join(spans, "scenario_id").withColumn("seconds", G.char_to_time(F.col("words"), F.col("event_char")))
-
-
-@query(f"WITH s AS ({S}), {SPANS}, {AT_TIME} SELECT scenario_id, round(seconds, 6) AS seconds FROM tm")
+@query(f"WITH {SPANS} SELECT scenario_id, round(seconds, 6) AS seconds FROM tm")
 def frames_char_to_time(spark, d):
-    return _timed(adapted(spark, d, SCENARIOS)).select("scenario_id", F.round("seconds", 6).alias("seconds"))
+    return _timed(spark, d).select("scenario_id", F.round("seconds", 6).alias("seconds"))
 
 
-@query(f"""WITH s AS ({S}), t AS ({T}), {SPANS}, {AT_TIME},
-o AS (SELECT scenario_id, coalesce(min(CASE WHEN flag = 'TURN_END' THEN frame_offset END), max(frame_offset)) AS base FROM t GROUP BY scenario_id)
-SELECT t.scenario_id, t.ord, CAST(greatest(0, frame_offset + CAST(round_even(seconds * 12.5e0, 0) AS BIGINT) - base) AS INT) AS frame FROM t JOIN tm USING (scenario_id) JOIN o USING (scenario_id)""")
+@query(f"WITH {EVENTS} SELECT scenario_id, ord, CAST(fr AS INT) AS frame FROM ev")
 def frames_calibrate(spark, d):
-    from ..functions.exprs import half_even
-
-    clips = _timed(G.with_events(adapted(spark, d, SCENARIOS), adapted(spark, d, TARGETS)))
-    moved = G.calibrated(clips, half_even(F.col("seconds") * 12.5), F.lit("TURN_END"))
-    return moved.select("scenario_id", F.explode("events").alias("e")).select("scenario_id", "e.ord", F.col("e.frame_offset").alias("frame"))
+    return _moved(spark, d).select("scenario_id", F.explode("events").alias("e")).select("scenario_id", "e.ord", F.col("e.frame_offset").alias("frame"))
 
 
 ENERGY = "SELECT vec_id AS clip, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS frame, CAST(unnest(embedding) AS DOUBLE) * 10 AS e FROM embeddings"
@@ -158,8 +173,46 @@ def vad_frame_energy(spark, d):
     return rows.select("clip", "frame", F.round("energy", 5).alias("energy"))
 
 
-@query(f"WITH s AS ({S}), {SPANS} SELECT scenario_id, CAST(i AS INT) AS i, word, CAST(start_char AS BIGINT) AS start_char, CAST(end_char AS BIGINT) AS end_char FROM sp")
+@query(f"WITH {SPANS} SELECT scenario_id, string_agg(word || ':' || start_char || '-' || end_char, ' ' ORDER BY i) AS words, round(sum(end_s - start_s), 6) AS spoken_s FROM sp GROUP BY scenario_id")
 def frames_word_spans(spark, d):
-    flat = adapted(spark, d, SCENARIOS).select("scenario_id", F.trim(F.regexp_replace("user_text", r"(?U)\s+", " ")).alias("flat"))
-    rows = G.word_spans(flat, "scenario_id", "flat").select("scenario_id", F.explode("words").alias("w"))
-    return rows.select("scenario_id", "w.i", F.col("w.text").alias("word"), "w.start_char", "w.end_char")
+    rows = _spans(adapted(spark, d, SCENARIOS))
+    text = F.array_join(F.transform("words", lambda w: F.concat(w["text"], F.lit(":"), w["start_char"].cast("string"), F.lit("-"), w["end_char"].cast("string"))), " ")
+    spoken = F.aggregate("words", F.lit(0.0), lambda a, w: a + w["end_s"] - w["start_s"])
+    return rows.select("scenario_id", text.alias("words"), F.round(spoken, 6).alias("spoken_s"))
+
+
+HEARD_TRACK = f"{TRACK}, {_flip('tr', 'f1', 0, 3)}, {_flip('f1', 'f2', 1, 2)}".replace(ENERGY, "SELECT scenario_id AS clip, frame, e FROM h")
+MARKS = f"""{GRID}, {HEARD_TRACK}, sn AS (SELECT scenario_id, greatest(0, fr) AS frame, ord, trim(spoken_text) AS txt FROM ev WHERE trim(spoken_text) <> ''),
+m AS (SELECT gr.*, audio_frames, num_frames, EXISTS (SELECT 1 FROM sn WHERE sn.scenario_id = gr.scenario_id AND sn.frame = gr.frame) AS said,
+  CASE WHEN gr.scenario_id IN (SELECT clip FROM f2) THEN coalesce(f2.speaking, 0) ELSE CAST(gr.frame < audio_frames AS INT) END AS vad
+  FROM gr JOIN c USING (scenario_id) LEFT JOIN f2 ON f2.clip = gr.scenario_id AND f2.frame = gr.frame)"""
+
+
+@query(f"""WITH {MARKS} SELECT scenario_id, CAST(any_value(num_frames) AS INT) AS num_frames, CAST(any_value(audio_frames) AS INT) AS audio_frames, string_agg(flag, ' ' ORDER BY frame) AS flags, string_agg(state, '' ORDER BY frame) AS agent_state,
+string_agg(CAST(said AS INT), '' ORDER BY frame) AS speaking_mask, string_agg(vad, '' ORDER BY frame) AS vad,
+coalesce((SELECT string_agg(frame || ':' || txt, ';' ORDER BY frame, ord) FROM sn WHERE sn.scenario_id = m.scenario_id), '') AS spoken FROM m GROUP BY scenario_id""")
+def frames_records(spark, d):
+    """Whole training records, their arrays as text."""
+    rows = G.frame_records(_clips(spark, d), _heard(spark, d))
+    text = lambda c, by="": F.array_join(F.col(c).cast("array<string>"), by).alias(c)
+    spoken = F.array_join(F.transform("spoken_spans", lambda s: F.concat(s["frame"].cast("string"), F.lit(":"), s["text"])), ";")
+    return rows.select("scenario_id", "num_frames", "audio_frames", text("flags", " "), text("agent_state"), text("speaking_mask"), text("vad"), spoken.alias("spoken"))
+
+
+@query(f"""WITH {MARKS}, a AS (SELECT scenario_id, frame, coalesce(sum(vad) OVER (PARTITION BY scenario_id ORDER BY frame ROWS BETWEEN 1 FOLLOWING AND 25 FOLLOWING), 0) AS n FROM m)
+SELECT scenario_id, frame, CAST(n AS BIGINT) AS speaking_ahead FROM a""")
+def frames_vap_targets(spark, d):
+    """How many of the next 25 frames are speech: the sums of the targets' rows."""
+    rows = G.frame_records(_clips(spark, d), _heard(spark, d)).select("scenario_id", F.posexplode(G.vap_targets(F.col("vad"))).alias("frame", "ahead"))
+    return rows.select("scenario_id", "frame", F.aggregate("ahead", F.lit(0), lambda a, x: a + x).cast("long").alias("speaking_ahead"))
+
+
+@query(f"""WITH {MARKS} SELECT scenario_id, CASE WHEN any_value(conv) % 3 = 0 THEN string_agg(said, '' ORDER BY frame) WHEN scenario_id IN (SELECT clip FROM f2) THEN string_agg(vad, '' ORDER BY frame)
+ELSE repeat('1', CAST(any_value(num_frames) AS INT)) END AS track FROM (SELECT m.* REPLACE (CAST(said AS INT) AS said), conv_id AS conv FROM m JOIN s USING (scenario_id)) GROUP BY scenario_id""")
+def frames_track_source(spark, d):
+    """Of a record's own track, the one heard in its energy and none at all, the first there is."""
+    clips, heard = _clips(spark, d), _heard(spark, d)
+    records = G.frame_records(clips, heard).join(clips.select("scenario_id", "conv_id", "encoded_frames"), "scenario_id")
+    own = F.when(F.col("conv_id") % 3 == 0, F.col("speaking_mask"))
+    track = G.track_of(own, F.when(F.col("encoded_frames") > 0, F.col("vad")), F.col("num_frames"))
+    return records.select("scenario_id", F.array_join(track.cast("array<string>"), "").alias("track"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.vocab import BEHAVIOURS, DOMAINS, GENDERS, LANGUAGES
+from ..functions.vocab import BEHAVIOURS, DOMAINS, GENDERS, LANGUAGES, PROSODIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents labels conversations embeddings".split()
 
@@ -53,22 +53,25 @@ SCENARIOS = f"""SELECT CAST(conv_id AS STRING) || '_' || CAST(turn AS STRING) AS
   {_pick(DOMAINS, "conv_id % 3 + 1")} AS domain, {_pick(GENDERS, "conv_id % 2 + 1")} AS gender,
   {_pick(["short", "extended", "long", "odd"], "turn % 4 + 1")} AS length_band,
   {_pick(["IDLE", "LLM_GEN", "TTS_SPEAKING", "TTS_DONE", "NAPPING"], "(conv_id + turn) % 5 + 1")} AS agent_state,
+  {_pick([*PROSODIES, "sung"], "(conv_id * 3 + turn) % 7 + 1")} AS prosody,
   coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS agent_text, text AS user_text,
   CAST(turn * 9 AS INT) AS event_char FROM {{conversations}}"""
 
-#: Three events of each scenario: the second a point event, the others sustained or not by turn.
-TARGETS = f"""SELECT scenario_id, CAST(k AS INT) AS ord, CAST(k * 5 + length(user_text) % 7 AS INT) AS frame_offset,
+#: Up to three events of each scenario, in list order: some timelines are empty, some offsets negative, some speech blank or in brackets.
+TARGETS = f"""SELECT scenario_id, CAST(k AS INT) AS ord, CAST(CASE WHEN turn % 3 = 2 AND k = 2 THEN 1 ELSE k * 5 + length(user_text) % 7 - CASE WHEN turn % 7 = 3 THEN 6 ELSE 0 END END AS INT) AS frame_offset,
   {_pick(["LISTEN", "HOLD", "INCOMPLETE", "TURN_END", "BARGE_SOFT", "BARGE_HARD", "CONTINUE", "PREFETCH_LLM", "COMMIT_LLM", "CANCEL_LLM", "SILENCE_BREAK"], "(length(user_text) + k * turn) % 11 + 1")} AS flag,
-  CASE WHEN k = 1 THEN 'ok' ELSE '' END AS spoken_text
-  FROM ({SCENARIOS}) s CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) e"""
+  CASE WHEN k = 1 THEN split_part(' ok |ok|[hm]| ', '|', CAST(length(user_text) % 4 + 1 AS INT)) ELSE '' END AS spoken_text
+  FROM ({SCENARIOS}) s CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) e WHERE (conv_id + turn) % 9 <> 4"""
 
+#: The energy of every other turn's audio, a frame a row.
+HEARD = f"""SELECT scenario_id, CAST(i AS INT) AS frame, CAST(v AS DOUBLE) * 10e0 AS e FROM ({SCENARIOS}) s JOIN (SELECT vec_id, {{unnested}} FROM {{embeddings}}) x ON vec_id = conv_id WHERE turn % 2 = 1"""
 
 def adapted(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """The rows of an adapter on Spark."""
     found = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in text}
-    return spark.sql(text.replace("{epoch}", "unix_micros(CAST(ts AS TIMESTAMP))"), **found)
+    return spark.sql(text.replace("{epoch}", "unix_micros(CAST(ts AS TIMESTAMP))").replace("{unnested}", "posexplode(embedding) AS (i, v)"), **found)
 
 
 def oracle(text: str) -> str:
     """An adapter's text for the oracle."""
-    return text.format(epoch="epoch_us(ts)", **{t: t for t in TABLES})
+    return text.format(epoch="epoch_us(ts)", unnested="generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS v", **{t: t for t in TABLES})
