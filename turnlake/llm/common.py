@@ -66,7 +66,7 @@ class Scratch:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def maybe_among(df: DataFrame, id_col: str, ids: DataFrame, bits: int = 1 << 26) -> DataFrame:
+def maybe_among(df: DataFrame, id_col: str, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
     """The rows of df whose id is among ids (one column), and a few others.
 
     ids become one bitmap of hashed ids of `bits` bits, whatever their number, which is small enough to

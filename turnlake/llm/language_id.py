@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS, WINDOWS_PER_DOC = 600, 8
 WINDOW = 48
 #: Bytes that a state is carried over at most, and steps that are taken at once.
-SEGMENT, STEPS = 8192, 32
+SEGMENT, STEPS = 1 << 14, 32
 UNITS = 12
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of ASCII letters and of characters beyond ASCII.
@@ -177,17 +177,22 @@ def byte_probabilities(net: Network, data: np.ndarray, starts: np.ndarray, ends:
     order = np.argsort(starts - ends, kind="stable")
     starts, ends = starts[order], ends[order]
     lengths = ends - starts
-    step = np.arange(steps)[:, None]
+    step, wide = np.arange(steps)[:, None], data.astype(np.intp)
     for d in "fb":
         h = np.zeros((len(starts), p[f"{d}Uz"].shape[0]), np.float32)
         for at in range(0, int(lengths[0]) if len(lengths) else 0, steps):
             m = int(np.searchsorted(-lengths, -at))  # segments longer than this
             place = starts[:m] + at + step if d == "f" else ends[:m] - 1 - at - step
-            inside = at + step < lengths[:m]
-            x = data[np.clip(place, 0, len(data) - 1)].astype(np.intp)
-            states = sweep(p, d, x, h=h[:m])
+            full = int(np.searchsorted(-lengths, -(at + steps - 1)))  # segments that hold all of these steps
+            if full < m:
+                np.clip(place, 0, len(data) - 1, out=place)
+            states = sweep(p, d, wide[place], h=h[:m])
             h = states[-1]
-            out[place[inside]] += (states @ p[f"{d}W"])[inside]
+            logits = (states.reshape(-1, states.shape[-1]) @ p[f"{d}W"]).reshape(steps, m, -1)
+            out[place[:, :full]] += logits[:, :full]
+            if full < m:
+                inside = at + step < lengths[full:m]
+                out[place[:, full:][inside]] += logits[:, full:][inside]
     out -= out.max(-1, keepdims=True)
     np.exp(out, out=out)
     out /= out.sum(-1, keepdims=True)
@@ -232,7 +237,7 @@ def learn_network(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, steps: in
     return net
 
 
-def _predict(net: Network, segment: int, block: int = 2 << 20):
+def _predict(net: Network, segment: int, block: int = 4 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(net.langs)
         names = np.array([*net.langs, "und"], dtype=object)

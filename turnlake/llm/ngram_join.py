@@ -253,8 +253,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     both = scratch.table(links.select("a", "b").union(links.select("b", "a")).distinct())
     labels = scratch.table(both.groupBy("a").agg(F.min("b").alias("near")).select(F.col("a").alias("name"), F.least("a", "near").alias("class")))
     while True:
-        near = both.join(labels.withColumnRenamed("name", "b").hint("merge"), "b").groupBy("a").agg(F.min("class").alias("near"))
-        lower = labels.join(near.hint("merge"), labels["name"] == near["a"]).select("name", F.col("class").alias("old"), F.least("class", "near").alias("class"))
+        near = both.join(labels.withColumnRenamed("name", "b").hint("merge"), "b").select(F.col("a").alias("name"), "class", F.lit(None).cast("binary").alias("old"))
+        every = near.unionByName(labels.withColumn("old", F.col("class")))
+        lower = every.groupBy("name").agg(F.min("class").alias("class"), F.max("old").alias("old"))
         heads = labels.select(F.col("name").alias("head"), F.col("class").alias("head_class"))
         jumped = lower.join(heads.hint("merge"), lower["class"] == heads["head"]).select("name", "old", F.least("class", "head_class").alias("class"))
         previous, labels = labels, scratch.table(jumped)

@@ -23,7 +23,7 @@ from .common import Scratch, fresh
 #: Hex digits of the hash that groups are first summed by, and further ones in each closer look.
 FIRST_DIGITS, MORE_DIGITS = 3, 2
 #: Rows of a cell, about: what is numbered as a whole.
-CELL_ROWS = 1 << 16
+CELL_ROWS = 1 << 12
 
 
 def text_size(text: Column) -> Column:
