@@ -32,6 +32,11 @@ def md5_mod(key: Column, n: int) -> Column:
     return ((high % n * shift + low % n) % n).cast("int")
 
 
+def md5_number(key: Column) -> Column:
+    """The MD5 of key as a decimal, from its last 60 bits."""
+    return F.conv(F.substring(F.md5(key.cast("binary")), 18, 15), 16, 10).cast("decimal(20,0)")
+
+
 def words(text: Column) -> Column:
     """What Unicode white space parts; none for null or blank."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

@@ -50,13 +50,19 @@ def plan_summary(plan: DataFrame) -> DataFrame:
 
 
 def largest_remainder(weights: DataFrame, total: int, key: str = "name", weight: str = "weight") -> DataFrame:
-    """Adds quota: the floor of each share, and one more for the largest fractions, ties by key."""
+    """Adds quota: the floor of each share of the total, and one more for the largest fractions, ties by key.
+
+    No more than the weights' sum is shared out, so no whole-numbered weight is exceeded; without weights all
+    quotas are 0.
+    """
     every = Window.partitionBy()
-    exact = F.col(weight) * F.lit(total) / F.sum(weight).over(every)
-    floors = weights.withColumn("exact", exact).withColumn("floor", F.floor("exact"))
+    whole = F.sum(weight).over(every)
+    shared = F.least(F.lit(total), whole)
+    exact = F.coalesce(F.try_divide(F.col(weight) * shared, whole), F.lit(0.0))
+    floors = weights.withColumn("exact", exact).withColumn("floor", F.floor("exact")).withColumn("shared", F.greatest(F.lit(0), shared))
     rank = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("exact") - F.col("floor"), 9)), key))
-    rest = F.lit(total) - F.sum("floor").over(every)
-    return floors.withColumn("rank", rank).withColumn("quota", (F.col("floor") + (F.col("rank") <= rest).cast("int")).cast("long")).drop("exact", "floor", "rank")
+    rest = F.col("shared") - F.sum("floor").over(every)
+    return floors.withColumn("rank", rank).withColumn("quota", (F.col("floor") + (F.col("rank") <= rest).cast("int")).cast("long")).drop("exact", "floor", "rank", "shared")
 
 
 def normalised(df: DataFrame, value: str) -> DataFrame:

@@ -47,13 +47,19 @@ def tolerant(frames: DataFrame, tolerance: int = 3, clip: str = "clip", frame: s
     return sums.select("flag", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
 
 
-def barge(frames: DataFrame, truth: str = "flag", pred: str = "pred") -> DataFrame:
-    """One row: F1 of both barge flags as one, and the share of false ones among frames without."""
+#: Behaviours in which any interruption is a false one.
+NO_BARGE = ["barge_lookalike", "overlap_coop", "backchannel"]
+
+
+def barge(frames: DataFrame, truth: str = "flag", pred: str = "pred", behaviour: str | None = None) -> DataFrame:
+    """One row: F1 of both barge flags as one, and the share of predicted ones among the frames of NO_BARGE, or,
+    without a behaviour, of false ones among frames without."""
     hard_soft = [FLAGS.index("BARGE_SOFT"), FLAGS.index("BARGE_HARD")]
     t, p = F.col(truth).isin(hard_soft), F.col(pred).isin(hard_soft)
-    counts = frames.agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(~t).alias("none"))
+    calm = ~t if behaviour is None else F.col(behaviour).isin(NO_BARGE)
+    counts = frames.agg(F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"), F.count_if(t & ~p).alias("fn"), F.count_if(calm & p).alias("wrong"), F.count_if(calm).alias("calm"))
     precision, recall, score = f1(F.col("tp"), F.col("fp"), F.col("fn"))
-    return counts.select(precision.alias("precision"), recall.alias("recall"), score.alias("f1"), ratio(F.col("fp"), F.col("none")).alias("false_barge_rate"))
+    return counts.select(precision.alias("precision"), recall.alias("recall"), score.alias("f1"), ratio(F.col("wrong"), F.col("calm")).alias("false_barge_rate"))
 
 
 def threshold_sweep(scores: DataFrame, score: str = "logit", truth: str = "truth", places: int = 41) -> DataFrame:
@@ -120,13 +126,36 @@ def binary_cross_entropy(p: Column, truth: Column, weight: float = 1.0) -> Colum
     return -(weight * truth * F.log(p) + (1 - truth) * F.log(1 - p))
 
 
-def class_weights(counts: DataFrame, power: float = 0.5, least: float = 0.25, most: float = 10.0) -> DataFrame:
-    """counts (flag, n) of all flags -> weight: (1 / n) ** power, the largest for unseen ones, scaled to mean 1, clamped, scaled again."""
+def class_weights(counts: DataFrame, power: float = 0.5, most_ratio: float = 0.0) -> DataFrame:
+    """counts (flag, n) of all flags -> weight: (1 / n) ** power, the largest for unseen ones, over their mean.
+
+    With a ratio above 1, no weight exceeds the smallest by more than that. Without any flag seen all are 1.
+    """
     every = Window.partitionBy()
     raw = counts.withColumn("w", F.when(F.col("n") > 0, F.pow(1.0 / F.col("n"), F.lit(power))))
-    full = raw.withColumn("w", F.coalesce("w", F.max("w").over(every)))
-    scaled = full.withColumn("w", F.greatest(F.lit(least), F.least(F.lit(most), F.col("w") / F.avg("w").over(every))))
-    return scaled.select("flag", "n", (F.col("w") / F.avg("w").over(every)).alias("weight"))
+    full = raw.withColumn("w", F.coalesce("w", F.max("w").over(every), F.lit(1.0)))
+    if most_ratio > 1:
+        full = full.withColumn("w", F.least("w", F.min("w").over(every) * most_ratio))
+    return full.select("flag", "n", (F.col("w") / F.avg("w").over(every)).alias("weight"))
+
+
+def rates(counts: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """One row of ratios by name, each of two sums of columns of counts; 0 where there is nothing to divide by."""
+    return counts.agg(*[ratio(F.sum(a), F.sum(b)).alias(name) for name, (a, b) in pairs.items()])
+
+
+def ablation_band(intact: Column, ablated: Column) -> Column:
+    """What taking the audio away does to the loss; a loss that can't be is suspect."""
+    delta = ablated - intact
+    return F.when((intact > 8.0) | (delta < -0.05), "suspect").when(delta < 0.05, "ignored").when(delta < 0.3, "weak").otherwise("used")
+
+
+def weighted_total(parts: dict[str, float]) -> Column:
+    """Sum of loss columns by weight."""
+    total = F.lit(0.0)
+    for name, weight in parts.items():
+        total = total + F.col(name) * weight
+    return total
 
 
 def moving_average(rows: DataFrame, group: str, order: list[str], value: str, keep: float = 0.9) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import llm_cost, md5_mod, ratio, tts_cost
+from ..functions.exprs import llm_cost, ratio, tts_cost
 
 
 def priced(calls: DataFrame) -> DataFrame:
@@ -65,12 +65,20 @@ def cumulative_cost(calls: DataFrame, span: int = 1 << 14, order: str = "id") ->
     return blocks.withColumn("inner", inner).join(starts, "block").select(order, (F.col("start").cast("decimal(28,9)") + F.col("inner").cast("decimal(28,9)")).cast("double").alias("cumulative"))
 
 
-def thinned(rows: DataFrame, order: str, points: int = 200) -> DataFrame:
-    """Every k-th row and the last, about `points` rows."""
-    w = Window.orderBy(order)
-    n = rows.count()
-    k = max(1, n // points)
-    return rows.withColumn("_place", F.row_number().over(w)).where((F.col("_place") % k == 0) | (F.col("_place") == n)).drop("_place")
+def thinned(rows: DataFrame, order: str, points: int = 200, block: Column | None = None) -> DataFrame:
+    """Every k-th row and the last, about `points` rows; no two rows share their place in the order.
+
+    Rows are counted by block, a value that never falls as the order rises (by default 16384 whole numbers), and
+    numbered within their block from the rows of the blocks before.
+    """
+    blocks = rows.withColumn("_block", F.floor(F.col(order) / (1 << 14)) if block is None else block)
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    inner = F.row_number().over(Window.partitionBy("_block").orderBy(order))
+    placed = blocks.withColumn("_inner", inner).join(starts, "_block").withColumn("_place", F.col("_start") + F.col("_inner"))
+    step = F.greatest(F.lit(1), F.floor(F.col("_all") / points))
+    return placed.where((F.col("_place") % step == 0) | (F.col("_place") == F.col("_all"))).select(*rows.columns)
 
 
 def by_key_part(calls: DataFrame, part: int) -> DataFrame:
@@ -113,18 +121,18 @@ def numbered_failures(calls: DataFrame) -> DataFrame:
 
 
 def actions(steps: DataFrame, session: str, order: str) -> DataFrame:
-    """Adds action: what an orchestrator does at each flag, given whether a prefetch is under way.
+    """Adds prefetch_active, as it was before the step, and actions: what an orchestrator does at each flag.
 
-    PREFETCH starts one unless one is active; COMMIT uses it; CANCEL and BARGE_HARD drop it. The bit is the
-    last flag that sets or resets it, so no state needs to be carried row by row.
+    A prefetch starts unless the agent is already generating; commit and cancel end it, other flags leave it. An
+    end of turn prefetches if none is active. Speech goes out with any flag, with SILENCE_BREAK even if empty. The
+    bit is the last flag that sets or resets it, so no state needs to be carried row by row.
     """
-    flag = F.col("flag")
-    bit = F.when(flag == "PREFETCH_LLM", 1).when(flag.isin("COMMIT_LLM", "CANCEL_LLM", "BARGE_HARD"), 0)
+    flag, speaks = F.col("flag"), F.coalesce(F.col("spoken"), F.lit("")) != ""
+    starts = (flag == "PREFETCH_LLM") & (F.coalesce("agent_state", F.lit("")) != "LLM_GEN")
+    bit = F.when(starts, 1).when(flag.isin("COMMIT_LLM", "CANCEL_LLM"), 0)
     before = F.coalesce(F.last(bit, ignorenulls=True).over(Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    action = F.when((flag == "PREFETCH_LLM") & (before == 0), "start_prefetch").when((flag == "COMMIT_LLM") & (before == 1), "use_prefetch").when(flag == "COMMIT_LLM", "start_reply").when(
-        (flag == "CANCEL_LLM") & (before == 1), "drop_prefetch").when(flag == "BARGE_HARD", "stop_speech").when(flag == "SILENCE_BREAK", "speak").when(flag == "TURN_END", "mark_end").otherwise("none")
-    return steps.withColumn("prefetch_active", before).withColumn("action", action)
-
-
-def voice_of(text: Column, voices: int) -> Column:
-    return md5_mod(text, voices)
+    named = {"BARGE_HARD": "barge_hard", "BARGE_SOFT": "barge_soft", "COMMIT_LLM": "commit", "CANCEL_LLM": "cancel", "TURN_END": "turn_end"}
+    done = F.array_compact(F.array(
+        F.when(starts | (flag == "TURN_END") & (F.col("prefetch_active") == 0), "prefetch"), *[F.when(flag == k, v) for k, v in named.items()],
+        F.when((flag == "SILENCE_BREAK") | speaks, "say")))
+    return steps.withColumn("prefetch_active", before).withColumn("actions", done)

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_even, rank_floor, ratio, script_ok, word_count
-from ..functions.vocab import BEHAVIOURS, DOMAINS, FLAGS, GENDERS, LANGUAGES, STATES, WORD_LIMITS, WORDS_PER_SECOND
+from ..functions.vocab import BEHAVIOURS, DOMAINS, FLAGS, GENDERS, LANGUAGES, PROSODIES, STATES, WORD_LIMITS, WORDS_PER_SECOND
 
 #: Values of fields that are missing or blank.
-DEFAULTS = {"agent_state": "IDLE", "gender": "female", "length_band": "short"}
+DEFAULTS = {"agent_state": "IDLE", "prosody": "neutral", "gender": "female", "length_band": "short"}
 
 
 def _default(name: str) -> Column:
@@ -18,7 +18,7 @@ def _default(name: str) -> Column:
 
 def coerced(records: DataFrame) -> DataFrame:
     """Text fields trimmed, blank ones set to their defaults, event_char to 0 where it is missing."""
-    fields = ["behaviour", "language", "domain", "agent_text", "agent_state", "user_text", "gender", "length_band"]
+    fields = ["behaviour", "language", "domain", "agent_text", "agent_state", "user_text", "prosody", "gender", "length_band"]
     out = records.withColumns({f: _default(f) for f in fields if f in records.columns})
     return out.withColumn("event_char", F.coalesce(F.try_to_number(F.col("event_char").cast("string"), F.lit("S999999999")).cast("int"), F.lit(0)))
 
@@ -34,33 +34,44 @@ def word_limit(band: Column) -> Column:
     return F.coalesce(*[F.when(band == b, n) for b, n in WORD_LIMITS.items()], F.lit(WORD_LIMITS["short"]))
 
 
-def problems() -> Column:
-    """All that is wrong with a scenario, in a fixed order."""
+def problems(events: str | None = None) -> Column:
+    """All that is wrong with a scenario, in a fixed order; events names the number of its events, if that counts."""
     band = word_limit(F.col("length_band"))
     checks = [
         (~F.col("behaviour").isin(BEHAVIOURS), "unknown behaviour"), (~F.col("language").isin(LANGUAGES), "unknown language"),
-        (~F.col("domain").isin(DOMAINS), "unknown domain"), (~F.col("gender").isin(GENDERS), "unknown gender"),
-        (~F.col("agent_state").isin(STATES), "unknown agent state"), (F.trim(F.col("user_text")) == "", "empty user text"),
-        (word_count(F.col("user_text")) > band, "too many words"), (~F.col("event_char").between(0, F.length("user_text")), "event outside text"),
-        (F.col("user_text").rlike("[<>\\[\\]]"), "markup in user text"), (F.col("agent_text").rlike("[<>\\[\\]]"), "markup in agent text"),
+        (~F.col("domain").isin(DOMAINS), "unknown domain"), (~F.col("agent_state").isin(STATES), "unknown agent state"),
+        (~F.col("prosody").isin(PROSODIES), "unknown prosody"), (~F.col("gender").isin(GENDERS), "unknown gender"),
+        (F.trim(F.col("user_text")) == "", "empty user text"), (word_count(F.col("user_text")) > band, "too many words"),
+        (~F.col("event_char").between(0, F.length("user_text")), "event outside text"),
     ]
+    if events is not None:
+        checks.append((F.coalesce(F.col(events), F.lit(0)) == 0, "empty target timeline"))
     return F.array_compact(F.array(*[F.when(c, F.lit(m)) for c, m in checks]))
 
 
 def verdicts(scenarios: DataFrame, targets: DataFrame) -> DataFrame:
-    """(scenario_id, schema_ok, vocab_ok, script_ok): one row a scenario; its events are summed up first."""
-    barge = F.col("flag").startswith("BARGE")
+    """(scenario_id, schema_ok, vocab_ok, script_ok): one row a scenario; its events are summed up first.
+
+    schema_ok: nothing is wrong with the record or its events, and it has events. vocab_ok: all flags are known,
+    no speech holds brackets, and what only looks like an interruption isn't resolved to one.
+    """
     events = targets.groupBy("scenario_id").agg(
-        F.coalesce(F.bool_and(target_problem().isNull()), F.lit(True)).alias("events_ok"), F.bool_or(barge).alias("has_barge"), F.count(F.lit(1)).alias("n_events"))
-    known = F.col("behaviour").isin(BEHAVIOURS) & F.col("language").isin(LANGUAGES) & F.col("domain").isin(DOMAINS) & F.col("agent_state").isin(STATES)
+        F.coalesce(F.bool_and(target_problem().isNull()), F.lit(True)).alias("events_ok"), F.bool_or(F.col("flag").isin("BARGE_HARD", "BARGE_SOFT")).alias("has_barge"),
+        F.bool_and(F.col("flag").isin(FLAGS) & ~F.col("spoken_text").rlike(r"[<>\[\]]")).alias("vocabulary"), F.count(F.lit(1)).alias("n_events"))
     lookalike = (F.col("behaviour") == "barge_lookalike") & F.coalesce("has_barge", F.lit(False))
     joined = scenarios.join(events, "scenario_id", "left")
     return joined.select(
         "scenario_id", "behaviour", "language", "gender", "user_text",
-        ((F.size(problems()) == 0) & F.coalesce("events_ok", F.lit(True))).alias("schema_ok"), (known & ~lookalike).alias("vocab_ok"),
+        ((F.size(problems("n_events")) == 0) & F.coalesce("events_ok", F.lit(True))).alias("schema_ok"), (F.coalesce("vocabulary", F.lit(True)) & ~lookalike).alias("vocab_ok"),
         script_ok(F.col("user_text"), F.col("language")).alias("script_ok"))
 
 
+def flag_chain(flags: Column, most: int = 4) -> Column:
+    """The first flags of a timeline in one text."""
+    more = F.when(F.size(flags) > most, "…").otherwise("")
+    return F.when(F.coalesce(F.size(flags), F.lit(0)) == 0, "—").otherwise(F.concat(F.array_join(F.slice(flags, 1, most), "→"), more))
+
+
 def corpus_report(checked: DataFrame) -> DataFrame:
     """One row: pass rates and words a scenario (mean, median, rank-floor p10 and p90), in one pass.
 

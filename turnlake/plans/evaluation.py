@@ -90,19 +90,18 @@ def eval_targets(spark, d):
     return E.against_targets(metrics)
 
 
-@query(f"""WITH f AS (SELECT * FROM ({FR}) WHERE frame < 40), b AS (SELECT clip, frame, value, coalesce(value < min(value) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved,
+@query(f"""WITH f AS ({FR}), b AS (SELECT clip, frame, value, coalesce(value < min(value) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved,
 min(value) OVER (PARTITION BY clip ORDER BY frame) AS best FROM f)
 SELECT clip, frame, round(best, 6) AS best, improved, frame - max(CASE WHEN improved THEN frame END) OVER (PARTITION BY clip ORDER BY frame) AS stale FROM b""")
 def eval_best_checkpoint(spark, d):
-    early = _frames(spark, d).where("frame < 40")
-    return E.best_so_far(early, "clip", "frame", "value").select("clip", "frame", F.round("best", 6).alias("best"), "improved", "stale")
+    return E.best_so_far(_frames(spark, d), "clip", "frame", "value").select("clip", "frame", F.round("best", 6).alias("best"), "improved", "stale")
 
 
 @query(f"""WITH f AS ({FR}), b AS (SELECT clip, frame, value, coalesce(value < min(value) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved,
 min(value) OVER (PARTITION BY clip ORDER BY frame) AS best FROM f)
 SELECT clip, frame, round(best, 6) AS best, improved, frame - max(CASE WHEN improved THEN frame END) OVER (PARTITION BY clip ORDER BY frame) AS stale FROM b""")
 def eval_best_checkpoint_whole(spark, d):
-    """eval_best_checkpoint over all frames of each clip."""
+    """eval_best_checkpoint, under the name it had beside a query of first frames."""
     return E.best_so_far(_frames(spark, d), "clip", "frame", "value").select("clip", "frame", F.round("best", 6).alias("best"), "improved", "stale")
 
 
@@ -115,12 +114,12 @@ def eval_losses(spark, d):
 
 
 @query(f"""WITH f AS ({FR}), {ENUM}, c AS (SELECT k.flag, count(f.flag) AS n FROM k LEFT JOIN f ON f.flag = k.flag GROUP BY k.flag),
-r AS (SELECT flag, n, CASE WHEN n > 0 THEN pow(1e0 / n, 0.5) END AS w FROM c), u AS (SELECT flag, n, coalesce(w, max(w) OVER ()) AS w FROM r),
-v AS (SELECT flag, n, greatest(0.25e0, least(10e0, w / avg(w) OVER ())) AS w FROM u) SELECT flag, n, round(w / avg(w) OVER (), 8) AS weight FROM v""")
+r AS (SELECT flag, n, CASE WHEN n > 0 THEN pow(1e0 / n, 0.75) END AS w FROM c), u AS (SELECT flag, n, coalesce(w, max(w) OVER (), 1) AS w FROM r),
+v AS (SELECT flag, n, least(w, 2 * min(w) OVER ()) AS w FROM u) SELECT flag, n, round(w / avg(w) OVER (), 8) AS weight FROM v""")
 def eval_class_weights(spark, d):
     found = _frames(spark, d).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
     every = spark.range(11).select(F.col("id").cast("int").alias("flag")).join(found, "flag", "left").select("flag", F.coalesce("n", F.lit(0)).alias("n"))
-    return E.class_weights(every).withColumn("weight", F.round("weight", 8))
+    return E.class_weights(every, 0.75, 2.0).withColumn("weight", F.round("weight", 8))
 
 
 @query(f"WITH f AS ({FR}), b AS (SELECT clip, avg(value) AS m, count(*) FILTER (flag = 1 AND pred = 1) AS tp, count(*) FILTER (pred = 1) AS p, count(*) FILTER (flag = 1) AS t FROM f GROUP BY clip) SELECT round(avg(m), 6) AS loss, round(2 * sum(tp) / CAST(sum(p) + sum(t) AS DOUBLE), 8) AS vad_f1, CAST(sum(p) AS BIGINT) AS predicted, CAST(sum(t) AS BIGINT) AS truth FROM b")
@@ -129,13 +128,12 @@ def eval_validation_rollup(spark, d):
     return batches.agg(F.round(F.avg("m"), 6).alias("loss"), F.round(2 * F.sum("tp") / (F.sum("p") + F.sum("t")), 8).alias("vad_f1"), F.sum("p").alias("predicted"), F.sum("t").alias("truth"))
 
 
-@query(f"WITH f AS ({FR}) SELECT clip, round(list_reduce(list(CAST(value AS DOUBLE) ORDER BY frame), lambda a, x: 0.9e0 * a + (1 - 0.9e0) * x), 6) AS ema FROM f WHERE frame < 50 GROUP BY clip")
+@query(f"WITH f AS ({FR}) SELECT clip, round(list_reduce(list(CAST(value AS DOUBLE) ORDER BY frame), lambda a, x: 0.9e0 * a + (1 - 0.9e0) * x), 6) AS ema FROM f GROUP BY clip")
 def eval_moving_average(spark, d):
-    early = _frames(spark, d).where("frame < 50")
-    return E.moving_average(early, "clip", ["frame"], "value").select("clip", F.round("ema", 6).alias("ema"))
+    return E.moving_average(_frames(spark, d), "clip", ["frame"], "value").select("clip", F.round("ema", 6).alias("ema"))
 
 
 @query(f"WITH f AS ({FR}) SELECT clip, round(list_reduce(list(CAST(value AS DOUBLE) ORDER BY frame), lambda a, x: 0.9e0 * a + (1 - 0.9e0) * x), 6) AS ema FROM f GROUP BY clip")
 def eval_moving_average_whole(spark, d):
-    """eval_moving_average over all frames of each clip."""
+    """eval_moving_average, under the name it had beside a query of first frames."""
     return E.moving_average(_frames(spark, d), "clip", ["frame"], "value").select("clip", F.round("ema", 6).alias("ema"))

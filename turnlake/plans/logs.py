@@ -65,7 +65,7 @@ def ops_cumulative_cost(spark, d):
 @query(f"WITH {C}, j AS (SELECT job_key, count(*) AS n FROM c GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY job_key) AS k, count(*) OVER () AS m FROM j) SELECT job_key, n FROM p WHERE k % greatest(1, m // 20) = 0 OR k = m")
 def ops_thinned(spark, d):
     jobs = _calls(spark, d).groupBy("job_key").agg(F.count(F.lit(1)).alias("n"))
-    return L.thinned(jobs, "job_key", 20)
+    return L.thinned(jobs, "job_key", 20, F.substring("job_key", 1, 8))
 
 
 @query(f"WITH {C} SELECT split_part(job_key, '|', 1) AS name, CAST(sum(valid_n) AS BIGINT) AS valid, round(sum(cost_usd), 6) AS cost_usd, count(*) FILTER (coalesce(status, '') <> 'ok') AS failed FROM c GROUP BY 1")
@@ -112,13 +112,17 @@ def ops_run_summary(spark, d):
     return L.priced(_calls(spark, d)).groupBy("run_id").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"), F.sum("valid_n").alias("valid"))
 
 
-@query(f"""WITH f AS (SELECT clip, frame, list_extract(['{"','".join(FLAGS)}'], CAST((flag + event_id) % 11 + 1 AS INT)) AS flag FROM ({FR})),
-b AS (SELECT *, coalesce(last_value(CASE WHEN flag = 'PREFETCH_LLM' THEN 1 WHEN flag IN ('COMMIT_LLM', 'CANCEL_LLM', 'BARGE_HARD') THEN 0 END IGNORE NULLS) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prefetch_active FROM f)
-SELECT clip, frame, prefetch_active, CASE WHEN flag = 'PREFETCH_LLM' AND prefetch_active = 0 THEN 'start_prefetch' WHEN flag = 'COMMIT_LLM' AND prefetch_active = 1 THEN 'use_prefetch' WHEN flag = 'COMMIT_LLM' THEN 'start_reply'
-WHEN flag = 'CANCEL_LLM' AND prefetch_active = 1 THEN 'drop_prefetch' WHEN flag = 'BARGE_HARD' THEN 'stop_speech' WHEN flag = 'SILENCE_BREAK' THEN 'speak' WHEN flag = 'TURN_END' THEN 'mark_end' ELSE 'none' END AS action FROM b""")
+@query(f"""WITH f AS (SELECT clip, frame, list_extract(['{"','".join(FLAGS)}'], CAST((flag + event_id) % 11 + 1 AS INT)) AS flag, list_extract(['IDLE', 'LLM_GEN', 'TTS_SPEAKING'], CAST(event_id % 3 + 1 AS INT)) AS agent_state,
+  CASE WHEN event_id % 5 = 0 THEN 'ok' ELSE '' END AS spoken FROM ({FR})),
+b AS (SELECT *, coalesce(last_value(CASE WHEN flag = 'PREFETCH_LLM' AND agent_state <> 'LLM_GEN' THEN 1 WHEN flag IN ('COMMIT_LLM', 'CANCEL_LLM') THEN 0 END IGNORE NULLS) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prefetch_active FROM f)
+SELECT clip, frame, prefetch_active, concat_ws(',', CASE flag WHEN 'BARGE_HARD' THEN 'barge_hard' WHEN 'BARGE_SOFT' THEN 'barge_soft' WHEN 'PREFETCH_LLM' THEN CASE WHEN agent_state <> 'LLM_GEN' THEN 'prefetch' END
+  WHEN 'COMMIT_LLM' THEN 'commit' WHEN 'CANCEL_LLM' THEN 'cancel' WHEN 'TURN_END' THEN CASE WHEN prefetch_active = 0 THEN 'prefetch,turn_end' ELSE 'turn_end' END WHEN 'SILENCE_BREAK' THEN 'say' END,
+  CASE WHEN spoken <> '' AND flag <> 'SILENCE_BREAK' THEN 'say' END) AS actions FROM b""")
 def orchestrator_actions(spark, d):
-    steps = adapted(spark, d, FRAMES).withColumn("flag", name_of(FLAGS, (F.col("flag") + F.col("event_id")) % 11))
-    return L.actions(steps, "clip", "frame").select("clip", "frame", "prefetch_active", "action")
+    state = F.element_at(F.array(*map(F.lit, ("IDLE", "LLM_GEN", "TTS_SPEAKING"))), (F.col("event_id") % 3 + 1).cast("int"))
+    steps = adapted(spark, d, FRAMES).withColumn("flag", name_of(FLAGS, (F.col("flag") + F.col("event_id")) % 11)).withColumn("agent_state", state)
+    steps = steps.withColumn("spoken", F.when(F.col("event_id") % 5 == 0, "ok").otherwise(""))
+    return L.actions(steps, "clip", "frame").select("clip", "frame", "prefetch_active", F.array_join("actions", ",").alias("actions"))
 
 
 @query(f"WITH {C} SELECT CAST(to_timestamp(floor(created_at / 3600) * 3600) AT TIME ZONE 'UTC' AS VARCHAR) AS hour, count(*) AS calls, CAST(sum(valid_n) AS BIGINT) AS valid FROM c GROUP BY 1")

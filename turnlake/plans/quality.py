@@ -18,23 +18,24 @@ SCRIPT = f"""CASE WHEN trim(user_text) = '' THEN false WHEN {LETTERS} = 0 THEN t
   WHEN language = 'en' THEN len(regexp_extract_all(user_text, '{INDIC["en"]}')) / {LETTERS} >= 0.7
   WHEN starts_with(language, 'hi') THEN len(regexp_extract_all(user_text, '{INDIC["hi"]}')) / {LETTERS} >= CASE WHEN language LIKE '%_native' THEN 0.45 ELSE 0.85 END
   ELSE len(regexp_extract_all(user_text, '{INDIC["gu"]}')) / {LETTERS} >= CASE WHEN language LIKE '%_native' THEN 0.45 ELSE 0.85 END END"""
-PROBLEMS = f"""list_filter([CASE WHEN agent_state = 'NAPPING' THEN 'unknown agent state' END, CASE WHEN trim(user_text) = '' THEN 'empty user text' END,
-  CASE WHEN {WORDS.format(x='user_text')} > {LIMIT} THEN 'too many words' END,
-  CASE WHEN NOT event_char BETWEEN 0 AND length(user_text) THEN 'event outside text' END,
-  CASE WHEN regexp_matches(user_text, '[<>\\[\\]]') THEN 'markup in user text' END, CASE WHEN regexp_matches(agent_text, '[<>\\[\\]]') THEN 'markup in agent text' END], lambda x: x IS NOT NULL)"""
+PROBLEM_LIST = f"""CASE WHEN agent_state = 'NAPPING' THEN 'unknown agent state' END, CASE WHEN prosody = 'sung' THEN 'unknown prosody' END, CASE WHEN trim(user_text) = '' THEN 'empty user text' END,
+  CASE WHEN {WORDS.format(x='user_text')} > {LIMIT} THEN 'too many words' END, CASE WHEN NOT event_char BETWEEN 0 AND length(user_text) THEN 'event outside text' END"""
+PROBLEMS = f"list_filter([{PROBLEM_LIST}], lambda x: x IS NOT NULL)"
 CHECKED = f"""s AS ({S}), t AS ({T}),
-e AS (SELECT scenario_id, bool_or(starts_with(flag, 'BARGE')) AS barge FROM t GROUP BY scenario_id),
-v AS (SELECT s.scenario_id, behaviour, language, gender, user_text, len({PROBLEMS}) = 0 AS schema_ok,
-  agent_state <> 'NAPPING' AND NOT (behaviour = 'barge_lookalike' AND coalesce(barge, false)) AS vocab_ok, {SCRIPT} AS script_ok FROM s LEFT JOIN e USING (scenario_id))"""
+e AS (SELECT scenario_id, bool_or(flag IN ('BARGE_HARD', 'BARGE_SOFT')) AS barge, bool_or(regexp_matches(spoken_text, '[<>\\[\\]]')) AS brackets, bool_or(frame_offset < 0 OR regexp_matches(spoken_text, '[<>]')) AS bad FROM t GROUP BY scenario_id),
+v AS (SELECT s.scenario_id, behaviour, language, gender, user_text, len({PROBLEMS}) = 0 AND e.scenario_id IS NOT NULL AND NOT coalesce(bad, false) AS schema_ok,
+  NOT coalesce(brackets, false) AND NOT (behaviour = 'barge_lookalike' AND coalesce(barge, false)) AS vocab_ok, {SCRIPT} AS script_ok FROM s LEFT JOIN e USING (scenario_id))"""
 
 
 def _checked(spark, d):
     return Q.verdicts(adapted(spark, d, SCENARIOS), adapted(spark, d, TARGETS))
 
 
-@query(f"WITH s AS ({S}) SELECT scenario_id, array_to_string({PROBLEMS}, '; ') AS problems FROM s")
+@query(f"""WITH s AS ({S}), t AS ({T}), e AS (SELECT scenario_id, count(*) AS n FROM t GROUP BY scenario_id)
+SELECT scenario_id, array_to_string(list_filter([{PROBLEM_LIST}, CASE WHEN n IS NULL THEN 'empty target timeline' END], lambda x: x IS NOT NULL), '; ') AS problems FROM s LEFT JOIN e USING (scenario_id)""")
 def quality_problems(spark, d):
-    return adapted(spark, d, SCENARIOS).select("scenario_id", F.array_join(Q.problems(), "; ").alias("problems"))
+    events = adapted(spark, d, TARGETS).groupBy("scenario_id").agg(F.count(F.lit(1)).alias("n"))
+    return adapted(spark, d, SCENARIOS).join(events, "scenario_id", "left").select("scenario_id", F.array_join(Q.problems("n"), "; ").alias("problems"))
 
 
 @query(f"WITH {CHECKED} SELECT scenario_id, schema_ok, vocab_ok, script_ok FROM v")
@@ -79,12 +80,11 @@ def quality_target_events(spark, d):
     return adapted(spark, d, TARGETS).select("scenario_id", "ord", Q.target_problem().alias("problem"))
 
 
-@query(f"""WITH t AS ({T}) SELECT scenario_id, CASE WHEN count(*) = 0 THEN '—' ELSE array_to_string(list_slice(list(flag ORDER BY ord), 1, 2), '→') || CASE WHEN count(*) > 2 THEN '…' ELSE '' END END AS chain FROM t GROUP BY scenario_id""")
+@query(f"""WITH t AS ({T}) SELECT scenario_id, CASE WHEN count(*) = 0 THEN '—' ELSE array_to_string(list_slice(list(flag ORDER BY ord), 1, 4), '→') || CASE WHEN count(*) > 4 THEN '…' ELSE '' END END AS chain FROM t GROUP BY scenario_id""")
 def quality_flag_chain(spark, d):
     flags = F.transform(F.array_sort(F.collect_list(F.struct("ord", "flag"))), lambda x: x["flag"])
     chains = adapted(spark, d, TARGETS).groupBy("scenario_id").agg(flags.alias("flags"))
-    more = F.when(F.size("flags") > 2, "…").otherwise("")
-    return chains.select("scenario_id", F.when(F.size("flags") == 0, "—").otherwise(F.concat(F.array_join(F.slice("flags", 1, 2), "→"), more)).alias("chain"))
+    return chains.select("scenario_id", Q.flag_chain(F.col("flags")).alias("chain"))
 
 
 @query(r"""WITH f AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM conversations)
