@@ -90,7 +90,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null id ranks after all others of equal length; rows that repeat the owner's id are all kept, as
     ids tell rows apart; an empty table gives an empty one; other columns are ignored.
     """
-    body = F.translate(F.coalesce(text_col, F.lit("")), SPACES, "")
+    body = F.coalesce(text_col, F.lit(""))
+    for space in SPACES:
+        body = F.replace(body, F.lit(space), F.lit(""))
     digests = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(body.cast("binary"), 256)).alias("sha"))
     owners = text_owners(docs, id_col, text_col, trie_bytes)
     kept: Column = F.col("id").eqNullSafe(F.col("keep_id"))
