@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..streaming import live as V
@@ -15,23 +16,35 @@ def stream_counters(spark, d):
 
 @query("SELECT CAST(floor(epoch(ts) / 86400) * 86400 AS BIGINT) AS start_s, count(*) AS n FROM events GROUP BY 1")
 def stream_daily_windows(spark, d):
-    return V.drained(V.windowed(V.stream_of(spark, f"{d}/events.parquet"), "ts", "1 day", "60 days"), "windows", "complete")
+    return V.drained(V.windowed(V.stream_of(spark, f"{d}/events.parquet"), "ts", "1 day"), "windows", "complete")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_first_seen(spark, d):
-    rows = V.first_seen(V.stream_of(spark, f"{d}/events.parquet").select("user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "60 days")
-    return V.drained(rows.select("user_id", "event_type"), "first-seen")
+    rows = V.first_seen(V.stream_of(spark, f"{d}/events.parquet").select("user_id", "event_type"), ["user_id", "event_type"])
+    return V.drained(rows, "first-seen")
 
 
 @query("SELECT user_id, event_id, value > avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 95 PRECEDING AND CURRENT ROW) AS speaking FROM events")
 def stream_referee(spark, d):
-    return V.drained(V.referee(V.stream_of(spark, f"{d}/events.parquet")), "referee")
+    # files aren't in the order of time, so they make up one batch
+    return V.drained(V.referee(V.stream_of(spark, f"{d}/events.parquet", None)), "referee")
 
 
 @query("SELECT user_id, CAST(count(*) AS BIGINT) AS gaps FROM (SELECT user_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events) WHERE gap > INTERVAL 1 DAY GROUP BY user_id")
 def stream_dead_air(spark, d):
-    """Silences over a day, by sessions: a session ends where nothing follows in time."""
-    events = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("at"))
-    sessions = events.groupBy("user_id", F.session_window("at", "86400 seconds 1 microsecond")).agg(F.count(F.lit(1)).alias("n"))
-    return sessions.groupBy("user_id").agg((F.count(F.lit(1)) - 1).alias("gaps")).where("gaps > 0")
+    """Silences over a day: a session ends where nothing follows in time."""
+    sessions = V.silences(V.stream_of(spark, f"{d}/events.parquet"), "user_id", "ts", "86400 seconds 1 microsecond")
+    found = V.drained(sessions, "dead-air", "complete")
+    return found.groupBy("user_id").agg((F.count(F.lit(1)) - 1).alias("gaps")).where("gaps > 0")
+
+
+@query("""WITH f AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame, event_id FROM events), c AS (SELECT user_id, frame // 5 AS chunk, count(*) AS n, string_agg(event_id, ' ' ORDER BY frame) AS ids FROM f GROUP BY ALL)
+SELECT user_id, CAST(chunk AS BIGINT) AS chunk, ids FROM c WHERE n = 5""")
+def stream_chunks(spark, d):
+    """Frames of a session in chunks of five; the stream reads frames that were numbered and written before."""
+    numbered = spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).alias("frame"))
+    path = V.shared_path(spark, "frames")
+    numbered.write.parquet(path)
+    chunks = V.rechunked(V.stream_of(spark, path), "user_id", "frame", "event_id")
+    return V.drained(chunks, "chunks", "complete").select("user_id", "chunk", F.array_join(F.col("values").cast("array<string>"), " ").alias("ids"))

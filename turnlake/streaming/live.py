@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +25,17 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
-def stream_of(spark: SparkSession, path: str, files_a_batch: int = 8) -> DataFrame:
-    """The rows of a Parquet table as a stream, some files a batch.
+def stream_of(spark: SparkSession, path: str, files_a_batch: int | None = 8) -> DataFrame:
+    """The rows of a Parquet table as a stream, some files a batch; all that are there in one if None.
 
     The path goes in as a pattern, as a table may be a single file, which the source takes in no other way.
     """
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rstrip("/").rpartition("/")
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(f"{folder}/[{name[0]}]{name[1:]}")
+    reader = spark.readStream.schema(schema)
+    if files_a_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_a_batch)
+    return reader.parquet(f"{folder}/[{name[0]}]{name[1:]}")
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -55,33 +59,58 @@ def counters(events: DataFrame, kind: str = "event_type", value: str = "value")
     return events.groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(value), 4).alias("total"))
 
 
-def windowed(events: DataFrame, ts: str, length: str, late: str) -> DataFrame:
-    """Counts by window of event time; rows later than `late` are left out once a window is closed."""
-    at = events.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", late)
+def windowed(events: DataFrame, ts: str, length: str, late: str | None = None) -> DataFrame:
+    """Counts by window of event time. With a delay, and in append mode, a window is given once it is closed, and
+    rows later than the delay are left out; in complete mode all windows are kept and counted on."""
+    at = events.withColumn("at", F.col(ts).cast("timestamp"))
+    if late is not None:
+        at = at.withWatermark("at", late)
     return at.groupBy(F.window("at", length)).agg(F.count(F.lit(1)).alias("n")).select(F.unix_timestamp(F.col("window.start")).alias("start_s"), "n")
 
 
-def first_seen(events: DataFrame, keys: list[str], ts: str, late: str) -> DataFrame:
-    """The first row of each key within the watermark."""
-    at = events.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", late)
-    return at.dropDuplicatesWithinWatermark(keys)
+def first_seen(events: DataFrame, keys: list[str], ts: str | None = None, late: str | None = None) -> DataFrame:
+    """A row of each key. With a delay, keys are forgotten after it and may come again; else the state is the keys."""
+    if late is None:
+        return events.dropDuplicates(keys)
+    return events.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(keys)
+
+
+def silences(events: DataFrame, session: str, ts: str, gap: str) -> DataFrame:
+    """(session, start, end, n): stretches without a silence of the gap or more; what lies between two is dead air."""
+    at = events.select(session, F.col(ts).cast("timestamp").alias("at"))
+    sessions = at.groupBy(session, F.session_window("at", gap)).agg(F.count(F.lit(1)).alias("n"))
+    return sessions.select(session, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+def rechunked(frames: DataFrame, session: str, frame: str, value: str, size: int = 5) -> DataFrame:
+    """(session, chunk, values): whole chunks of `size` frames in their order; what doesn't fill one waits."""
+    chunks = frames.groupBy(session, F.floor(F.col(frame) / size).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct(frame, value))).alias("v"))
+    return chunks.where(F.size("v") == size).select(session, "chunk", F.transform("v", lambda x: x[value]).alias("values"))
+
+
+def decisions(past: np.ndarray, values: np.ndarray, trailing: int = TRAILING, rows: int = 4096) -> np.ndarray:
+    """Whether each value exceeds the mean of itself and those before it, trailing values at most."""
+    out = np.empty(len(values), bool)
+    every = np.concatenate([np.full(trailing - 1, np.nan), past, values])[-(len(values) + trailing - 1):]
+    windows = np.lib.stride_tricks.sliding_window_view(every, trailing)
+    for i in range(0, len(values), rows):
+        out[i:i + rows] = values[i:i + rows] > np.nanmean(windows[i:i + rows], axis=1)
+    return out
 
 
 def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    past = list(state.get[0]) if state.exists else []
+    past = np.array(state.get[0] if state.exists else [], float)
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    out = []
-    for i, x in zip(rows["event_id"], rows["value"]):
-        past = (past + [float(x)])[-TRAILING:]
-        out.append((key[0], i, bool(x > sum(past) / len(past))))
-    state.update((past,))
-    yield pd.DataFrame(out, columns=["user_id", "event_id", "speaking"])
+    values = rows["value"].to_numpy(float)
+    state.update((np.concatenate([past, values])[-(TRAILING - 1):].tolist(),))
+    yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "speaking": decisions(past, values)})
 
 
 def referee(frames: DataFrame, session: str = "user_id") -> DataFrame:
     """One decision a frame from the trailing frames of its session: louder than their mean or not.
 
-    The state of a session is the trailing values, TRAILING at most.
+    The state of a session is the trailing values, TRAILING at most. Frames of one batch are put in the order of
+    time; batches must follow one another in time.
     """
     rows = frames.select(F.col(session).alias("user_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
     return rows.groupBy("user_id").applyInPandasWithState(_decide, "user_id long, event_id long, speaking boolean", "past array<double>", "append", "NoTimeout")
