@@ -39,3 +39,7 @@ def id_of(names: list[str], name: Column) -> Column:
 
 def name_of(names: list[str], position: Column) -> Column:
     return F.try_element_at(F.array(*map(F.lit, names)), (position + 1).cast("int"))
+
+
+#: Marks of a training text's parts (fixed values).
+MARKS = {"system": "<|sys|>", "agent": "<|agent|>", "heard": "<|stt|>", "say": "<|say|>", "said": "<|/say|>"}

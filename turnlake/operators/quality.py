@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import half_even, rank_floor, ratio, script_ok, word_count
-from ..functions.vocab import BEHAVIOURS, DOMAINS, FLAGS, GENDERS, LANGUAGES, PROSODIES, STATES, WORD_LIMITS, WORDS_PER_SECOND
+from ..functions.vocab import BEHAVIOURS, DOMAINS, FLAGS, GENDERS, LANGUAGES, MARKS, PROSODIES, STATES, WORD_LIMITS, WORDS_PER_SECOND
 
 #: Values of fields that are missing or blank.
 DEFAULTS = {"agent_state": "IDLE", "prosody": "neutral", "gender": "female", "length_band": "short"}
@@ -154,6 +154,20 @@ def json_in_prose(text: Column) -> Column:
     return F.coalesce(*[F.when(F.try_parse_json(x).isNotNull(), x) for x in (fenced, F.trim(text), braces)])
 
 
+def training_context(system: str, agent: Column, heard: Column, phase: int = 2) -> Column:
+    """What a model reads: system prompt, the agent's text and what was heard of the user; in phase 1 the latter is
+    what is to be said, so it isn't shown."""
+    empty = F.lit("")
+    shown = empty if phase == 1 else F.coalesce(heard, empty)
+    return F.concat(F.lit(f"{MARKS['system']} {system}{MARKS['agent']} "), F.coalesce(agent, empty), F.lit(f"{MARKS['heard']} "), shown)
+
+
+def spoken_tail(user: Column, spoken: Column, phase: int = 2) -> Column:
+    """What a model is to say: the spoken texts, in phase 1 the user's own; empty if that is nothing."""
+    said = F.coalesce(user, F.lit("")) if phase == 1 else F.array_join(F.filter(F.coalesce(spoken, F.array().cast("array<string>")), lambda t: t != ""), " ")
+    return F.when(F.trim(said) != "", F.concat(F.lit(f"{MARKS['say']} "), said, F.lit(f" {MARKS['said']}"))).otherwise("")
+
+
 def target_frames(seconds: Column) -> Column:
     return half_even(seconds * 12.5)
 

@@ -128,13 +128,17 @@ def quality_frame_time(spark, d):
     return adapted(spark, d, MANIFEST).select("id", frames.alias("frames"), F.round(frames / 12.5, 6).alias("seconds"))
 
 
-@query(f"""WITH s AS ({S}) SELECT scenario_id, '[' || language || '] ' || agent_text || CASE WHEN agent_text = '' THEN '' ELSE ' / ' END || user_text ||
-CASE WHEN turn % 2 = 0 THEN ' => ' || split_part(user_text, ' ', 1) ELSE '' END AS training_text, {WORDS.format(x='user_text')} AS words FROM s""")
+@query(f"""WITH s AS ({S}), t AS ({T}), x AS (SELECT scenario_id, string_agg(trim(spoken_text), ' ' ORDER BY ord) FILTER (trim(spoken_text) <> '') AS said FROM t GROUP BY scenario_id)
+SELECT scenario_id, '<|sys|> Decide who speaks.<|agent|> ' || coalesce(agent_text, '') || '<|stt|> ' || coalesce(user_text, '') AS context, CASE WHEN said IS NULL THEN '' ELSE '<|say|> ' || said || ' <|/say|>' END AS tail,
+CASE WHEN trim(coalesce(user_text, '')) = '' THEN '' ELSE '<|say|> ' || user_text || ' <|/say|>' END AS first_tail FROM s LEFT JOIN x USING (scenario_id)""")
 def quality_training_text(spark, d):
-    joint = F.when(F.col("agent_text") == "", "").otherwise(" / ")
-    tail = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" => "), F.split_part("user_text", F.lit(" "), F.lit(1)))).otherwise("")
-    text = F.concat(F.lit("["), F.col("language"), F.lit("] "), F.col("agent_text"), joint, F.col("user_text"), tail)
-    return adapted(spark, d, SCENARIOS).select("scenario_id", text.alias("training_text"), word_count(F.col("user_text")).cast("long").alias("words"))
+    spoken = F.transform(F.array_sort(F.collect_list(F.struct("ord", "spoken_text"))), lambda x: F.trim(x["spoken_text"]))
+    said = adapted(spark, d, TARGETS).groupBy("scenario_id").agg(spoken.alias("said"))
+    rows = adapted(spark, d, SCENARIOS).join(said, "scenario_id", "left")
+    user = F.col("user_text")
+    return rows.select(
+        "scenario_id", Q.training_context("Decide who speaks.", F.col("agent_text"), user).alias("context"), Q.spoken_tail(user, F.col("said")).alias("tail"),
+        Q.spoken_tail(user, F.col("said"), phase=1).alias("first_tail"))
 
 
 @query("SELECT event_id, CAST(json_extract_string(regexp_extract('noise ' || props || ' end', '(\\{.*\\})', 1), '$.k') AS BIGINT) AS k FROM events")
