@@ -69,3 +69,39 @@ def test_run(spark):
     for k in range(corpus_pipeline.SHARDS):
         assert sorted(r.slot for r in rows if r.shard == k) == list(range(sum(r.shard == k for r in rows)))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights", "sharding"]
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls in any column, empty and repeated rows, ids that repeat with other texts, clashing names, no rows."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, id long, shard string, slot string, size string, class_id string"
+    tail = (None, 7, "s", None, "z", None)
+    rows = [(1, "plain words of a text", "en", "web", 21, *tail), (1, "plain words of a text", "en", "web", 21, *tail), (1, "something else than that", None, None, None, *tail),
+            (None, "no id at all here", "en", None, 3, *tail), (2, None, None, "web", None, *tail), (3, "", "en", "web", 0, *tail), (4, " \n ", "en", "web", 0, *tail),
+            (5, "plain words of a text", "en", "news", 21, *tail)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, FOLDER)
+        assert set(docs.columns) <= set(found.columns)
+        kept[name] = sorted(((r.doc_id, r.text) for r in found.collect()), key=repr)
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0
+    every = sorted(((r[0], r[1]) for r in rows), key=repr)
+    assert kept["toxicity"] == kept["benchmark decontamination"] == kept["sharding"] == every
+    assert kept["n-gram Jaccard join"] == sorted((x for x in every if x[0] != 5), key=repr)
+    assert set(kept["mixing sources to target weights"]) <= set(every)
+
+
+def test_leaks_go_by_their_own_text(spark):
+    """A clean row that shares a leaking row's id stays; a leaking row without an id goes."""
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(1, f"before it {item} after it", "a"), (1, "a clean row of that id", "b"), (None, item, "c"), (None, "clean too", "d"), (2, "x " * 30_000 + item, "e"), (2, "x " * 30_000 + item, "f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, leaked_id string")
+    left = D.without_leaks(docs, spark.read.parquet(f"{FOLDER}/benchmark.parquet"))
+    assert left.columns == docs.columns and sorted(r.leaked_id for r in left.collect()) == ["b", "d"]
+
+
+def test_blocks_of_items_find_the_same(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    items = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
+    pairs = lambda n: {(r.doc_id, r.item_id) for r in D.find_leaks(docs, items, block_items=n).collect()}
+    assert pairs(20_000) == pairs(10) and pairs(10)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_fold, cut, table
@@ -26,6 +26,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def held_out(n: int, remainder: int) -> Column:
+    """Whether the row is of the fold that nothing is learned from; false for a null id, which no label or fold has."""
+    return F.coalesce(crc_fold(F.col("doc_id"), n) == remainder, F.lit(False)).alias("held_out")
+
+
 def toxicity_lexicon(spark: SparkSession, docs: DataFrame, sf_dir: str):
     """Learned from the labelled rows of docs that are not held out."""
     from .toxicity import learn_lexicon
@@ -40,7 +45,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, toxicity_lexicon(spark, docs, sf_dir))
-    return scored.select("doc_id", (crc_fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "hits")
+    return scored.select("doc_id", held_out(3, 1), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "hits")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +66,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     net = learn_network(docs.where(crc_fold(F.col("doc_id"), 5) != 0).select(F.col("doc_id").alias("id"), "text", "lang"))
     found = predict_language(docs.select("doc_id", "text"), net)
-    return found.select("doc_id", (crc_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out(5, 0), "lang_pred", "score")
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
