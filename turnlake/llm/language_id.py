@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS, WINDOWS_PER_DOC = 600, 8
 WINDOW = 48
 #: Bytes that a state is carried over at most, and steps that are taken at once.
-SEGMENT, STEPS = 1 << 14, 32
+SEGMENT, STEPS = 1 << 12, 32
 UNITS = 12
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of ASCII letters and of characters beyond ASCII.
@@ -172,8 +172,7 @@ def byte_probabilities(net: Network, data: np.ndarray, starts: np.ndarray, ends:
     may go beyond its end, where nothing is kept.
     """
     p = net.parts
-    out = np.zeros((len(data), len(net.langs)), np.float32)
-    out += p["b"]
+    out = np.empty((len(data), len(net.langs)), np.float32)
     order = np.argsort(starts - ends, kind="stable")
     starts, ends = starts[order], ends[order]
     lengths = ends - starts
@@ -189,10 +188,15 @@ def byte_probabilities(net: Network, data: np.ndarray, starts: np.ndarray, ends:
             states = sweep(p, d, wide[place], h=h[:m])
             h = states[-1]
             logits = (states.reshape(-1, states.shape[-1]) @ p[f"{d}W"]).reshape(steps, m, -1)
-            out[place[:, :full]] += logits[:, :full]
+            parts = [(place[:, :full].ravel(), logits[:, :full].reshape(-1, logits.shape[-1]))]
             if full < m:
                 inside = at + step < lengths[full:m]
-                out[place[:, full:][inside]] += logits[:, full:][inside]
+                parts.append((place[:, full:][inside], logits[:, full:][inside]))
+            for where, values in parts:
+                if d == "f":
+                    out[where] = values + p["b"]
+                else:
+                    out[where] += values
     out -= out.max(-1, keepdims=True)
     np.exp(out, out=out)
     out /= out.sum(-1, keepdims=True)
