@@ -97,6 +97,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fill_middle import fill_in_middle, restored
 
@@ -153,6 +159,34 @@ SELECT doc_id, size, source_size, target,
 FROM ranked r JOIN ends e ON r.source IS NOT DISTINCT FROM e.source
 """
 
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded WHERE len(w) > 0),
+totals AS (SELECT lang, count(*) AS n FROM placed GROUP BY lang),
+grams AS (SELECT lang, w[i:i + k] AS g FROM placed CROSS JOIN (SELECT unnest(range(0, 5)) AS k) WHERE i + k <= len(w)),
+f AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY lang, g HAVING count(*) >= 100),
+subs AS (
+  SELECT lang, f, g, unnest(range(1, len(g) + 1)) AS s FROM f WHERE len(g) > 2),
+inside AS (
+  SELECT lang, g[s:s + m] AS sub, max(f) AS longer FROM subs CROSS JOIN (SELECT unnest(range(1, 4)) AS m)
+  WHERE s + m <= len(g) AND m + 1 < len(g) GROUP BY ALL),
+kept AS (
+  SELECT f.* FROM f LEFT JOIN inside i ON f.lang = i.lang AND f.g = i.sub WHERE len(f.g) > 1 AND coalesce(100 * i.longer < 100 * f.f, true)),
+cuts AS (SELECT lang, g, f AS a, unnest(range(1, len(g))) AS k FROM kept),
+scored AS (
+  SELECT c.lang, c.g, c.a, c.k, lf.f AS l, rf.f AS r, t.n,
+         CAST((1000::HUGEINT * c.a * t.n) // (lf.f::HUGEINT * rf.f) AS BIGINT) AS score
+  FROM cuts c JOIN f lf ON lf.lang = c.lang AND lf.g = c.g[1:c.k] JOIN f rf ON rf.lang = c.lang AND rf.g = c.g[c.k + 1:]
+  JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(g, ' '))) AS rank FROM lowest)
+SELECT lang, rank, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 OP13_SQL = r"""
 WITH cut AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
@@ -177,9 +211,9 @@ FROM parts
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_ngram_join, op2_decontaminate, op3_exact_dedup, op4_toxicity, op5_html_text, op6_licenses, op7_language_id, op8_token_files, op9_sharding, op10_mixing,
-        op13_fill_middle,
+        op12_collocations, op13_fill_middle,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op10_mixing": OP10_SQL, "op13_fill_middle": OP13_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op10_mixing": OP10_SQL, "op12_collocations": OP12_SQL, "op13_fill_middle": OP13_SQL}
