@@ -97,6 +97,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kd_search import top_products
+
+    return top_products(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .collocations import collocations
 
@@ -159,6 +165,18 @@ SELECT doc_id, size, source_size, target,
 FROM ranked r JOIN ends e ON r.source IS NOT DISTINCT FROM e.source
 """
 
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, rowid AS r, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS c
+  FROM (SELECT vec_id, embedding, row_number() OVER () AS rowid FROM embeddings)
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, q.r AS q, o.vec_id, o.r, CAST(list_inner_product(q.c, o.c) AS BIGINT) AS score
+  FROM v q JOIN v o ON len(q.c) = len(o.c) AND q.r <> o.r WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id NULLS LAST, r) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
 OP12_SQL = r"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
@@ -211,9 +229,9 @@ FROM parts
 def queries() -> dict:
     return {f.__name__: f for f in (
         op1_ngram_join, op2_decontaminate, op3_exact_dedup, op4_toxicity, op5_html_text, op6_licenses, op7_language_id, op8_token_files, op9_sharding, op10_mixing,
-        op12_collocations, op13_fill_middle,
+        op11_top_products, op12_collocations, op13_fill_middle,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op10_mixing": OP10_SQL, "op12_collocations": OP12_SQL, "op13_fill_middle": OP13_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op10_mixing": OP10_SQL, "op11_top_products": OP11_SQL, "op12_collocations": OP12_SQL, "op13_fill_middle": OP13_SQL}
