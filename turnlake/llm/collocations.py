@@ -1,9 +1,9 @@
 """Collocations of each language, mined by suffix sorting.
 
 At every word of a text stands a suffix, cut to max_n words and to its piece. Suffixes are dealt by language and first
-word in ranges of their order, so that a frequent first word (or phrase) spans several tasks. Each task reads its range
+word, in ranges of their order, so that a frequent first word (or phrase) spans several tasks. Each task reads its range
 in reverse order and counts all prefixes with one stack of max_n + 1 counts: a prefix is complete once it leaves the
-stack. Only those at either end of a range may go on in another task; these are given as they are and summed, of all
+stack. Suffixes whose first two words are too rare together reach it as so many of their first word. Only those at either end of a range may go on in another task; these are given as they are and summed, of all
 others only those that reach least_count leave the task. Scores come from joins of the counts with those of their parts.
 
 A key is the language and the words, with NUL between, which sorts before all else; words that hold NUL or SOH are
@@ -12,6 +12,7 @@ escaped, so that keys sort as their lists of words do.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,14 +69,40 @@ def suffix_keys(langs: pa.Array, texts: pa.Array, max_n: int, most_words: int =
         yield pc.binary_join_element_wise(*columns, "\x00", null_handling="skip")
 
 
-def _summed(chunks: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-    found = pa.table({"key": pa.chunked_array(chunks, pa.string())}).group_by("key").aggregate([([], "count_all")])
-    for b in found.select(["key", "count_all"]).rename_columns(["key", "n"]).combine_chunks().to_batches(max_chunksize=50_000):
-        yield b
+def _sampled_keys(max_n: int, stride: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for keys in suffix_keys(part.column("lang"), part.column("text"), max_n):
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.arange(0, len(keys), stride)))], ["key"])
+
+    return run
 
 
-def _suffixes(max_n: int):
-    """(lang, text) -> (key, n): equal suffixes of a task are counted before they are shuffled."""
+def range_bounds(docs: DataFrame, max_n: int, parts: int) -> list[str]:
+    """parts - 1 keys that part the suffixes of a bounded sample of documents evenly. They decide which task counts what,
+    not what is counted."""
+    documents, stride = 2000 + min(8 * parts, 80_000), 32
+    share = min(1.0, documents / max(1, docs.count()))
+    keys = sorted(r.key for r in docs.sample(share, 1).mapInArrow(_sampled_keys(max_n, stride), "key string").collect())
+    return [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
+
+
+def _summed(chunks: list[pa.Array], bounds: list[str]) -> Iterator[pa.RecordBatch]:
+    """(range, key, n), in reverse order: what is nearly sorted packs better and is sorted faster."""
+    found = pa.table({"key": pa.chunked_array(chunks, pa.string())}).group_by("key").aggregate([([], "count_all")])
+    keys = found["key"].combine_chunks()
+    order = pc.array_sort_indices(keys, order="descending")
+    keys, counts = keys.take(order), found["count_all"].combine_chunks().take(order)
+    ends = [bisect.bisect_left(range(len(keys)), True, key=lambda i: keys[i].as_py() <= bound) for bound in reversed(bounds)]
+    place = len(bounds) - np.searchsorted(np.array(ends, np.int64), np.arange(len(keys)), "right")
+    batch = pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), keys, counts], ["range", "key", "n"])
+    for i in range(0, len(keys), 50_000):
+        yield batch.slice(i, 50_000)
+
+
+def _suffixes(max_n: int, bounds: list[str]):
+    """(lang, text) -> (range, key, n): equal suffixes of a task are counted before they are shuffled."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
@@ -84,10 +111,10 @@ def _suffixes(max_n: int):
                     held.append(keys)
                     rows += len(keys)
                     if rows >= FLUSH_ROWS:
-                        yield from _summed(held)
+                        yield from _summed(held, bounds)
                         held, rows = [], 0
         if rows:
-            yield from _summed(held)
+            yield from _summed(held, bounds)
 
     return run
 
@@ -122,11 +149,35 @@ def prefix_counts(rows: Iterator[tuple[str, int]], least: int) -> Iterator[tuple
             counts[-1] += c
 
 
+def collapsed(keys: pa.Array, counts: np.ndarray, pairs: pa.Array, least: int) -> tuple[pa.Array, np.ndarray]:
+    """The rows with those of rare pairs of words put together, as so many of their first word. pairs are the keys up to
+    the second word; what may go on beyond either end stays as it is."""
+    starts = np.concatenate([[0], 1 + np.flatnonzero(pc.not_equal(pairs[1:], pairs[:-1]).to_numpy(zero_copy_only=False))])
+    sums = np.add.reduceat(counts, starts)
+    rare = sums < least
+    rare[[0, -1]] = False
+    if not rare.any():
+        return keys, counts
+    runs = np.flatnonzero(rare)
+    heads = pc.replace_substring_regex(pairs.take(pa.array(starts[runs])), r"^([^\x00]*\x00[^\x00]*)\x00[^\x00]*$", r"\1")
+    new = np.concatenate([[True], (np.diff(runs) > 1) | pc.not_equal(heads[1:], heads[:-1]).to_numpy(zero_copy_only=False)])
+    first = np.flatnonzero(new)
+    kept = np.flatnonzero(~np.repeat(rare, np.diff(np.append(starts, len(counts)))))
+    order = np.argsort(np.concatenate([kept, starts[runs[first]]]), kind="stable")
+    all_keys = pa.concat_arrays([keys.take(pa.array(kept)), heads.take(pa.array(first))])
+    return all_keys.take(pa.array(order)), np.concatenate([counts[kept], np.add.reduceat(sums[runs], first)])[order]
+
+
 def _prefixes(least: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int]]:
+        for b in batches:
+            if b.num_rows:
+                keys, counts = collapsed(b.column(0), b.column(1).to_numpy(), b.column(2), least)
+                yield from zip(keys.to_pylist(), counts.tolist())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
         keys, counts = [], []
-        for key, n in prefix_counts(rows, least):
+        for key, n in prefix_counts(rows(batches), least):
             keys.append(key)
             counts.append(n)
             if len(keys) >= 50_000:
@@ -139,9 +190,12 @@ def _prefixes(least: int):
 
 def phrase_counts(docs: DataFrame, max_n: int, least: int) -> DataFrame:
     """(key, words, f) of the phrases that reach least, and of each language (0 words) the number of its words."""
-    suffixes = docs.mapInArrow(_suffixes(max_n), COUNTS)
-    dealt = suffixes.repartitionByRange("key").sortWithinPartitions(F.col("key").desc())
-    counted = dealt.mapInArrow(_prefixes(least), COUNTS).groupBy("key").agg(F.sum("n").alias("f"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = range_bounds(docs, max_n, parts)
+    suffixes = docs.mapInArrow(_suffixes(max_n, bounds), "range int, key string, n long")
+    dealt = suffixes.repartitionById(parts, "range").select("key", "n").sortWithinPartitions(F.col("key").desc())
+    pairs = dealt.withColumn("pair", F.substring_index("key", "\x00", 3))
+    counted = pairs.mapInArrow(_prefixes(least), COUNTS).groupBy("key").agg(F.sum("n").alias("f"))
     words = F.size(F.split("key", "\x00")) - 1
     return counted.withColumn("words", words).where((F.col("f") >= least) | (F.col("words") == 0))
 
