@@ -109,7 +109,7 @@ def search(points: np.ndarray, ids: np.ndarray, row_ids: np.ndarray, nodes: np.n
 
 def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
-    return scaled(flat.to_numpy(zero_copy_only=False)).reshape(-1, dim)
+    return scaled(flat.to_numpy(zero_copy_only=False)).reshape(len(column), dim)
 
 
 def _build(leaf: int):
@@ -133,8 +133,9 @@ def _find(k: int):
         if trees.num_rows and queries.num_rows:
             t = trees.to_pylist()[0]
             dim, ids, row_ids = t["dim"], np.array(t["ids"], np.int64), np.array(t["row_ids"], np.int64)
-            points, boxes = np.frombuffer(t["points"]).reshape(len(ids), dim), np.frombuffer(t["boxes"]).reshape(-1, 2, dim)
-            nodes, unnamed = np.frombuffer(t["nodes"], np.int64).reshape(-1, 5), {r for r, named in zip(t["row_ids"], t["named"]) if not named}
+            nodes = np.frombuffer(t["nodes"], np.int64).reshape(-1, 5)
+            points, boxes = (np.frombuffer(t[k], np.float64).reshape(shape) for k, shape in (("points", (len(ids), dim)), ("boxes", (len(nodes), 2, dim))))
+            unnamed = {r for r, named in zip(t["row_ids"], t["named"]) if not named}
             least = [None if x is None else (x["score"], -(NO_ID if x["id"] is None else x["id"]), -x["row"]) for x in queries.column("least").to_pylist()]
             own = queries.column("query_row").to_numpy()
             for row, found in zip(own.tolist(), search(points, ids, row_ids, nodes, boxes, _matrix(queries.column("vector"), dim), own, least, k)):
