@@ -136,3 +136,15 @@ def actions(steps: DataFrame, session: str, order: str) -> DataFrame:
         F.when(starts | (flag == "TURN_END") & (F.col("prefetch_active") == 0), "prefetch"), *[F.when(flag == k, v) for k, v in named.items()],
         F.when((flag == "SILENCE_BREAK") | speaks, "say")))
     return steps.withColumn("prefetch_active", before).withColumn("actions", done)
+
+
+def orchestrated(steps: DataFrame, session: str, at_us: str, order: str, silence_us: int = 2_500_000) -> DataFrame:
+    """(session, at_us, order, flag, prefetch_active, actions) of all steps, and of a SILENCE_BREAK where none follows
+    for silence_us; its order is null."""
+    ahead = F.lead(at_us).over(Window.partitionBy(session).orderBy(at_us, order))
+    own = steps.select(session, F.col(at_us).alias("at_us"), order, "flag", "agent_state", "spoken", ahead.alias("ahead"))
+    quiet = own.where(F.col("ahead").isNull() | (F.col("ahead") > F.col("at_us") + silence_us))
+    breaks = quiet.select(session, (F.col("at_us") + silence_us).alias("at_us"), F.lit(None).cast("long").alias(order), F.lit("SILENCE_BREAK").alias("flag"),
+                          F.lit("").alias("agent_state"), F.lit("").alias("spoken"))
+    rows = own.drop("ahead").unionByName(breaks).withColumn("turn", F.struct("at_us", order))
+    return actions(rows, session, "turn").select(session, "at_us", order, "flag", "prefetch_active", "actions")

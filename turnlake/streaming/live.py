@@ -4,13 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
 
 TRAILING = 96
 
@@ -38,6 +35,22 @@ def stream_of(spark: SparkSession, path: str, files_a_batch: int | None = 8) ->
     return reader.parquet(f"{folder}/[{name[0]}]{name[1:]}")
 
 
+def arrivals(rows: DataFrame, ts: str, session: str, files: int, path: str) -> str:
+    """Writes rows as a stream brings them, and gives the delay that no row exceeds: in so many appends by time, every
+    seventh row an append late, then a row of session -1 so late that all others are past."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    span = max(1, -(-((high or 0) - (low or 0) + 1) // files))
+    own = F.floor((at - (low or 0)) / span)
+    place = F.coalesce(own + (F.pmod(F.xxhash64(session, at), F.lit(7)) == 0).cast("long"), F.lit(0))
+    for k in range(files + 1):
+        rows.where(place == k).write.mode("append").parquet(path)
+    end = rows.limit(0).unionByName(
+        rows.sparkSession.range(1).select(F.lit(-1).alias(session), F.timestamp_micros(F.lit((high or 0) + 2 * span + 400 * 86_400_000_000)).alias(ts)), allowMissingColumns=True)
+    end.select(*[F.col(c).cast(dict(rows.dtypes)[c]) for c in rows.columns]).write.mode("append").parquet(path)
+    return f"{2 * span} microseconds"
+
+
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """What a stream gives once all its input is there, through a file sink and a checkpoint.
 
@@ -75,19 +88,16 @@ def first_seen(events: DataFrame, keys: list[str], ts: str | None = None, late:
     return events.withColumn("at", F.col(ts).cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark(keys)
 
 
-def silences(events: DataFrame, session: str, ts: str, gap: str) -> DataFrame:
-    """(session, start, end, n): stretches without a silence of the gap or more; what lies between two is dead air."""
+def silences(events: DataFrame, session: str, ts: str, gap: str, late: str | None = None) -> DataFrame:
+    """(session, start, end, n): stretches without a silence of the gap or more; what lies between two is dead air.
+    With a delay, and in append mode, a stretch is given once it is closed, and forgotten."""
     at = events.select(session, F.col(ts).cast("timestamp").alias("at"))
+    if late is not None:
+        at = at.withWatermark("at", late)
     sessions = at.groupBy(session, F.session_window("at", gap)).agg(F.count(F.lit(1)).alias("n"))
     return sessions.select(session, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def rechunked(frames: DataFrame, session: str, frame: str, value: str, size: int = 5) -> DataFrame:
-    """(session, chunk, values): whole chunks of `size` frames in their order; what doesn't fill one waits."""
-    chunks = frames.groupBy(session, F.floor(F.col(frame) / size).alias("chunk")).agg(F.sort_array(F.collect_list(F.struct(frame, value))).alias("v"))
-    return chunks.where(F.size("v") == size).select(session, "chunk", F.transform("v", lambda x: x[value]).alias("values"))
-
-
 def decisions(past: np.ndarray, values: np.ndarray, trailing: int = TRAILING, rows: int = 4096) -> np.ndarray:
     """Whether each value exceeds the mean of itself and those before it, trailing values at most."""
     out = np.empty(len(values), bool)
@@ -97,20 +107,3 @@ def decisions(past: np.ndarray, values: np.ndarray, trailing: int = TRAILING, ro
         out[i:i + rows] = values[i:i + rows] > np.nanmean(windows[i:i + rows], axis=1)
     return out
 
-
-def _decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    past = np.array(state.get[0] if state.exists else [], float)
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    values = rows["value"].to_numpy(float)
-    state.update((np.concatenate([past, values])[-(TRAILING - 1):].tolist(),))
-    yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "speaking": decisions(past, values)})
-
-
-def referee(frames: DataFrame, session: str = "user_id") -> DataFrame:
-    """One decision a frame from the trailing frames of its session: louder than their mean or not.
-
-    The state of a session is the trailing values, TRAILING at most. Frames of one batch are put in the order of
-    time; batches must follow one another in time.
-    """
-    rows = frames.select(F.col(session).alias("user_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
-    return rows.groupBy("user_id").applyInPandasWithState(_decide, "user_id long, event_id long, speaking boolean", "past array<double>", "append", "NoTimeout")
