@@ -24,17 +24,18 @@ def f1(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
     return p, r, ratio(2 * p * r, p + r)
 
 
-def md5_mod(key: Column, n: int) -> Column:
-    """The 128-bit MD5 of key modulo n, from two 64-bit halves."""
+def md5_mod(key: Column, n: int | Column) -> Column:
+    """The 128-bit MD5 of key modulo n, from two 64-bit halves; null where n is 0 or null."""
     digest = F.md5(key.cast("binary"))
     high, low = (F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)") for at in (1, 17))
-    shift = (1 << 64) % n
-    return ((high % n * shift + low % n) % n).cast("int")
+    n = F.nullif((n if isinstance(n, Column) else F.lit(n)).cast("decimal(9,0)"), F.lit(0).cast("decimal(9,0)"))
+    shift = F.lit(str(1 << 64)).cast("decimal(20,0)") % n
+    return (((high % n).cast("decimal(9,0)") * shift.cast("decimal(9,0)") + low % n) % n).cast("int")
 
 
-def md5_number(key: Column) -> Column:
-    """The MD5 of key as a decimal, from its last 60 bits."""
-    return F.conv(F.substring(F.md5(key.cast("binary")), 18, 15), 16, 10).cast("decimal(20,0)")
+def blank(text: Column) -> Column:
+    """Whether nothing but white space of any kind is there; null counts as blank."""
+    return ~F.coalesce(text, F.lit("")).rlike(r"(?U)[^\s\x1c-\x1f]")
 
 
 def words(text: Column) -> Column:
@@ -60,7 +61,7 @@ def script_ok(text: Column, language: Column) -> Column:
         language.startswith("gu"), F.regexp_count(text, F.lit(r"[\p{L}&&[઀-૿]]"))).otherwise(F.regexp_count(text, F.lit(r"[\p{L}&&[\u0000-ɏ]]")))
     need = F.when(language == "en", 0.7).when(language.endswith("_native"), 0.45).otherwise(0.85)
     n = letters(text)
-    return F.when(F.trim(text) == "", False).when(n == 0, True).otherwise(block / n >= need)
+    return F.when(blank(text), False).when(n == 0, True).otherwise(block / n >= need)
 
 
 def rank_floor(values: Column, p: float) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
@@ -86,3 +86,40 @@ def topup_hours(short: DataFrame, seconds_a_clip: float = 22.0, least: float = 0
 def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """n rows in the order of their key's MD5: a sample that is the same at each run."""
     return rows.orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(n)
+
+
+def speaking_rate_sample(clips: DataFrame, key: str, track: str, n: int = 400) -> DataFrame:
+    """One row: the mean of the clips' mean speaking rates over n clips, chosen by hash; clips without frames don't count."""
+    chosen = hash_sample(clips.where(F.size(track) > 0), key, n)
+    rate = F.aggregate(F.col(track), F.lit(0.0), lambda a, x: a + x.cast("double")) / F.size(track)
+    return chosen.agg(F.avg(rate).alias("rate"), F.count(F.lit(1)).alias("clips"))
+
+
+def corpus_report(frames: DataFrame, clip: str = "clip", flag: str = "flag", spoken: str = "spoken", least_clips: int = 2000, names: list[str] = FLAGS, frames_an_hour: int = 45_000) -> DataFrame:
+    """One row, one column report: the corpus as one JSON text, with counts by flag, behaviour and language as maps.
+
+    frames has a row a frame, with the clip's behaviour and language. Frames are counted by clip and flag first; all
+    counts come from one grouping of these rows, so that the frames are read once.
+    """
+    by_flag = frames.groupBy(clip, "behaviour", "language", flag).agg(F.count(F.lit(1)).alias("n"), F.bool_or(spoken).alias("said"))
+    by_clip = by_flag.groupBy(clip, "behaviour", "language").agg(F.sort_array(F.collect_list(F.struct(flag, "n"))).alias("flags"), F.bool_or("said").alias("said"))
+    rows = by_clip.select("behaviour", "language", "said", F.posexplode("flags").alias("k", "of")).select(
+        "behaviour", "language", "said", F.col(f"of.{flag}").alias("flag"), F.col("of.n").alias("n"), (F.col("k") == 0).cast("int").alias("first"))
+    sets = rows.groupingSets([[], ["flag"], ["behaviour"], ["language"]], "flag", "behaviour", "language").agg(
+        F.grouping_id().alias("set"), F.sum("n").alias("frames"), F.count(F.lit(1)).alias("with_flag"), F.sum("first").alias("clips"), F.sum(F.col("first") * F.col("said").cast("int")).alias("said"))
+    whole, by = 7, {"flag": 3, "behaviour": 5, "language": 6}
+    name = F.element_at(F.array(*map(F.lit, names)), F.col("flag") + 1)
+
+    def folded(of: str, key: Column, value: Column) -> Column:
+        pairs = F.array_sort(F.collect_list(F.when((F.col("set") == by[of]) & key.isNotNull() & value.isNotNull(), F.struct(key.alias("key"), value.alias("value")))))
+        return F.map_from_entries(pairs)
+
+    total = lambda c: F.max(F.when(F.col("set") == whole, F.col(c)))
+    one = sets.agg(
+        total("clips").alias("clips"), total("frames").alias("frames"), F.round(total("frames") / frames_an_hour, 2).alias("hours"),
+        folded("flag", name, F.col("frames")).alias("frame_counts"), folded("flag", name, F.col("with_flag")).alias("clip_counts"),
+        folded("behaviour", F.col("behaviour"), F.col("clips")).alias("by_behaviour"), folded("language", F.col("language"), F.col("clips")).alias("by_language"),
+        total("said").alias("clips_with_spoken_text"))
+    flags = F.array(*map(F.lit, names))
+    short = F.filter(F.transform(flags, lambda f: F.struct(f.alias("key"), (F.lit(least_clips) - F.coalesce(F.try_element_at(F.col("clip_counts"), f), F.lit(0))).alias("value"))), lambda e: e["value"] > 0)
+    return one.withColumn("min_clips_per_flag", F.lit(least_clips)).withColumn("deficits", F.map_from_entries(short)).select(F.to_json(F.struct("*")).alias("report"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,18 +64,49 @@ def barge(frames: DataFrame, truth: str = "flag", pred: str = "pred", behaviour:
     return counts.select(precision.alias("precision"), recall.alias("recall"), score.alias("f1"), ratio(F.col("wrong"), F.col("calm")).alias("false_barge_rate"))
 
 
+def percentiles(rows: DataFrame, column: str, marks: list[float], bins: int = 1024) -> list[float | None]:
+    """The exact percentiles of a column, interpolated between neighbours; nulls if there is no value.
+
+    Ranks are closed in on by histograms: each round splits the value ranges that still hold a wanted rank into bins and
+    keeps the bin with the rank, until it holds one value. A round is one pass with bins of counts; no values are sorted.
+    """
+    values = rows.select(F.col(column).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    n, low, high = values.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    if not n:
+        return [None] * len(marks)
+    wanted = sorted({k for p in marks for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
+    within = {k: (low, high, 0) for k in wanted}  # the range that holds rank k, and how many values come before it
+    while open_ := sorted({r for r in within.values() if r[0] < r[1]}):
+        own = F
+        for i, (a, b, _) in enumerate(open_):
+            own = own.when(F.col("v").between(a, b), i)
+        of = lambda numbers: F.get(F.array(*map(F.lit, numbers)), F.col("own"))
+        scale = [1.0 if math.isfinite(b - a) else 0.5 for a, b, _ in open_]
+        lows, spans = of([a * s for (a, _, _), s in zip(open_, scale)]), of([b * s - a * s for (a, b, _), s in zip(open_, scale)])
+        bin_ = F.least(F.lit(bins - 1), F.floor((F.col("v") * of(scale) - lows) / spans * bins).cast("int"))
+        placed = values.select("v", own.alias("own")).where("own is not null").select("v", "own", bin_.alias("bin"))
+        counts = placed.groupBy("own", "bin").agg(F.count(F.lit(1)), F.min("v"), F.max("v")).collect()
+        for i, r in enumerate(open_):
+            before = r[2]
+            for _, _, size, a, b in sorted(c for c in counts if c[0] == i):
+                for k in (k for k in wanted if within[k] == r and before <= k < before + size):
+                    within[k] = (a, b, before)
+                before += size
+    at = {k: r[0] for k, r in within.items()}
+    place = [(p * (n - 1), math.floor(p * (n - 1)), math.ceil(p * (n - 1))) for p in marks]
+    return [at[f] if f == c else (c - x) * at[f] + (x - f) * at[c] for x, f, c in place]
+
+
 def threshold_sweep(scores: DataFrame, score: str = "logit", truth: str = "truth", places: int = 41) -> DataFrame:
     """(threshold, f1) at the different quantiles from 1 % to 99 %; a score must exceed the threshold.
 
     A score falls in one place between thresholds, so counts are summed by place and then from above:
-    no score meets every threshold.
+    no score meets every threshold, and the quantiles are found without a task that holds all scores.
     """
-    marks = [0.01 + 0.98 * k / (places - 1) for k in range(places)]
-    bars = scores.agg(F.array_sort(F.array_distinct(F.percentile(score, F.array(*map(F.lit, marks))))).alias("bars"))
-    placed = scores.join(F.broadcast(bars)).withColumn("place", F.size(F.filter("bars", lambda b: b < F.col(score))))  # one row of bars
-    counts = placed.groupBy("place").agg(F.count_if(F.col(truth)).alias("t"), F.count_if(~F.col(truth)).alias("f"))
-    rows = bars.select(F.posexplode("bars").alias("k", "threshold")).select((F.col("k") + 1).alias("place"), "threshold")
-    every = rows.unionByName(bars.limit(1).select(F.lit(0).alias("place"), F.lit(None).cast("double").alias("threshold")))
+    bars = sorted({x for x in percentiles(scores, score, [0.01 + 0.98 * k / (places - 1) for k in range(places)]) if x is not None})
+    place = F.size(F.filter(F.array(*map(F.lit, bars)).cast("array<double>"), lambda b: b < F.col(score)))
+    counts = scores.groupBy(place.alias("place")).agg(F.count_if(F.col(truth)).alias("t"), F.count_if(~F.col(truth)).alias("f"))
+    every = scores.sparkSession.createDataFrame([(0, None), *enumerate(bars, 1)], "place int, threshold double")
     from_top = Window.orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, 0)
     summed = every.join(counts, "place", "left").select(
         "threshold", F.sum(F.coalesce("t", F.lit(0))).over(from_top).alias("tp"), F.sum(F.coalesce("f", F.lit(0))).over(from_top).alias("fp"),

@@ -148,3 +148,18 @@ def orchestrated(steps: DataFrame, session: str, at_us: str, order: str, silence
                           F.lit("").alias("agent_state"), F.lit("").alias("spoken"))
     rows = own.drop("ahead").unionByName(breaks).withColumn("turn", F.struct("at_us", order))
     return actions(rows, session, "turn").select(session, "at_us", order, "flag", "prefetch_active", "actions")
+
+
+def run_totals(calls: DataFrame, renders: DataFrame) -> DataFrame:
+    """(run_id, calls, valid, clips, ok, llm_usd, tts_usd): a row a run, of both logs; a run that one lacks has 0 there."""
+    a = priced(calls).groupBy("run_id").agg(F.count(F.lit(1)).alias("calls"), F.sum("valid_n").alias("valid"), F.sum("cost_usd").alias("llm_usd"))
+    b = renders.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("clips"), F.count_if(F.col("status") == "ok").alias("ok"), F.sum(tts_cost(F.col("chars"), F.col("duration_s"))).alias("tts_usd"))
+    both = a.join(b, "run_id", "full_outer")
+    return both.select("run_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("calls", "valid", "clips", "ok")], *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in ("llm_usd", "tts_usd")])
+
+
+def cost_totals(export: DataFrame) -> DataFrame:
+    """(kind, run_id, rows, cost_usd) of a cost export, with the totals of each kind and of all under nulls."""
+    sums = export.rollup("kind", "run_id").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+    return sums.select("kind", "run_id", "rows", "cost_usd")

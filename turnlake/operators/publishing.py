@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import half_even, md5_number
+from ..functions.exprs import blank, half_even, md5_mod
 
 #: What a job of the plan holds.
 JOB_SCHEMA = "behaviour string, language string, domain string, gender string, count int, force_silence boolean, length_band string"
@@ -13,7 +13,7 @@ JOB_SCHEMA = "behaviour string, language string, domain string, gender string, c
 
 def publishable(clips: DataFrame, synced: DataFrame, key: str = "scenario_id") -> DataFrame:
     """Clips with audio, metadata, a duration above 0 and a text that have not been published yet."""
-    ready = clips.where(F.col("has_wav") & F.col("has_meta") & (F.coalesce("duration_s", F.lit(0.0)) > 0) & (F.trim(F.coalesce("user_text", F.lit(""))) != ""))
+    ready = clips.where(F.col("has_wav") & F.col("has_meta") & (F.coalesce("duration_s", F.lit(0.0)) > 0) & ~blank(F.col("user_text")))
     return ready.join(synced.select(key).distinct(), key, "left_anti")
 
 
@@ -85,7 +85,7 @@ def voice_totals(voices: DataFrame) -> DataFrame:
 def voice_of(texts: DataFrame, voices: DataFrame, key: Column) -> DataFrame:
     """Adds voice: of the voices of the row's gender, the one at the key's hash modulo their number."""
     return texts.join(F.broadcast(voices_by_gender(voices)), "gender", "left").withColumn(
-        "voice", F.get("voices", (md5_number(key) % F.size("voices").cast("decimal(20,0)")).cast("int"))).drop("voices")
+        "voice", F.get("voices", md5_mod(key, F.size("voices")))).drop("voices")
 
 
 def chosen_clones(wanted: DataFrame, existing: DataFrame, budget: int) -> DataFrame:
@@ -100,6 +100,15 @@ def chosen_clones(wanted: DataFrame, existing: DataFrame, budget: int) -> DataFr
     return fresh.withColumn("rank", rank).join(F.broadcast(quotas), "gender").where("rank <= quota").select("hash", "gender", "name")
 
 
+def default_fill(open_places: DataFrame, catalogue: DataFrame, used: DataFrame) -> DataFrame:
+    """(gender, name, voice): the k-th open place of a gender, by name, gets the k-th of its default voices, in the order of
+    the catalogue, that isn't used yet; places beyond those stay without."""
+    nth = lambda *order: F.row_number().over(Window.partitionBy("gender").orderBy(*order))
+    free = catalogue.join(used.select("gender", "voice").distinct(), ["gender", "voice"], "left_anti")
+    places = open_places.select("gender", "name", nth("name", "hash").alias("k"))
+    return places.join(free.select("gender", "voice", nth("place", "voice").alias("k")), ["gender", "k"], "left").select("gender", "name", "voice")
+
+
 def error_summary(errors: Column, most: int = 2) -> Column:
     """The first errors of a JSON list; what is no list is cut to 100 characters."""
     listed = F.from_json(F.when(F.trim(errors).startswith("["), errors), "array<string>")
@@ -129,7 +138,7 @@ def projection(spent: DataFrame, target_hours: float, price_per_hour: float, bud
     seen = F.col("cost_usd") + F.greatest(F.lit(0.0), target_hours - F.col("hours")) * F.col("cost_usd") / F.nullif(F.col("hours"), F.lit(0.0))
     projected = F.when(F.coalesce("hours", F.lit(0.0)) <= 0, F.lit(target_hours * price_per_hour)).otherwise(seen)
     return spent.select("cost_usd", projected.alias("projected")).select(
-        "projected", F.greatest(F.lit(0.0), F.col("projected") - F.coalesce("cost_usd", F.lit(0.0))).alias("gap"), (100 * F.col("projected") * rate / budget).alias("budget_pct"))
+        "projected", F.greatest(F.lit(0.0), F.col("projected") - F.coalesce("cost_usd", F.lit(0.0))).alias("gap"), (100 * F.col("projected") * rate / budget if budget else F.lit(0.0)).alias("budget_pct"))
 
 
 def progress(counts: DataFrame, least_s: float = 5.0) -> DataFrame:
@@ -147,7 +156,8 @@ def counters_by_language(clips: DataFrame) -> DataFrame:
 
 def dropped_frames(frames: DataFrame, clip: str, frame: str, mask: str = "valid", share: float = 0.05, seed: str = "drop") -> DataFrame:
     """Adds kept: valid frames but for a random share, decided by clip, frame and seed, so reruns agree."""
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col(clip), F.col(frame)), F.lit(1 << 20)) / float(1 << 20)
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(clip), F.col(frame)).cast("binary"))
+    place = F.conv(F.substring(digest, 1, 5), 16, 10).cast("long") / float(1 << 20)
     return frames.withColumn("kept", F.col(mask) & (place >= share))
 
 
@@ -196,9 +206,11 @@ def read_shards(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_keyed_lines(spark: SparkSession, path: str, fallback: DataFrame, key: str = "scenario_id") -> DataFrame:
-    """(key, line): raw JSON lines by key, the last of each; keys that only the fallback has come from there."""
-    rows = spark.read.text(path).select(F.get_json_object("value", f"$.{key}").alias(key), F.col("value").alias("line")).where(f"{key} is not null")
-    raw = rows.groupBy(key).agg(F.max("line").alias("line"))
+    """(key, line): raw JSON lines by key, the last of each in the order of files and lines; keys that only the fallback
+    has come from there."""
+    at = F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("start"), F.monotonically_increasing_id().alias("n"))
+    rows = spark.read.text(path).select(F.get_json_object("value", f"$.{key}").alias(key), F.col("value").alias("line"), at.alias("at")).where(f"{key} is not null")
+    raw = rows.groupBy(key).agg(F.max_by("line", "at").alias("line"))
     return raw.unionByName(fallback.select(key, "line").join(raw.select(key), key, "left_anti"))
 
 

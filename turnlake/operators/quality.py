@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import half_even, rank_floor, ratio, script_ok, word_count
+from ..functions.exprs import blank, half_even, rank_floor, ratio, script_ok, word_count
 from ..functions.vocab import BEHAVIOURS, DOMAINS, FLAGS, GENDERS, LANGUAGES, MARKS, PROSODIES, STATES, WORD_LIMITS, WORDS_PER_SECOND
 
 #: Values of fields that are missing or blank.
@@ -41,7 +41,7 @@ def problems(events: str | None = None) -> Column:
         (~F.col("behaviour").isin(BEHAVIOURS), "unknown behaviour"), (~F.col("language").isin(LANGUAGES), "unknown language"),
         (~F.col("domain").isin(DOMAINS), "unknown domain"), (~F.col("agent_state").isin(STATES), "unknown agent state"),
         (~F.col("prosody").isin(PROSODIES), "unknown prosody"), (~F.col("gender").isin(GENDERS), "unknown gender"),
-        (F.trim(F.col("user_text")) == "", "empty user text"), (word_count(F.col("user_text")) > band, "too many words"),
+        (blank(F.col("user_text")), "empty user text"), (word_count(F.col("user_text")) > band, "too many words"),
         (~F.col("event_char").between(0, F.length("user_text")), "event outside text"),
     ]
     if events is not None:
@@ -123,7 +123,7 @@ def gender_of(raw: Column) -> Column:
 
 def usable_clips(manifest: DataFrame, shortest: float = 1.5, longest: float = 20.0) -> DataFrame:
     """Clips of a usable length with a transcript; gender normalised."""
-    kept = manifest.where(F.col("duration_s").between(shortest, longest) & (F.trim(F.coalesce("transcript", F.lit(""))) != ""))
+    kept = manifest.where(F.col("duration_s").between(shortest, longest) & ~blank(F.col("transcript")))
     return kept.withColumn("gender", gender_of(F.col("gender")))
 
 

@@ -60,3 +60,21 @@ def write_shards(rows: DataFrame, path: str, rows_a_file: int = 2000) -> None:
 def read_json_lines(spark, path: str, schema: str, strict: bool = False) -> DataFrame:
     """JSON lines; broken ones are left out, or raise if strict."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
+
+
+def hex_path(name: Column) -> Column:
+    """The first two hex digits of the name's MD5 as a folder."""
+    return F.concat(F.substring(F.md5(name.cast("binary")), 1, 2), F.lit("/"), name)
+
+
+def checkpoints(saved: DataFrame, mode: str = "final", folder: str = "folder", tag: str = "tag", at: str = "at") -> DataFrame:
+    """Which checkpoints of each folder go out: `single` the folder's own (with an empty tag), `all` every tag, `final` the
+    tag of that name or, while there is none, the newest."""
+    if mode == "single":
+        return saved.where(F.col(tag) == "")
+    tags = saved.where(F.col(tag) != "")
+    if mode == "all":
+        return tags
+    if mode != "final":
+        raise ValueError(f"no such mode: {mode}")
+    return latest(tags, [folder], [F.col(tag) == "final", F.col(at), F.col(tag)])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.vocab import FLAGS
+from ..functions.vocab import BEHAVIOURS, FLAGS, LANGUAGES
 from ..operators import audits as A
 from ..sources.adapters import FRAMES, MANIFEST, SCENARIOS, TARGETS, adapted, oracle
 from .registry import query
@@ -86,3 +86,32 @@ def audit_topup_hours(spark, d):
 @query("SELECT doc_id, quality FROM labels ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT 50")
 def audit_judge_sample(spark, d):
     return A.hash_sample(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality"), "doc_id", 50)
+
+
+@query("""WITH c AS (SELECT vec_id, list_avg(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1e0 ELSE 0e0 END)) AS rate FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 400)
+SELECT round(avg(rate), 9) AS rate, count(*) AS clips FROM c""")
+def audit_rate_sample(spark, d):
+    clips = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: (x > 0).cast("int")).alias("track"))
+    return A.speaking_rate_sample(clips, "vec_id", "track").withColumn("rate", F.round("rate", 9))
+
+
+BEHAVED = f"f AS (SELECT clip, frame, flag, split_part('{','.join(BEHAVIOURS)}', ',', CAST(clip % 12 + 1 AS INT)) AS behaviour, split_part('{','.join(LANGUAGES)}', ',', CAST(clip % 5 + 1 AS INT)) AS language, event_id % 97 = 0 AS spoken FROM ({oracle(FRAMES)}))"
+NAMES = ", ".join(f"'{x}'" for x in FLAGS)
+
+
+@query(f"""WITH {BEHAVED}, n AS (SELECT [{NAMES}][flag + 1] AS name, count(*) AS frames, count(DISTINCT clip) AS clips FROM f GROUP BY 1),
+b AS (SELECT behaviour, count(DISTINCT clip) AS clips FROM f GROUP BY 1), l AS (SELECT language, count(DISTINCT clip) AS clips FROM f GROUP BY 1),
+e AS (SELECT name, 100 - coalesce(clips, 0) AS short FROM (SELECT unnest([{NAMES}]) AS name) LEFT JOIN n USING (name) WHERE 100 - coalesce(clips, 0) > 0)
+SELECT (SELECT count(DISTINCT clip) FROM f) AS clips, (SELECT count(*) FROM f) AS frames, (SELECT round(count(*) / 45000e0, 2) FROM f) AS hours,
+  (SELECT count(DISTINCT clip) FROM f WHERE spoken) AS clips_with_spoken_text, (SELECT string_agg(name || '=' || frames, ' ' ORDER BY name) FROM n) AS frame_counts,
+  (SELECT string_agg(name || '=' || clips, ' ' ORDER BY name) FROM n) AS clip_counts, (SELECT string_agg(behaviour || '=' || clips, ' ' ORDER BY behaviour) FROM b) AS by_behaviour,
+  (SELECT string_agg(language || '=' || clips, ' ' ORDER BY language) FROM l) AS by_language, (SELECT string_agg(name || '=' || short, ' ' ORDER BY name) FROM e) AS deficits""")
+def audit_report(spark, d):
+    """The corpus as one JSON text, from one grouping of its frames; here read back into columns."""
+    of = lambda names, by: F.element_at(F.array(*map(F.lit, names)), (F.col("clip") % by + 1).cast("int"))
+    frames = adapted(spark, d, FRAMES).select("clip", "frame", "flag", of(BEHAVIOURS, 12).alias("behaviour"), of(LANGUAGES, 5).alias("language"), (F.col("event_id") % 97 == 0).alias("spoken"))
+    maps = ["frame_counts", "clip_counts", "by_behaviour", "by_language", "deficits"]
+    schema = "clips long, frames long, hours double, clips_with_spoken_text long, " + ", ".join(f"{m} map<string, long>" for m in maps)
+    read = A.corpus_report(frames, least_clips=100).select(F.from_json("report", schema).alias("r")).select("r.*")
+    listed = lambda m: F.nullif(F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " "), F.lit(""))
+    return read.withColumns({m: listed(m) for m in maps})

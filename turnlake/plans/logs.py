@@ -134,3 +134,17 @@ def ops_hourly(spark, d):
 @query("SELECT event_id, CASE WHEN length(props) > 7 THEN substr(props, 1, 6) || '…' ELSE props END AS shown FROM events")
 def ops_error_excerpt(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").select("event_id", clipped(F.col("props"), 7).alias("shown"))
+
+
+@query(f"""WITH {C}, {R}, a AS (SELECT run_id, count(*) AS calls, CAST(sum(valid_n) AS BIGINT) AS valid, sum(cost_usd) AS llm FROM c GROUP BY 1),
+b AS (SELECT run_id, count(*) AS clips, count(*) FILTER (status = 'ok') AS ok, sum(cost) AS tts FROM r GROUP BY 1)
+SELECT run_id, coalesce(calls, 0) AS calls, coalesce(valid, 0) AS valid, coalesce(clips, 0) AS clips, coalesce(ok, 0) AS ok, round(coalesce(llm, 0), 6) AS llm_usd, round(coalesce(tts, 0), 6) AS tts_usd
+FROM a FULL JOIN b USING (run_id)""")
+def ops_run_totals(spark, d):
+    return L.run_totals(_calls(spark, d), _renders(spark, d))
+
+
+@query(f"""WITH {C}, {R}, e AS (SELECT 'llm' AS kind, run_id, round(cost_usd, 9) AS cost_usd FROM c UNION ALL SELECT 'tts', run_id, round(cost, 9) FROM r)
+SELECT kind, run_id, count(*) AS rows, round(sum(cost_usd), 6) AS cost_usd FROM e GROUP BY ROLLUP (kind, run_id)""")
+def ops_cost_totals(spark, d):
+    return L.cost_totals(L.flat_costs(_calls(spark, d), _renders(spark, d)))

@@ -108,7 +108,7 @@ def voices_by_gender(spark, d):
 
 
 @query(f"""WITH {VOICES}, g AS (SELECT {GENDER} AS gender, list(regexp_extract(file, '_(.*)[.]wav', 1) ORDER BY place) AS l FROM v WHERE place < 40 GROUP BY 1), s AS ({S})
-SELECT scenario_id, l[CAST(CAST('0x' || substr(md5(user_text), 18, 15) AS BIGINT) % len(l) AS INT) + 1] AS voice FROM s LEFT JOIN g USING (gender)""")
+SELECT scenario_id, l[CAST((CAST(CAST('0x' || substr(md5(user_text), 1, 16) AS UBIGINT) AS HUGEINT) % len(l) * (18446744073709551616::HUGEINT % len(l)) + CAST(CAST('0x' || substr(md5(user_text), 17, 16) AS UBIGINT) AS HUGEINT) % len(l)) % len(l) AS INT) + 1] AS voice FROM s LEFT JOIN g USING (gender)""")
 def voices_rotation(spark, d):
     """A voice of the scenario's gender by the hash of its text."""
     voices = _voices(spark, d).where("place < 40 AND gender IS NOT NULL")
@@ -207,7 +207,8 @@ def eval_false_barge(spark, d):
     return E.barge(frames, behaviour="behaviour").select(F.round("false_barge_rate", 9).alias("false_barge_rate"))
 
 
-@query()
+@query(f"""WITH f AS (SELECT *, valid AND CAST('0x' || substr(md5(concat_ws('|', 'drop', clip, frame)), 1, 5) AS BIGINT) / 1048576e0 >= 0.05e0 AS kept FROM ({FR}))
+SELECT clip, count(*) AS frames, count(*) FILTER (valid) AS valid, count(*) FILTER (kept) AS kept FROM f GROUP BY clip""")
 def frames_dropped(spark, d):
     """Frames kept of each clip where one in twenty valid ones is dropped."""
     rows = P.dropped_frames(adapted(spark, d, FRAMES), "clip", "frame")
@@ -229,3 +230,29 @@ def sources_shard_numbers(spark, d):
     buckets = P.bucket_names(paths)
     named = paths.withColumn("bucket", F.when(F.size(F.split("path", "/")) == 3, F.split("path", "/")[1]))
     return named.join(F.broadcast(buckets.withColumnRenamed("bucket", "known")), F.col("bucket") == F.col("known"), "left").select("path", F.col("known").alias("bucket"), P.shard_number(F.col("path")).alias("shard"))
+
+
+@query(f"""WITH {VOICES}, w AS (SELECT {GENDER} AS gender, file AS name, regexp_extract(file, '_(.*)[.]wav', 1) AS voice, place FROM v WHERE {GENDER} IS NOT NULL),
+o AS (SELECT gender, name, row_number() OVER (PARTITION BY gender ORDER BY name) AS k FROM w WHERE place % 3 = 0),
+g AS (SELECT gender, voice, row_number() OVER (PARTITION BY gender ORDER BY place, voice) AS k FROM w WHERE (place % 4 = 1 OR place % 8 = 0) AND place % 5 <> 1)
+SELECT o.gender, name, voice FROM o LEFT JOIN g ON g.gender = o.gender AND g.k = o.k""")
+def voices_filled(spark, d):
+    """Places that get no clone of their own take the unused voices of a catalogue, place by place."""
+    every = _voices(spark, d).where("gender IS NOT NULL").withColumn("hash", F.md5(F.col("file").cast("binary")))
+    catalogue = every.where("place % 4 = 1 OR place % 8 = 0").select("gender", "voice", F.col("place"))
+    return P.default_fill(every.where("place % 3 = 0").select("gender", F.col("file").alias("name"), "hash"), catalogue, every.where("place % 5 = 1"))
+
+
+@query("SELECT DISTINCT CAST(user_id AS VARCHAR) || '.json' AS name, 'moved' AS state FROM events")
+def files_moved(spark, d):
+    """A file a user, moved out of folders into one by tasks; moved again, none is."""
+    from ..sources import moves
+    from ..streaming.live import shared_path
+
+    path = shared_path(spark, "moves")
+    spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "value").repartition("user_id").write.partitionBy("user_id").json(f"{path}/in")
+    name = F.concat(F.regexp_extract("path", r"user_id=(\d+)", 1), F.lit(".json"))
+    for k in range(2):
+        moves.moved_flat(spark, f"{path}/in", "*.json", f"{path}/out", name).write.parquet(f"{path}/report{k}")
+    first, again = (spark.read.parquet(f"{path}/report{k}") for k in range(2))
+    return first.unionByName(again).select("name", "state")
