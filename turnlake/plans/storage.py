@@ -118,13 +118,13 @@ def storage_hex_path(spark, d):
     return adapted(spark, d, RENDERS).select("scenario_id", W.hex_path(F.col("scenario_id")).alias("path"))
 
 
-SAVED = "SELECT user_id AS folder, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'final' ELSE 'step' || CAST(event_id AS STRING) END AS tag, event_id AS at FROM {events} WHERE event_id % 5 <> 1 OR user_id % 2 = 0"
+SAVED = "SELECT user_id AS folder, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'final' ELSE 'step' || CAST(event_id AS STRING) END AS tag, event_id AS saved_at FROM {events} WHERE event_id % 5 <> 1 OR user_id % 2 = 0"
 
 
 @query(f"""WITH s AS ({SAVED.replace('{events}', 'events').replace('AS STRING', 'AS VARCHAR')})
-SELECT 'single' AS mode, folder, tag, at FROM s WHERE tag = '' UNION ALL SELECT 'all', folder, tag, at FROM s WHERE tag <> '' UNION ALL
-SELECT 'final', folder, tag, at FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY tag = 'final' DESC, at DESC, tag DESC) AS k FROM s WHERE tag <> '') WHERE k = 1""")
+SELECT 'single' AS mode, folder, tag, saved_at FROM s WHERE tag = '' UNION ALL SELECT 'all', folder, tag, saved_at FROM s WHERE tag <> '' UNION ALL
+SELECT 'final', folder, tag, saved_at FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY tag = 'final' DESC, saved_at DESC, tag DESC) AS k FROM s WHERE tag <> '') WHERE k = 1""")
 def topk_checkpoints(spark, d):
     saved = adapted(spark, d, SAVED)
-    found = [W.checkpoints(saved, m).select(F.lit(m).alias("mode"), "folder", "tag", "at") for m in ("single", "all", "final")]
+    found = [W.checkpoints(saved, m, at="saved_at").select(F.lit(m).alias("mode"), "folder", "tag", "saved_at") for m in ("single", "all", "final")]
     return found[0].unionByName(found[1]).unionByName(found[2])
