@@ -4,11 +4,12 @@ Each source gets a target in words. A document is first given as many certain wh
 target holds its source; one further copy of some documents fills the rest. These are chosen by Pareto
 order sampling: documents are ranked by q = (u / (1 - u)) / (p / (1 - p)), with a random u and an
 inclusion probability p of their own, and the first ones are taken until their words come nearest to
-what is missing. Documents whose p reaches 1 rank first and are certain.
+what is missing. p is min(1, factor * (0.5 + 0.5 size / mean size)), with the source's factor solved so that
+p times size sums up to what is missing; documents whose p reaches 1 are certain and taken first.
 
 A source may hold most of the rows: its ranking isn't sorted as a whole. Words are summed by bucket of
-q, the bucket in which the sum crosses the rest is found on one row a source and bucket, and only this
-bucket is ordered row by row.
+q (the certain ones apart), the bucket in which the sum crosses the rest is found on one row a source and
+bucket, and only this bucket is ordered row by row.
 """
 
 from __future__ import annotations
@@ -52,9 +53,35 @@ def source_targets(sizes: DataFrame, most: float = 3.0) -> DataFrame:
     return filled.withColumn("target", F.least("cap", F.col("level") * F.col("weight"))).select("source", "source_size", "n", "target")
 
 
-def _rank(size: Column, doc_id: Column, share: Column, mean: Column) -> Column:
+def inclusion_factors(rows: DataFrame, goals: DataFrame) -> DataFrame:
+    """(f_source, factor): with rows (source, size) and goals (source, missing, mean), the factor for which the p of a
+    source's rows, times their sizes, sum up to what it misses.
+
+    With sizes from the largest down, those before the first whose p stays within 1 are certain. Sums are of whole
+    numbers, over one row a source and size.
+    """
+    sizes = rows.where("size > 0").groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    words, squares = F.col("size") * F.col("n"), F.col("size").cast("decimal(38,0)") * F.col("size") * F.col("n")
+    larger = Window.partitionBy("source").orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("decimal(38,0)")
+    every = Window.partitionBy("source")
+    summed = sizes.select(
+        "source", "size", F.coalesce(F.sum(words).over(larger), F.lit(0)).alias("certain"), F.sum(words).over(every).alias("all"),
+        F.coalesce(F.sum(squares.cast("decimal(28,0)")).over(larger), none).alias("certain_2"), F.sum(squares.cast("decimal(28,0)")).over(every).alias("all_2"))
+    joined = summed.join(goals.select(F.col("source").alias("f_source"), "missing", "mean"), F.col("source").eqNullSafe(F.col("f_source")))
+    rest = 0.5 * (F.col("all") - F.col("certain")) + 0.5 * (F.col("all_2") - F.col("certain_2")).cast("double") / F.col("mean")
+    tried = joined.withColumn("factor", (F.col("missing") - F.col("certain")) / rest)
+    within = tried.where(F.col("factor") * (0.5 + 0.5 * F.col("size") / F.col("mean")) <= 1.0)
+    return within.groupBy("f_source").agg(F.max_by("factor", "size").alias("factor"))
+
+
+def _certain(size: Column, factor: Column, mean: Column) -> Column:
+    return factor * (0.5 + 0.5 * size / mean) >= 1.0
+
+
+def _rank(size: Column, doc_id: Column, factor: Column, mean: Column) -> Column:
     """q / (1 + q), in [0, 1]: ranks as q does."""
-    odds = F.greatest(share, F.lit(1.0 / (1 << 20)))  # away from 0, where a source misses nothing and no rank is taken
+    odds = F.greatest(factor, F.lit(1.0 / (1 << 20)))  # away from 0, where a source misses nothing and no rank is taken
     p = F.least(F.lit(1.0), odds * (0.5 + 0.5 * size / mean))
     u = uniform(doc_id)
     q = F.when(p >= 1.0, 0.0).otherwise((u / (1.0 - u)) / (p / (1.0 - p)))
@@ -85,27 +112,30 @@ def pareto_mix(
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     # Tables of one row a source: Spark broadcasts them while their files are small, by its own limit.
-    goals = scratch.table(
+    goals = (
         source_targets(per_source, most)
         .withColumn("whole", F.floor(ratio).cast("long"))
         .withColumn("missing", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
-        .withColumn("share", F.when(F.col("source_size") > 0, F.col("missing") / F.col("source_size")).otherwise(0.0))
         .withColumn("mean", F.greatest(F.lit(1.0), F.col("source_size") / F.col("n")))
     )
+    goals = scratch.table(goals)
+    factors = inclusion_factors(rows, goals)
+    goals = scratch.table(goals.join(factors, goals["source"].eqNullSafe(factors["f_source"]), "left").drop("f_source").withColumn("factor", F.coalesce("factor", F.lit(0.0))))
 
-    def bucket_of(rank: Column) -> Column:
-        return F.least(F.floor(rank * buckets), F.lit(buckets - 1)).cast("int")
+    def bucket_of(rank: Column, certain: Column) -> Column:
+        """Certain rows are in no bucket that may be cut."""
+        return F.when(certain, -1).otherwise(F.least(F.floor(rank * buckets), F.lit(buckets - 1))).cast("int")
 
     ranked = (
         rows.join(goals.withColumnRenamed("source", "g_source"), F.col("source").eqNullSafe(F.col("g_source")))
-        .withColumn("rank", _rank(F.col("size"), F.col("id"), F.col("share"), F.col("mean")))
-        .select("id", "source", "size", "missing", "rank", bucket_of(F.col("rank")).alias("bucket"))
+        .withColumn("rank", _rank(F.col("size"), F.col("id"), F.col("factor"), F.col("mean")))
+        .select("id", "source", "size", "missing", "rank", bucket_of(F.col("rank"), _certain(F.col("size"), F.col("factor"), F.col("mean"))).alias("bucket"))
     )
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     crossing = (
         ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
         .withColumn("before", F.sum("words").over(upto) - F.col("words"))
-        .where((F.col("before") < F.col("missing")) & (F.col("before") + F.col("words") >= F.col("missing")))
+        .where((F.col("bucket") >= 0) & (F.col("before") < F.col("missing")) & (F.col("before") + F.col("words") >= F.col("missing")))
         .select(F.col("source").alias("c_source"), F.col("bucket").alias("c_bucket"), "before")
     )
     c = scratch.table(crossing)  # one row a source at most
@@ -120,12 +150,13 @@ def pareto_mix(
     )
     of = fresh([*sized.columns, *added], "cut_of_source")
     cuts = goals.join(last, goals["source"].eqNullSafe(last["l_source"]), "left")
-    cuts = scratch.table(cuts.select(F.struct("source", "source_size", "target", "whole", "mean", "share", "c_bucket", "last").alias(of)))
+    cuts = scratch.table(cuts.select(F.struct("source", "source_size", "target", "whole", "mean", "factor", "c_bucket", "last").alias(of)))
 
     g = F.col(of)
     out = sized.join(cuts, F.col(source_col).eqNullSafe(g["source"]))
-    rank = _rank(F.col("size"), F.col(id_col), g["share"], g["mean"])
-    at, place = bucket_of(rank), F.struct(rank.alias("rank"), F.col(id_col).alias("id"))
-    chosen = F.coalesce((at < g["c_bucket"]) | ((at == g["c_bucket"]) & (place <= g["last"])), F.lit(False))
+    rank = _rank(F.col("size"), F.col(id_col), g["factor"], g["mean"])
+    certain = _certain(F.col("size"), g["factor"], g["mean"])
+    at, place = bucket_of(rank, certain), F.struct(rank.alias("rank"), F.col(id_col).alias("id"))
+    chosen = certain | F.coalesce((at < g["c_bucket"]) | ((at == g["c_bucket"]) & (place <= g["last"])), F.lit(False))
     copies = g["whole"] + chosen.cast("int")
     return out.select(*kept, "size", g["source_size"].alias("source_size"), g["target"].alias("target"), copies.alias("copies"), (copies * F.col("size")).alias("taken"))

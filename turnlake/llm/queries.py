@@ -147,8 +147,17 @@ goals AS (
 goals2 AS (
   SELECT *, greatest(0.0::DOUBLE, target - whole * source_size) AS missing,
          greatest(1.0::DOUBLE, source_size::DOUBLE / n) AS mean FROM goals),
+sizes AS (SELECT source, size, count(*) AS k FROM sized WHERE size > 0 GROUP BY source, size),
+sums AS (
+  SELECT *, coalesce(sum(size * k) OVER larger, 0) AS certain, sum(size * k) OVER (PARTITION BY source) AS whole_1,
+         coalesce(sum(size::HUGEINT * size * k) OVER larger, 0) AS certain_2, sum(size::HUGEINT * size * k) OVER (PARTITION BY source) AS whole_2
+  FROM sizes WINDOW larger AS (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tried AS (
+  SELECT z.source, z.size, (g.missing - certain) / (0.5::DOUBLE * (whole_1 - certain) + 0.5::DOUBLE * CAST(whole_2 - certain_2 AS DOUBLE) / g.mean) AS factor, g.mean
+  FROM sums z JOIN goals2 g ON z.source IS NOT DISTINCT FROM g.source),
+factors AS (SELECT source, arg_max(factor, size) AS factor FROM tried WHERE factor * (0.5::DOUBLE + 0.5::DOUBLE * size / mean) <= 1.0 GROUP BY source),
 odds AS (
-  SELECT *, greatest(CASE WHEN source_size > 0 THEN missing / source_size ELSE 0.0 END, 1.0::DOUBLE / 1048576) AS odds FROM goals2),
+  SELECT g.*, greatest(coalesce(f.factor, 0.0::DOUBLE), 1.0::DOUBLE / 1048576) AS odds FROM goals2 g LEFT JOIN factors f ON g.source IS NOT DISTINCT FROM f.source),
 p AS (
   SELECT s.doc_id, s.size, s.u, o.*, least(1.0::DOUBLE, odds * (0.5::DOUBLE + 0.5::DOUBLE * s.size / mean)) AS p
   FROM sized s JOIN odds o ON s.source IS NOT DISTINCT FROM o.source),

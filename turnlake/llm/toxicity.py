@@ -140,11 +140,16 @@ def _counted(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array(counts.values(), pa.int64())], ["head", "toxic", "n"])
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([fold(t or "") for t in b.column(0).to_pylist()], pa.string()), b.column(1)], ["text", "toxic"])
+
+
 def _head_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for b in batches:
         for text, toxic in zip(*(c.to_pylist() for c in b.columns)):
-            counts.update((h, toxic) for h in heads(fold(text or "")))
+            counts.update((h, toxic) for h in heads(text))
             if len(counts) > 400_000:
                 yield _counted(counts)
                 counts.clear()
@@ -178,10 +183,12 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     hashed id before any text is read: the chosen labels are few enough to broadcast, and what is collected
     of them is bounded by the sample."""
     n = {r.toxic: r.n for r in labels.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.when(F.col("toxic") == 1, min(1.0, sample_rows / max(1, n.get(1, 0)))).otherwise(min(1.0, sample_rows / max(1, n.get(0, 0))))
+    shares = {k: min(1.0, sample_rows / max(1, n.get(k, 0))) for k in (0, 1)}
+    share = F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])
     place = F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20)
     chosen = labels.where(place < share)
-    sample = Scratch(docs.sparkSession, "toxicity").table(docs.select("id", "text").join(F.broadcast(chosen), "id").select("id", "text", "toxic"))
+    found = docs.select("id", "text").join(F.broadcast(chosen), "id").select("text", "toxic")
+    sample = Scratch(docs.sparkSession, "toxicity").table(found.mapInArrow(_folded, "text string, toxic int"))
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
@@ -199,7 +206,9 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     lexicon.weights = {k: round(weights[k], 6) for k in terms if weights.get(k, 0) >= LEAST_ODDS}
     lexicon.exceptions = [p for p in lexicon.exceptions if any(" " + k in f" {p} " for k in lexicon.weights)]
     scored = sample.select("text", "toxic").mapInArrow(_densities(lexicon), "x double, toxic int").collect()
-    lexicon.slope, lexicon.bias = fit_logistic(np.array([r.x for r in scored]), np.array([r.toxic for r in scored], float))
+    # A row stands for as many as it was chosen from, so that the odds are those of all labels at any size.
+    weights = np.array([1.0 / shares[r.toxic] for r in scored])
+    lexicon.slope, lexicon.bias = fit_logistic(np.array([r.x for r in scored]), np.array([r.toxic for r in scored], float), weights)
     return lexicon
 
 
@@ -209,7 +218,7 @@ def _term_counts(lexicon: Lexicon):
         automaton, counts = lexicon.automaton(), Counter()
         for b in batches:
             for text, toxic in zip(*(c.to_pylist() for c in b.columns)):
-                counts.update({(term, toxic) for term, _ in terms_in(fold(text or ""), automaton)})
+                counts.update({(term, toxic) for term, _ in terms_in(text, automaton)})
         yield _counted(counts)
 
     return run
@@ -222,7 +231,7 @@ def _phrases(lexicon: Lexicon):
         for b in batches:
             counts: Counter = Counter()
             for text, toxic in zip(*(c.to_pylist() for c in b.columns)):
-                folded, out = fold(text or "") + " ", set()
+                folded, out = text + " ", set()
                 for end, (term, _) in automaton.iter(folded) if len(automaton) else ():
                     start = end - len(term)
                     stop = folded.find(" ", start + 1)
@@ -245,20 +254,21 @@ def _densities(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for b in batches:
-            folded = [fold(t or "") for t in b.column(0).to_pylist()]
+            folded = b.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays([pa.array([density(matches(f, automaton)[0], f.count(" ")) for f in folded], pa.float64()), b.column(1)], ["x", "toxic"])
 
     return run
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 0.02) -> tuple[float, float]:
-    """Newton's method with a small ridge; classes weigh as they occur."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, rounds: int = 60, ridge: float = 0.02) -> tuple[float, float]:
+    """Newton's method with a small ridge; a row of weight w counts as w rows."""
     a = np.column_stack([x, np.ones_like(x)])
+    many = np.ones_like(x) if weights is None else weights
     w = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2)
-        w -= np.clip(np.linalg.solve(h, a.T @ (p - y) + ridge * w), -2, 2)
+        h = (a * (many * p * (1 - p))[:, None]).T @ a + ridge * np.eye(2)
+        w -= np.clip(np.linalg.solve(h, a.T @ (many * (p - y)) + ridge * w), -2, 2)
     return float(w[0]), float(w[1])
 
 
