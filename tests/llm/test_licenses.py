@@ -109,3 +109,95 @@ def test_long_texts_of_license_words(spark):
     began = time.perf_counter()
     found = S.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert not found and time.perf_counter() - began < 60
+
+
+def test_notices_with_changed_words(spark):
+    """In the texts of documents, a word of each notice that is no name is changed, dropped, or followed by another."""
+    rng = random.Random(11)
+    notices = {k: t for k, t in S.TEMPLATES.items() if 4 <= len(t.split()) < 20}
+    rows, want, n = [], {}, 0
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if any(t in (r.text or "") for t in notices.values())]
+    for text in [r.text for r in docs] + [f"so {t} then" for t in notices.values() for _ in range(6)]:
+        name = max((k for k, t in notices.items() if t in text), key=lambda k: len(notices[k]))
+        words = notices[name].split()
+        own = [[w for w in S.template_words(x)] for x in words]
+        names = S.names_in(notices[name])
+        free = [i for i in range(len(words)) if not set(own[i]) & names and len(own[i]) == 1]
+        i, how = rng.choice(free), rng.choice(["changed", "dropped", "added"])
+        beside = i + 1 < len(words) and set(own[i + 1]) & names
+        if how == "added" and beside:
+            how = "changed"
+        words[i:i + 1] = {"changed": ["zzword"], "dropped": [], "added": [words[i], "zzword"]}[how]
+        rows.append((n, text.replace(notices[name], " ".join(words))))
+        want[n] = name
+        n += 1
+    found = {}
+    for r in S.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        if r.license_id in notices:
+            found.setdefault(r.doc_id, set()).add(r.license_id)
+    hit = sum(want[k] in found.get(k, ()) for k in want)
+    assert hit >= 0.9 * len(want), (hit, len(want))
+    wrong = {k: found[k] for k in found if not found[k] <= {x for x, t in notices.items() if t in rows[k][1]} | {want[k]}}
+    assert not wrong
+
+
+def test_other_names_are_other_licenses(spark):
+    texts = [
+        "Released under the XYZ License.", "Licensed under CC BY-XX 4.0.", "Licensed under CC BY 3.0.", "This work is licensed under the GNU General Public License, version 4.",
+        "Licensed under the Apache License, Version 1.1.", "Released under the modified BSD License.", "Licensed to the MIT and the License of all",
+    ]
+    assert not S.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+
+
+def brute_places(words, template, names, least, spread):
+    """Every start, by the alignment alone."""
+    out, k, m = [], 0, len(template)
+    span, held = S.span_of(m, spread), Counter(template)
+    starts = [i for i in range(len(words)) if words[i] in held and sum((Counter(words[i:i + span]) & held).values()) >= least * m]
+    while k < len(words):
+        best = None
+        if k in starts:
+            for first in [i for i in starts if k <= i < k + span]:
+                if best and best[0] == m:
+                    break
+                pairs = S.patience(template, words[first:first + span])
+                if len(pairs) >= least * m and (best is None or len(pairs) > best[0]) and S.well_named(pairs, template, names):
+                    best = (len(pairs), first + pairs[0][1], first + pairs[-1][1])
+        if best:
+            out.append((best[0] / m, best[1], best[2]))
+            k = best[2] + 1
+        else:
+            k += 1
+    return out
+
+
+def test_scan_against_every_start(spark):
+    """The operator's rows against aligning each template at each start, with words changed, dropped and added."""
+    rng = random.Random(2)
+    rows = []
+    for n in range(60):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            words += [f"w{rng.randrange(50)}" for _ in range(rng.randrange(0, 12))]
+            for w in rng.choice(list(S.TEMPLATES.values())).split()[:60]:
+                x = rng.random()
+                words += [] if x < 0.03 else ["odd"] if x < 0.06 else [w, "more"] if x < 0.09 else [w]
+        rows.append((n, " ".join(words)))
+    found = {(r.doc_id, r.license_id): (round(r.coverage, 9), r.n_places, r.first_word, r.last_word) for r in S.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    want = {}
+    for n, text in rows:
+        words, places = S.template_words(text), []
+        for name, t in S.TEMPLATES.items():
+            template = S.template_words(t)
+            for c, first, last in brute_places(words, template, S.names_in(t), S.COVERAGE, S.SPREAD):
+                places.append((round(c * len(template)), name, c, first, last))
+        kept = {}
+        for _, name, c, first, last in S.apart(places):
+            kept.setdefault(name, []).append((-c, first, last))
+        want |= {(n, name): (round(-min(x)[0], 9), len(x), *min(x)[1:]) for name, x in kept.items()}
+    assert want and found == want
+
+
+def test_rows_without_licenses_go_by_their_own_text(spark):
+    docs = spark.createDataFrame([(1, "Released under the MIT License."), (1, "clean"), (None, "Released under the MIT License."), (None, None)], "doc_id long, text string")
+    assert sorted(map(tuple, S.without_licenses(docs, ["mit-notice"]).collect()), key=repr) == [(1, "clean"), (None, None)]

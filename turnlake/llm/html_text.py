@@ -70,7 +70,10 @@ NO_WRAPPERS = frozenset("nav footer aside head dialog menu".split())
 
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 QUOTE_OR_END = re.compile("[>\"']")
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute after another, each with its whole value.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+READ = frozenset("class id role hidden aria-hidden".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -110,27 +113,34 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def named_words(value: str) -> set[str]:
-    """Words of a class or id, without what an element is said to have or to lack."""
+def named_words(value: str, most: int = 99) -> set[str]:
+    """Words of a class or id, without what an element is said to have or to lack, and without those of names of more than
+    `most` words, which say what a text is about."""
     out: set[str] = set()
     for name in value.split():
         words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if len(words) > most:
+            continue
         out.update(w for before, w in zip(["", *words], words) if before not in ABOUT)
     return out
 
 
 def described(tag: str, attributes: str, inside: bool) -> tuple[str, float, bool]:
-    """(key, prior, whether it holds reader comments) by what markup says; inside: within an article or main."""
+    """(key, prior, whether it holds reader comments) by what markup says; inside: within an article or main, where an id
+    counts if it is one word, a class if it is two at most, and the id of a heading, which is a link's target, not at all."""
     prior = NAMED if tag in BOILER_TAGS or tag == "header" and not inside else DOUBTED if tag == "noscript" else PLAIN
     if not attributes or attributes.isspace():
         return tag, prior, False
     key, comments = tag, False
     for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'").lower()
+        name = name.lower()
+        if name not in READ:
+            continue
+        value = value.strip("\"'").lower()
         if name == "class" or name == "id":
             value = re.sub(r"\d+", "0", value)
             key += f".{value}" if name == "class" else f"#{value}"
-            words = named_words(value)
+            words = named_words(value, 99 if not inside else 2 if name == "class" else 0 if tag in HEADINGS else 1)
             if tag not in ("html", "body", "article", "main"):
                 comments = comments or bool(words & COMMENT_WORDS)
                 if words & BOILER_WORDS or not inside and words & OUTSIDE_WORDS:

@@ -6,14 +6,16 @@ and a gap without anchors by its longest common subsequence. A license is found
 cover enough of it. A place of a license spans at most `spread` times its words, which is what makes it
 one: further apart, common words stand in any order somewhere. Only spans that hold as many of a license's
 words as the coverage takes, each as often as the license does at most, are aligned; no other span could
-reach it. Notices of fewer than SHORT words count only where they stand word by word: one word more or less
-makes another license of them. Where places of several licenses overlap, the one with most aligned words
-stays: a notice of version 3 isn't one of version 2 as well.
+reach it. The names and numbers in a license tell it from others: each of its NAMES must be aligned, and no
+word may be put in beside one, as in "the new MIT License"; any other word may be changed, left out or
+added as far as the coverage allows. Where places of several licenses overlap, the one with most aligned
+words stays: a notice of version 3 isn't one of version 2 as well.
 """
 
 from __future__ import annotations
 
 import bisect
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,13 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
 from .decontaminate import common_subsequence
 from .vectors import LETTERS, groups_of, hashed_words
 
 COVERAGE, SPREAD = 0.8, 1.5
-#: Templates of fewer words count only where all their words stand side by side.
-SHORT = 16
+#: Words that name a license or say which of its kind it is; numbers do so too.
+NAMES = set("""mit apache bsd isc zlib gnu general lesser affero mozilla mpl creative commons attribution noncommercial sharealike
+noderivatives cc by nc sa nd""".split())
 
 # Notices and license texts, as published.
 TEMPLATES = {
@@ -109,6 +111,19 @@ def template_words(text: str) -> list[int]:
     return hashed_words([text.lower().encode()], LETTERS)[0].tolist()
 
 
+def names_in(text: str) -> frozenset[int]:
+    """The names and numbers of a template, as template_words has its words."""
+    words = re.findall(r"[^\W_]+", text.lower())
+    return frozenset(w for x in words if x in NAMES or x.isdigit() for w in template_words(x))
+
+
+def well_named(pairs: list[tuple[int, int]], template: list[int], names: frozenset[int]) -> bool:
+    """Whether all names are aligned and no word is put in beside one."""
+    if names - {template[i] for i, _ in pairs}:
+        return False
+    return not any(q[0] == p[0] + 1 and q[1] > p[1] + 1 and (template[p[0]] in names or template[q[0]] in names) for p, q in zip(pairs, pairs[1:]))
+
+
 def increasing(places: list[int]) -> list[int]:
     """Indices of a longest increasing subsequence, by patience sorting."""
     tops: list[int] = []
@@ -198,7 +213,9 @@ def most_aligned(own: np.ndarray, kind: np.ndarray, begin: np.ndarray, counts: n
     return np.cumsum(change[:-1])
 
 
-def places_of(starts: list[int], most: list[int], words: np.ndarray, template: list[int], least: float, spread: float = SPREAD) -> list[tuple[float, int, int]]:
+def places_of(
+    starts: list[int], most: list[int], words: np.ndarray, template: list[int], least: float, spread: float = SPREAD, names: frozenset[int] = frozenset(),
+) -> list[tuple[float, int, int]]:
     """(coverage, first word, last word) of each place of a template.
 
     starts: ascending places where enough of the template's words follow within its span; most: how many
@@ -206,11 +223,6 @@ def places_of(starts: list[int], most: list[int], words: np.ndarray, template: l
     """
     m, span = len(template), span_of(len(template), spread)
     out: list[tuple[float, int, int]] = []
-    if m < SHORT:
-        for k in starts:
-            if (not out or k > out[-1][2]) and words[k:k + m].tolist() == template:
-                out.append((1.0, k, k + m - 1))
-        return out
     whole = np.array(template, np.uint64)
     k = 0
     while k < len(starts):
@@ -222,7 +234,7 @@ def places_of(starts: list[int], most: list[int], words: np.ndarray, template: l
             # no alignment is longer than the longest common subsequence, which is soon known
             if (best is None or most[k] > best[0]) and common_subsequence(whole, part) >= max(least * m, best[0] + 1 if best else 0):
                 pairs = patience(template, part.tolist())
-                if len(pairs) >= least * m and (best is None or len(pairs) > best[0]):
+                if len(pairs) >= least * m and (best is None or len(pairs) > best[0]) and well_named(pairs, template, names):
                     best = (len(pairs), first + pairs[0][1], first + pairs[-1][1])
             k += 1
         if best:
@@ -245,7 +257,7 @@ def apart(found: list[tuple[int, str, float, int, int]]) -> list[tuple[int, str,
     return out
 
 
-def _scan(templates: dict[str, list[int]], least: float, spread: float):
+def _scan(templates: dict[str, list[int]], names: dict[str, frozenset[int]], least: float, spread: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = np.unique(np.array([w for t in templates.values() for w in t] or [0], np.uint64))
         counts = {name: np.bincount(np.searchsorted(known, np.array(t, np.uint64)), minlength=len(known)) for name, t in templates.items() if t}
@@ -269,7 +281,7 @@ def _scan(templates: dict[str, list[int]], least: float, spread: float):
                     own, text, most = own[enough], text[enough], most[enough]
                     for t in np.unique(text).tolist():
                         a, b = np.searchsorted(text, [t, t + 1])
-                        found = places_of((own[a:b] - offsets[t]).tolist(), most[a:b].tolist(), words[offsets[t]:offsets[t + 1]], templates[name], least, spread)
+                        found = places_of((own[a:b] - offsets[t]).tolist(), most[a:b].tolist(), words[offsets[t]:offsets[t + 1]], templates[name], least, spread, names[name])
                         places.setdefault(t, []).extend((round(c * size), name, c, first, last) for c, first, last in found)
                 for t in sorted(places):
                     kept: dict[str, list] = {}
@@ -296,13 +308,23 @@ def scan_licenses(
     name; repeated rows are found each; an empty table gives an empty one;
     other columns are ignored.
     """
-    known = {name: template_words(text) for name, text in (TEMPLATES if templates is None else templates).items()}
+    texts = TEMPLATES if templates is None else templates
+    known, names = ({name: f(text) for name, text in texts.items()} for f in (template_words, names_in))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scan(known, least, spread), "doc_id long, license_id string, coverage double, n_places long, first_word long, last_word long")
+    return rows.mapInArrow(_scan(known, names, least, spread), "doc_id long, license_id string, coverage double, n_places long, first_word long, last_word long")
 
 
 def without_licenses(docs: DataFrame, licenses: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs under none of the named licenses, with all their columns."""
-    gone = fresh(docs.columns, "licensed_id")
-    found = scan_licenses(docs, {k: TEMPLATES[k] for k in licenses}, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(cut(found), F.col(id_col).cast("long") == F.col(gone), "left_anti")
+    """The rows of docs under none of the named licenses, with all their columns. Each row is judged by its own text: ids,
+    null or repeated, don't matter."""
+    templates = {k: TEMPLATES[k] for k in licenses}
+    known, names = ({name: f(text) for name, text in templates.items()} for f in (template_words, names_in))
+    at, scan = docs.columns.index(text_col), _scan(known, names, COVERAGE, SPREAD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbered = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(at)], ["id", "text"])
+            licensed = {i for found in scan(iter([numbered])) for i in found.column("doc_id").to_pylist()}
+            yield batch.filter(pa.array([i not in licensed for i in range(batch.num_rows)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
