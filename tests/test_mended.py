@@ -81,6 +81,15 @@ def test_percentiles_by_refinement(spark, bins):
         assert found == [None] * len(marks) if not len(values) else np.allclose(found, [interpolated(sorted(values), p) for p in marks], rtol=1e-12)
 
 
+def test_percentiles_between_equal_values(spark):
+    """A mark between equal values is that value to the last bit: scores are held against it."""
+    values = [52.07] * 700 + [92.02] * 301
+    marks = [0.01 + 0.98 * k / 40 for k in range(41)]
+    found = evaluation.percentiles(spark.createDataFrame([(v,) for v in values], "x double"), "x", marks)
+    assert set(found) == {52.07, 92.02}
+    assert found == spark.createDataFrame([(v,) for v in values], "x double").agg(F.percentile("x", F.array(*map(F.lit, marks)))).first()[0]
+
+
 def interpolated(values, p):
     x = p * (len(values) - 1)
     low, high = int(np.floor(x)), int(np.ceil(x))

@@ -94,7 +94,7 @@ def percentiles(rows: DataFrame, column: str, marks: list[float], bins: int = 10
                 before += size
     at = {k: r[0] for k, r in within.items()}
     place = [(p * (n - 1), math.floor(p * (n - 1)), math.ceil(p * (n - 1))) for p in marks]
-    return [at[f] if f == c else (c - x) * at[f] + (x - f) * at[c] for x, f, c in place]
+    return [at[f] if at[f] == at[c] else (c - x) * at[f] + (x - f) * at[c] for x, f, c in place]  # equal neighbours stay what they are
 
 
 def threshold_sweep(scores: DataFrame, score: str = "logit", truth: str = "truth", places: int = 41) -> DataFrame:
