@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import ratio
-from ..functions.vocab import FLAGS
+from ..functions.exprs import ratio, word_count
+from ..functions.vocab import FLAGS, WORDS_PER_SECOND
 
 #: Behaviours that produce a flag, the main one first (fixed values); weights go 2 : 1 : 1.
 PRODUCERS = {
@@ -83,6 +83,17 @@ def topup_hours(short: DataFrame, seconds_a_clip: float = 22.0, least: float = 0
     return short.agg(F.round(F.greatest(F.lit(least), F.coalesce(F.max("short"), F.lit(0)) * seconds_a_clip / 3600), 6).alias("hours"))
 
 
+def rendered_hours(scenarios: DataFrame, sidecars: DataFrame, key: str = "scenario_id") -> DataFrame:
+    """(band, n, rendered, real_s, projected_s), and all bands under total: seconds of the clips that have a sidecar with a
+    duration above 0, and those with the others' seconds guessed by their words, one at least. A clip without a band is short."""
+    seconds = sidecars.where("duration_s > 0").groupBy(key).agg(F.max("duration_s").alias("real"))
+    rows = scenarios.select(key, F.coalesce(F.nullif("length_band", F.lit("")), F.lit("short")).alias("band"), word_count(F.col("user_text")).alias("words")).join(seconds, key, "left")
+    guessed = F.greatest(F.lit(1), F.col("words")) / F.lit(WORDS_PER_SECOND)
+    return rows.rollup("band").agg(
+        F.count(F.lit(1)).alias("n"), F.count("real").alias("rendered"), F.round(F.coalesce(F.sum("real"), F.lit(0.0)), 4).alias("real_s"),
+        F.round(F.sum(F.coalesce("real", guessed)), 4).alias("projected_s")).withColumn("band", F.coalesce("band", F.lit("total")))
+
+
 def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """n rows in the order of their key's MD5: a sample that is the same at each run."""
     return rows.orderBy(F.md5(F.col(key).cast("string").cast("binary")), key).limit(n)

@@ -32,19 +32,19 @@ def per_flag(counts: DataFrame) -> DataFrame:
 def tolerant(frames: DataFrame, tolerance: int = 3, clip: str = "clip", frame: str = "frame", truth: str = "flag", pred: str = "pred", mask: str = "valid") -> DataFrame:
     """(flag, precision, recall, f1): a prediction counts if the flag is true within the tolerance, and the other way round.
 
-    Widened marks count in valid frames only; recall and precision have hits of their own.
+    Widened marks count in valid frames only; recall and precision have hits of their own. The flags near a frame are bits
+    of one number, and frames are counted by what they hold before flags are told apart.
     """
     near = Window.partitionBy(clip).orderBy(frame).rowsBetween(-tolerance, tolerance)
-    marks = []
-    for k in range(len(FLAGS)):
-        t, p = (F.col(truth) == k) & F.col(mask), (F.col(pred) == k) & F.col(mask)
-        marks.append(F.struct(
-            F.lit(k).alias("flag"), t.cast("int").alias("t"), p.cast("int").alias("p"),
-            F.max(t.cast("int")).over(near).alias("wide_t"), F.max(p.cast("int")).over(near).alias("wide_p")))
-    m = F.col("m")
-    rows = frames.select(F.col(mask).alias("ok"), F.array(*marks).alias("ms")).where("ok").select(F.explode("ms").alias("m"))
-    sums = rows.groupBy(m["flag"].alias("flag")).agg(
-        F.sum(m["t"]).alias("t"), F.sum(m["p"]).alias("p"), F.sum(m["t"] * m["wide_p"]).alias("found"), F.sum(m["p"] * m["wide_t"]).alias("right"))
+    bit = lambda c: F.when(F.col(c).between(0, len(FLAGS) - 1), F.call_function("shiftleft", F.lit(1), F.col(c).cast("int")))
+    wide = lambda c: F.coalesce(F.bit_or(F.when(F.col(mask), bit(c))).over(near), F.lit(0))
+    met = lambda around, c: F.coalesce(around.bitwiseAND(bit(c)) != 0, F.lit(False))
+    marked = frames.select(F.col(truth).alias("truth"), F.col(pred).alias("pred"), F.col(mask).alias("ok"), wide(truth).alias("wide_t"), wide(pred).alias("wide_p")).where("ok")
+    cells = marked.groupBy("truth", "pred", met(F.col("wide_p"), "truth").alias("found"), met(F.col("wide_t"), "pred").alias("right")).agg(F.count(F.lit(1)).alias("n"))
+    k, n = F.col("flag"), F.col("n")
+    total = lambda hit: F.sum(F.when(hit, n).otherwise(0))
+    sums = cells.withColumn("flag", F.explode(F.sequence(F.lit(0), F.lit(len(FLAGS) - 1)))).groupBy("flag").agg(
+        total(k == F.col("truth")).alias("t"), total(k == F.col("pred")).alias("p"), total((k == F.col("truth")) & F.col("found")).alias("found"), total((k == F.col("pred")) & F.col("right")).alias("right"))
     p, r = ratio(F.col("right"), F.col("p")), ratio(F.col("found"), F.col("t"))
     return sums.select("flag", p.alias("precision"), r.alias("recall"), ratio(2 * p * r, p + r).alias("f1"))
 

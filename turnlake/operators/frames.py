@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import half_even, word_count
+from ..functions.exprs import blank, half_even, word_count
 from ..functions.vocab import FLAGS, FRAMES_PER_SECOND, PAINT_ORDER, PRIMARY, STATES, SUSTAINED, WIDTHS, id_of
 from . import vad
 
@@ -180,21 +180,15 @@ def word_spans(texts: DataFrame, key: str, text: str, seconds_a_word: float = 0.
 def words_of_characters(characters: Column) -> Column:
     """(text, start_s, end_s, start_char, end_char) of the words in an array column of (c, start_s, end_s), one a
     character: runs without white space; end_char is inclusive."""
-    text = F.array_join(F.transform(characters, lambda x: x["c"]), "")
-    gaps, words = (F.regexp_extract_all(text, F.lit(r"(?U)(\s*)(\S+)"), F.lit(k)) for k in (1, 2))
-    pieces = F.zip_with(gaps, words, lambda g, w: F.struct(F.length(g).alias("gap"), w.alias("text")))
-    none = F.array().cast("array<struct<text:string,at:int>>")
+    def edges(step: int) -> Column:
+        """Places of characters beside which, on that side, no other of the word stands."""
+        return F.array_compact(F.transform(characters, lambda x, i: F.when(~blank(x["c"]) & blank(F.get(characters, i + step)["c"]), i)))
 
-    def placed(seen: Column, p: Column) -> Column:
-        last = F.try_element_at(seen, F.lit(-1))
-        at = F.coalesce(last["at"] + F.length(last["text"]), F.lit(0)) + p["gap"]
-        return F.concat(seen, F.array(F.struct(p["text"].alias("text"), at.alias("at"))))
+    def word(first: Column, last: Column) -> Column:
+        text = F.array_join(F.transform(F.slice(characters, first + 1, last - first + 1), lambda x: x["c"]), "")
+        return F.struct(text.alias("text"), F.get(characters, first)["start_s"].alias("start_s"), F.get(characters, last)["end_s"].alias("end_s"), first.alias("start_char"), last.alias("end_char"))
 
-    def word(w: Column) -> Column:
-        end = w["at"] + F.length(w["text"]) - 1
-        return F.struct(w["text"].alias("text"), F.get(characters, w["at"])["start_s"].alias("start_s"), F.get(characters, end)["end_s"].alias("end_s"), w["at"].alias("start_char"), end.alias("end_char"))
-
-    return F.transform(F.aggregate(pieces, none, placed), word)
+    return F.zip_with(edges(-1), edges(1), word)
 
 
 def character_timeline(chunks: Column) -> Column:

@@ -94,6 +94,11 @@ def corpus_report(checked: DataFrame) -> DataFrame:
     return rates.join(F.broadcast(marks))  # one row each
 
 
+def median_seconds(report: DataFrame) -> DataFrame:
+    """Adds median_s: about how long the median text of a corpus_report() takes to be said."""
+    return report.withColumn("median_s", F.round(F.col("words_median") / F.lit(WORDS_PER_SECOND), 1))
+
+
 def balance(checked: DataFrame, wanted: dict[str, float], tolerance: float = 0.02, gap: float = 0.04) -> DataFrame:
     """One row: whether each language's share is near the wanted one, and female and male counts are near."""
     n = F.count(F.lit(1))

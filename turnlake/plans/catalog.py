@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import allocation, audits, delivery, evaluation, frame_grids, logs, publishing, quality, storage, streams  # noqa: F401
+from . import allocation, audits, delivery, evaluation, files, frame_grids, logs, publishing, quality, storage, streams  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
