@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import blank, half_even, word_count
+from ..functions.exprs import half_even, word_count
 from ..functions.vocab import FLAGS, FRAMES_PER_SECOND, PAINT_ORDER, PRIMARY, STATES, SUSTAINED, WIDTHS, id_of
 from . import vad
 
@@ -177,12 +177,16 @@ def word_spans(texts: DataFrame, key: str, text: str, seconds_a_word: float = 0.
     return placed.groupBy(key).agg(F.array_sort(F.collect_list("w")).alias("words"))
 
 
+#: Characters that no word holds: nothing, and white space of any kind.
+NO_WORDS = ["", *[chr(c) for c in range(0x3001) if chr(c).isspace()]]
+
+
 def words_of_characters(characters: Column) -> Column:
     """(text, start_s, end_s, start_char, end_char) of the words in an array column of (c, start_s, end_s), one a
     character: runs without white space; end_char is inclusive."""
     def edges(step: int) -> Column:
         """Places of characters beside which, on that side, no other of the word stands."""
-        return F.array_compact(F.transform(characters, lambda x, i: F.when(~blank(x["c"]) & blank(F.get(characters, i + step)["c"]), i)))
+        return F.array_compact(F.transform(characters, lambda x, i: F.when(x["c"].isin(*NO_WORDS), None).when(F.coalesce(F.get(characters, i + step)["c"].isin(*NO_WORDS), F.lit(True)), i)))
 
     def word(first: Column, last: Column) -> Column:
         text = F.array_join(F.transform(F.slice(characters, first + 1, last - first + 1), lambda x: x["c"]), "")
