@@ -103,5 +103,8 @@ def test_leaks_go_by_their_own_text(spark):
 def test_blocks_of_items_find_the_same(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     items = spark.read.parquet(f"{FOLDER}/benchmark.parquet")
-    pairs = lambda n: {(r.doc_id, r.item_id) for r in D.find_leaks(docs, items, block_items=n).collect()}
-    assert pairs(20_000) == pairs(10) and pairs(10)
+    pairs = lambda **of: {(r.doc_id, r.item_id, r.coverage): r.cosine for r in D.find_leaks(docs, items, **of).collect()}
+    whole, blocks = pairs(), pairs(block_items=7)
+    assert whole.keys() == blocks.keys() and whole and all(abs(whole[k] - blocks[k]) < 1e-4 for k in whole)
+    few = pairs(fit_items=10)
+    assert len(few.keys() & whole.keys()) >= 0.9 * len(whole) and {k[:2] for k in few} <= {k[:2] for k in whole}
