@@ -11,12 +11,13 @@ from turnlake.functions.vocab import FLAGS
 from turnlake.operators import evaluation as E
 from turnlake.operators import frames as G
 from turnlake.operators import quality as Q
+from turnlake.plans.allocation import default_plan
 from turnlake.plans.catalog import queries
 from turnlake.sources import codec
 
 
 def test_default_plan(spark):
-    plan = queries()["plan_build"](spark, "").cache()
+    plan = default_plan(spark).cache()
     total = plan.agg(F.count(F.lit(1)), F.sum("count"), F.sum(F.when(F.col("force_silence"), F.col("count")))).first()
     assert tuple(total) == (390, 9009, 381)
     by = {r.behaviour: r.n for r in plan.groupBy("behaviour").agg(F.sum("count").alias("n")).collect()}

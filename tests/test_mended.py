@@ -156,3 +156,22 @@ def test_checkpoint_modes(spark):
     assert of("final") == [("p1", "final"), ("p2", "step2")] and of("single") == [("p1", "")] and len(of("all")) == 4
     with pytest.raises(ValueError):
         of("other")
+
+
+def test_plans_read_the_tables(spark):
+    """No planning query runs on fixed input alone, and the learning rate of every step is the plain formula's."""
+    import math
+
+    from turnlake.plans.catalog import queries
+
+    folder = "/root/testdata/sf0.001"
+    for name in ("plan_total", "plan_build", "plan_summary", "plan_partition_md5", "plan_index_spans", "plan_range_overlap", "plan_prompts", "plan_warmup_cosine"):
+        assert queries()[name](spark, folder).inputFiles(), name
+    rows = queries()["plan_warmup_cosine"](spark, folder).collect()
+    totals = {}
+    for r in rows:
+        totals[r.run_id] = max(totals.get(r.run_id, 0), r.step + 1)
+    for r in rows:
+        total, warm = totals[r.run_id], totals[r.run_id] // 10
+        plain = r.step / max(1, warm) if r.step < warm else 0.5 * (1 + math.cos(math.pi * min(1, (r.step - warm) / max(1, total - warm))))
+        assert abs(r.rate - plain) < 1e-6

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.exprs import half_even, md5_mod, ratio
 
 
-def build_plan(dims: DataFrame, total: int, silent_share: float = 0.35) -> DataFrame:
+def build_plan(dims: DataFrame, total: int | Column, silent_share: float = 0.35) -> DataFrame:
     """Splits total over cells (behaviour, language, domain) with the shares k_share of the behaviour's kind,
     b_share of the behaviour within it, l_share and d_share.
 
     Each level rounds half to even, the remainder of a cell goes to male, and of back-channels with two
     or more a share is silent. Cells without scenarios are left out.
     """
-    n = half_even(F.lit(float(total)) * F.col("k_share"))
+    n = half_even(F.lit(total).cast("double") * F.col("k_share"))
     for share in ("b_share", "l_share", "d_share"):
         n = half_even(n * F.col(share))
     cells = dims.withColumn("n", n)
@@ -91,10 +91,11 @@ def spans_in_range(spans: DataFrame, low: int, high: int) -> DataFrame:
     return cut.where("hi > lo")
 
 
-def warmup_cosine(step: Column, warmup: int, total: int) -> Column:
+def warmup_cosine(step: Column, warmup: int | Column, total: int | Column) -> Column:
     """Linear up to warmup, then half a cosine down to 0 at total."""
-    progress = F.least(F.lit(1.0), (step - warmup) / float(max(1, total - warmup)))
-    return F.when(step < warmup, step / float(max(1, warmup))).otherwise(0.5 * (1 + F.cos(F.lit(3.141592653589793) * progress)))
+    warmup, total = F.lit(warmup), F.lit(total)
+    progress = F.least(F.lit(1.0), (step - warmup) / F.greatest(F.lit(1), total - warmup).cast("double"))
+    return F.when(step < warmup, step / F.greatest(F.lit(1), warmup).cast("double")).otherwise(0.5 * (1 + F.cos(F.lit(3.141592653589793) * progress)))
 
 
 def random_split(df: DataFrame, key: str, seed: str, train: float, validation: float) -> DataFrame:
