@@ -317,6 +317,23 @@ def test_encoder_equals_library():
             assert ids[offsets[k]:offsets[k + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids + [1]
 
 
+def test_encoder_equals_library_on_documents_and_all_of_unicode():
+    """Every whole text of the documents, and strings of any characters, ordinary ones between them."""
+    import pyarrow.parquet as pq
+
+    encoder = T.WordEncoder(TOKENIZER)
+    rng = random.Random(1)
+    anything = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    strings = ["".join(rng.choice(anything) if rng.random() < 0.3 else rng.choice("ab Z'9.\n") for _ in range(rng.randrange(120))) for _ in range(3000)]
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()] + strings
+    for i in range(0, len(texts), 100):
+        part = texts[i:i + 100]
+        offsets, ids = encoder.encode(part, 1)
+        whole = encoder.tokenizer.encode_batch(part, add_special_tokens=False)
+        for k in range(len(part)):
+            assert ids[offsets[k]:offsets[k + 1]].tolist() == whole[k].ids + [1], repr(part[k][:200])
+
+
 def test_token_files(spark, tmp_path):
     docs = spark.createDataFrame(edges("b c", None, "", "héllo wörld " * 3000, "x") + [(2, "again", "x", "y", 0, "z"), (None, "none", "x", "y", 0, "z")], EDGES).repartition(3)
     path = str(tmp_path / "tokens")

@@ -24,6 +24,8 @@ from .common import new_path
 
 #: Pieces whose ids a Python worker keeps; when full, it starts anew.
 CACHED_WORDS = 300_000
+#: Files whose totals, two numbers a file, are broadcast; with more, Spark chooses the join.
+BROADCAST_FILES = 200_000
 FILE_OPTIONS = {
     "compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true",
     "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000",
@@ -249,14 +251,16 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     shifted by the totals of the files before it.
     """
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
-    rows = spark.read.parquet(path).select("doc_id", part.alias("part"), "place", "ids").mapInArrow(_checksums, "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
+    files = spark.read.parquet(path)
+    rows = files.select("doc_id", part.alias("part"), "place", "ids").mapInArrow(_checksums, "doc_id long, part int, place long, n_tokens long, ids_crc32 long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row a file.
     shifts = read_metadata_parts(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("total")).select(
         "part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("shift"))
     inside = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     summed = rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    return summed.join(F.broadcast(shifts), "part").select("doc_id", (F.col("shift") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    if len(files.inputFiles()) <= BROADCAST_FILES:
+        shifts = F.broadcast(shifts)
+    return summed.join(shifts, "part").select("doc_id", (F.col("shift") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def read_metadata_parts(spark: SparkSession, path: str) -> DataFrame:
