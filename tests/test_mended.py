@@ -175,3 +175,17 @@ def test_plans_read_the_tables(spark):
         total, warm = totals[r.run_id], totals[r.run_id] // 10
         plain = r.step / max(1, warm) if r.step < warm else 0.5 * (1 + math.cos(math.pi * min(1, (r.step - warm) / max(1, total - warm))))
         assert abs(r.rate - plain) < 1e-6
+
+
+def test_numbered_by_blocks(spark):
+    """Packs and workers as one order of all items would give them, whatever the blocks; null keys come first."""
+    from turnlake.operators import storage as W
+
+    names = sorted(f"{k % 7}item{k:04d}" for k in range(200))
+    items = spark.createDataFrame([(n,) for n in names], "name string").repartition(5)
+    for block in (None, F.substring("name", 1, 1), F.lit(0)):
+        found = {r.name: (r.pack, r.worker) for r in W.round_robin(W.packed(items, "name", 3, 10, block), "name", 4, block).collect()}
+        assert found == {n: (k // 3, k % 4) for k, n in enumerate(names)}
+    odd = spark.createDataFrame([("b",), (None,), ("a",)], "name string")
+    assert [r["name"] for r in W.numbered(odd, "name", F.substring("name", 1, 8)).orderBy("place").collect()] == [None, "a", "b"]
+    assert W.packed(odd.limit(0), "name", 3, 10).count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import llm_cost, ratio, tts_cost
+from .storage import numbered
 
 
 def priced(calls: DataFrame) -> DataFrame:
@@ -68,15 +69,9 @@ def cumulative_cost(calls: DataFrame, span: int = 1 << 14, order: str = "id") ->
 def thinned(rows: DataFrame, order: str, points: int = 200, block: Column | None = None) -> DataFrame:
     """Every k-th row and the last, about `points` rows; no two rows share their place in the order.
 
-    Rows are counted by block, a value that never falls as the order rises (by default 16384 whole numbers), and
-    numbered within their block from the rows of the blocks before.
+    Rows are numbered by blocks of the order, by default of 16384 whole numbers.
     """
-    blocks = rows.withColumn("_block", F.floor(F.col(order) / (1 << 14)) if block is None else block)
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")).select(
-        "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    inner = F.row_number().over(Window.partitionBy("_block").orderBy(order))
-    placed = blocks.withColumn("_inner", inner).join(starts, "_block").withColumn("_place", F.col("_start") + F.col("_inner"))
+    placed = numbered(rows, order, F.floor(F.col(order) / (1 << 14)) if block is None else block, "_place", "_all")
     step = F.greatest(F.lit(1), F.floor(F.col("_all") / points))
     return placed.where((F.col("_place") % step == 0) | (F.col("_place") == F.col("_all"))).select(*rows.columns)
 

@@ -36,14 +36,34 @@ def bucket_path(name: Column, buckets: int = 200) -> Column:
     return F.format_string("bucket_%03d/%s", md5_mod(name, buckets), name)
 
 
-def packed(items: DataFrame, order: str, files_an_item: int, most_files: int) -> DataFrame:
-    """Adds pack: consecutive items whose files together stay within most_files. Items are listings, not records."""
+def numbered(rows: DataFrame, order: str, block: Column, place: str = "place", total: str | None = None) -> DataFrame:
+    """Adds each row's place in the order, from 1, and the number of all rows if total names a column for it.
+
+    block is a value that never falls as the order rises: rows are counted by block and numbered within theirs from
+    the rows of the blocks before, so that no task orders all rows.
+    """
+    blocks = rows.withColumn("_block", block)
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    inner = F.row_number().over(Window.partitionBy("_block").orderBy(order))
+    placed = blocks.withColumn("_inner", inner).join(starts.withColumnRenamed("_block", "_of"), F.col("_block").eqNullSafe(F.col("_of")))
+    found = placed.withColumn("_place", F.col("_start") + F.col("_inner"))
+    return found.select(*rows.columns, F.col("_place").alias(place), *([F.col("_all").alias(total)] if total else []))
+
+
+def packed(items: DataFrame, order: str, files_an_item: int, most_files: int, block: Column | None = None) -> DataFrame:
+    """Adds pack: consecutive items whose files together stay within most_files; numbered by blocks, by default of the first
+    eight characters of the order."""
     each = max(1, most_files // files_an_item)
-    return items.withColumn("pack", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / each))
+    placed = numbered(items, order, F.substring(order, 1, 8) if block is None else block, "_place")
+    return placed.withColumn("pack", F.floor((F.col("_place") - 1) / each)).drop("_place")
 
 
-def round_robin(items: DataFrame, order: str, n: int) -> DataFrame:
-    return items.withColumn("worker", ((F.row_number().over(Window.orderBy(order)) - 1) % n).cast("int"))
+def round_robin(items: DataFrame, order: str, n: int, block: Column | None = None) -> DataFrame:
+    """Adds worker: items dealt in turn, numbered by blocks as in packed."""
+    placed = numbered(items, order, F.substring(order, 1, 8) if block is None else block, "_place")
+    return placed.withColumn("worker", ((F.col("_place") - 1) % n).cast("int")).drop("_place")
 
 
 def joined_sidecars(scenarios: DataFrame, words: DataFrame, encoded: DataFrame, key: str) -> DataFrame:
