@@ -18,6 +18,20 @@ def test_a_row_of_weight_ten_counts_as_ten():
     assert np.allclose(fit_logistic(x, y), fit_logistic(x, y, np.ones(240)))
 
 
+@pytest.mark.parametrize("toxic, clean, odd", [(2.6, 23, 3), (260, 2300, 3), (1, 3, 0), (26, 230, 40)])
+def test_fit_ends_where_few_rows_overlap(toxic, clean, odd):
+    """Rows that are told apart but for a few: the fit ends, at the least loss, and finds the toxic ones."""
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.uniform(6.2, 9, 4000), np.zeros(4000 - odd), rng.uniform(3, 6.1, odd)])
+    y = np.repeat([1.0, 0.0], 4000)
+    weights = np.repeat([float(toxic), float(clean)], 4000)
+    slope, bias = fit_logistic(x, y, weights)
+    assert np.allclose(fit_logistic(x, y, weights, 201), (slope, bias))
+    score = 1 / (1 + np.exp(-(slope * x + bias)))
+    assert abs(weights @ (score - y) + 0.02 * bias) < 1e-3 * weights.sum() and slope > 0
+    assert np.mean(score[:4000] >= 0.7) > 0.95 and np.mean(score[4000:] >= 0.7) < 0.01
+
+
 def test_odds_are_those_of_all_labels(spark):
     """A sample of fewer clean rows than there are gives nearly the bias of all of them."""
     rng = random.Random(5)

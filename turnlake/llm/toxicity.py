@@ -260,15 +260,33 @@ def _densities(lexicon: Lexicon):
     return run
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, rounds: int = 60, ridge: float = 0.02) -> tuple[float, float]:
-    """Newton's method with a small ridge; a row of weight w counts as w rows."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, rounds: int = 200, ridge: float = 0.02) -> tuple[float, float]:
+    """Newton's method with a small ridge; a row of weight w counts as w rows.
+
+    Each step is halved until it lowers the loss enough, so that it ends at the least loss for rows that are, but for a
+    few, told apart wholly: there full steps swing from one side to the other.
+    """
     a = np.column_stack([x, np.ones_like(x)])
     many = np.ones_like(x) if weights is None else weights
+
+    def loss(w: np.ndarray) -> float:
+        z = a @ w
+        return float(many @ (np.logaddexp(0, z) - y * z) + ridge / 2 * (w @ w))
+
     w = np.zeros(2)
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (many * p * (1 - p))[:, None]).T @ a + ridge * np.eye(2)
-        w -= np.clip(np.linalg.solve(h, a.T @ (many * (p - y)) + ridge * w), -2, 2)
+        p = 1 / (1 + np.exp(-np.clip(a @ w, -700, 700)))
+        slopes = a.T @ (many * (p - y)) + ridge * w
+        step = np.linalg.solve((a * (many * p * (1 - p))[:, None]).T @ a + ridge * np.eye(2), slopes)
+        gain, part = float(slopes @ step), 1.0
+        if gain <= 1e-12 * (1 + now):
+            break
+        while part > 1e-9 and not (after := loss(w - part * step)) <= now - 1e-4 * part * gain:
+            part /= 2
+        if part <= 1e-9:
+            break
+        w, now = w - part * step, after
     return float(w[0]), float(w[1])
 
 
