@@ -38,3 +38,13 @@ def test_referee_against_its_sql(spark, tmp_path):
     key = lambda r: (r[0], r[1])
     want = found.execute(catalog.oracle_sql()["stream_referee"]).fetchall()
     assert sorted(map(tuple, streams.stream_referee(spark, str(tmp_path)).select("user_id", "event_id", "speaking").collect()), key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_batches_dont_grow_with_the_files_of_an_append(spark, parts):
+    rows = spark.read.parquet(f"{FOLDER}/events.parquet").select("user_id", "ts", "event_id").repartition(parts)
+    stream, _ = streams._arriving(spark, rows)
+    batches = []
+    out = V.shared_path(spark, "sizes")
+    stream.writeStream.option("checkpointLocation", out).trigger(availableNow=True).foreachBatch(lambda batch, k: batches.append(batch.count())).start().awaitTermination()
+    assert sum(batches) == 10_001 and len(batches) == 3
