@@ -26,16 +26,12 @@ from .vectors import LETTERS, groups_of, hashed_words
 
 HALF = 16  # words; a passage has two halves
 BUCKETS, RANK = 1 << 15, 128
-#: Documents that the latent space is fitted on, in expectation, chosen by hashed id. All passages are searched.
-SAMPLE_DOCS = 3000
 COSINE, COVERAGE, WITH_ANSWER, ANSWER = 0.6, 0.8, 0.6, 0.5
 #: Items of fewer words than HALF must be covered within half as many words again; of fewer than FEW, wholly.
 FEW = 8
-#: Items that the latent space is fitted on at most, chosen by hash, so that it is one space however many items there are.
-FIT_ITEMS = 20_000
 #: Items that are searched together; further ones are searched in blocks, in the same space.
 BLOCK_ITEMS = 20_000
-_STEP, ROWS_A_BLOCK = 192 << 10, 1024
+_STEP, FIT_STEP, ROWS_A_BLOCK = 192 << 10, 400 << 10, 1024
 #: Cosines that a task holds at once.
 CELLS = 4 << 20
 FOUND = "doc_id long, text_hash long, item_id long, coverage double, answer_coverage double, cosine double"
@@ -45,7 +41,7 @@ def buckets_of(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(49)).astype(np.int64)
 
 
-assert 1 << (64 - 49) == BUCKETS
+assert 1 << (64 - 49) == BUCKETS <= 1 << 16
 
 
 def halves_of(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,14 +118,27 @@ def projection(seed: int = 3, rank: int = RANK) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((BUCKETS, rank), dtype=np.float32)
 
 
+def sums_by_place(rows: np.ndarray, at: np.ndarray, begin: np.ndarray, few: int = 24) -> np.ndarray:
+    """Sums of rows[at] over the runs of `at` that start at begin: the first few of all runs together, the rest run by run."""
+    count = np.diff(np.append(begin, len(at)))
+    out = np.take(rows, at[begin], 0)
+    some = np.flatnonzero(count > 1)
+    for k in range(1, few):
+        out[some] += np.take(rows, at[begin[some] + k], 0)
+        some = some[count[some] > k + 1]
+    for j in some.tolist():
+        out[j] += np.take(rows, at[begin[j] + few:begin[j] + count[j]], 0).sum(0)
+    return out
+
+
 def _range_parts(idf: np.ndarray, rank: int, rows: int = ROWS_A_BLOCK):
     """Each task's share of A'(A Omega), A holding unit TF-IDF passages, as blocks of rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         omega, squares = with_zero(projection(rank=rank) * idf[:, None]), with_zero(idf ** 2)
-        total = np.zeros((BUCKETS, rank), np.float32)
+        total = np.zeros((BUCKETS, rank))
         count = 0
         for batch in batches:
-            for _, texts in groups_of(batch.column(0).to_pylist(), _STEP):
+            for _, texts in groups_of(batch.column(0).to_pylist(), FIT_STEP):
                 words, offsets = hashed_words(texts, LETTERS)
                 if not len(words):
                     continue
@@ -142,12 +151,12 @@ def _range_parts(idf: np.ndarray, rank: int, rows: int = ROWS_A_BLOCK):
                 back = along.copy()  # a half belongs to the passage that it begins and to the one before
                 same = text[1:] == text[:-1]
                 back[1:][same] += along[:-1][same]
-                order = np.argsort(at, kind="stable")
+                order = np.argsort(at.astype(np.uint16), kind="stable")
                 own = at[order]
                 begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                spread = back[np.repeat(np.arange(len(first)), last - first)[order]]
-                total[own[begin]] += np.add.reduceat(spread, begin, 0) * idf[own[begin]][:, None]
+                total[own[begin]] += sums_by_place(back, np.repeat(np.arange(len(first)), last - first)[order], begin)
                 count += len(first)
+        total = (total * idf[:, None]).astype(np.float32)
         n = BUCKETS // rows
         yield pa.RecordBatch.from_arrays([
             pa.array(np.arange(n, dtype=np.int32)), pa.array([count] + [0] * (n - 1), pa.int64()),
@@ -169,25 +178,32 @@ def unit_rows(buckets: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def latent_space(sample: DataFrame, pieces: list[np.ndarray], idf: np.ndarray, text_col: str, rank: int = RANK) -> np.ndarray:
-    """Right singular vectors (BUCKETS x rank) of the sample's passages and the benchmark's pieces, which
-    weigh as much as all passages together: so the space tells items apart.
+def range_of(texts: DataFrame, idf: np.ndarray, text_col: str, rank: int) -> tuple[np.ndarray, int]:
+    """(A'(A Omega), rows of A), A holding the passages of all texts.
 
-    The sample has a bounded number of rows and is dealt to few tasks, each of which sends one
-    BUCKETS x rank matrix to be summed; only the sum reaches the driver.
+    A task sends one BUCKETS x rank matrix to be summed, however many texts it has, so tasks read several partitions each:
+    twice as many tasks as run at once. Only the sum reaches the driver.
     """
-    parts = sample.select(text_col).repartition(6).mapInArrow(_range_parts(idf, rank), "block int, passages long, part binary")
-    blocks = parts.groupBy("block").applyInArrow(_sum_parts, "block int, passages long, part binary").collect()
-    y, passages = np.empty((BUCKETS, rank), np.float32), max(1, sum(r.passages for r in blocks))
-    y[:] = 0  # a sample without rows has no blocks
-    step = ROWS_A_BLOCK
-    for r in blocks:
+    schema = "block int, passages long, part binary"
+    tasks = 2 * texts.sparkSession.sparkContext.defaultParallelism
+    parts = texts.select(text_col).coalesce(tasks).mapInArrow(_range_parts(idf, rank), schema)
+    y, passages, step = np.zeros((BUCKETS, rank), np.float32), 0, ROWS_A_BLOCK  # texts without partitions have no blocks
+    for r in parts.groupBy("block").applyInArrow(_sum_parts, schema).collect():
         y[r.block * step:(r.block + 1) * step] = np.frombuffer(r.part, np.float32).reshape(-1, rank)
-    del blocks
+        passages += r.passages
+    return y, passages
+
+
+def latent_space(rows: DataFrame, items: DataFrame, idf: np.ndarray, text_col: str, rank: int = RANK) -> np.ndarray | None:
+    """Right singular vectors (BUCKETS x rank) of the passages of all rows and all items; the items' weigh as much as the
+    rows' together: so the space tells items apart. None if no item has words."""
+    more, pieces = range_of(items, idf, text_col, rank)
+    if not pieces:
+        return None
+    y, passages = range_of(rows, idf, text_col, rank)
+    y += np.float32(max(1, passages) / pieces) * more
+    del more
     omega = projection(rank=rank)
-    for i in range(0, len(pieces), 32):
-        rows = unit_rows(pieces[i:i + 32], idf)
-        y += np.float32(passages / len(pieces)) * (rows.T @ (rows @ omega))
     values, vectors = spectrum(omega, y)
     del omega
     half = y @ (vectors / np.sqrt(values)).astype(np.float32)
@@ -340,11 +356,11 @@ def _search(space, cosine: float):
 
 def leaking_rows(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", cosine: float = COSINE, sample_docs: int = SAMPLE_DOCS, rank: int = RANK, fit_items: int = FIT_ITEMS, block_items: int = BLOCK_ITEMS,
+    item_text_col: str = "text", cosine: float = COSINE, rank: int = RANK, fit_items: int | None = None, block_items: int = BLOCK_ITEMS,
 ) -> DataFrame:
     """find_leaks() with text_hash, xxhash64 of the text, beside doc_id: so rows that repeat an id are told apart.
 
-    The space is fitted once. Every item is searched in it, a bounded number of them at a time, which the driver holds and
+    The space is fitted once, on all passages of all documents and items (of fit_items of these, if a caller says so). Every item is searched in it, a bounded number of them at a time, which the driver holds and
     sends to the tasks; what is found doesn't depend on that number.
     """
     spark = docs.sparkSession
@@ -355,17 +371,15 @@ def leaking_rows(
     if not size:
         return spark.createDataFrame([], FOUND)
     idf = inverse_frequencies(rows, "text")
-    share = min(1.0, sample_docs / max(1, n_docs))
-    place = F.pmod(F.xxhash64("id", F.lit("leaks")), F.lit(1 << 20)) / float(1 << 20)
-    fitted = items_of(known if size <= fit_items else known.where(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")).orderBy(F.xxhash64("text"), "text", "item").limit(fit_items))
-    if not fitted.pieces:
+    fitted = known if fit_items is None or size <= fit_items else known.where(F.col("text").rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]")).orderBy(F.xxhash64("text"), "text", "item").limit(fit_items)
+    axes = latent_space(rows, fitted, idf, "text", rank)
+    if axes is None:
         return spark.createDataFrame([], FOUND)
-    axes = latent_space(rows.where(place < share), fitted.pieces, idf, "text", rank)
     vectors = with_zero(axes * idf[:, None])
     blocks = -(-size // block_items)
     scratch, out = Scratch(spark, "leaks"), None
     for block in range(blocks):
-        items = fitted if blocks == 1 and size <= fit_items else items_of(known.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block))
+        items = items_of(known if blocks == 1 else known.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block))
         if not items.pieces:
             continue
         targets = np.concatenate([unit_rows(items.pieces[i:i + 32], idf) @ axes for i in range(0, len(items.pieces), 32)])
