@@ -1,5 +1,6 @@
 """Voices by whole hashes, last lines, blanks, budgets, quantiles, moves, inventories and the nested report, by brute force."""
 
+import collections
 import glob
 import hashlib
 import json
@@ -108,6 +109,21 @@ def test_moves_and_reruns(spark, tmp_path):
     assert {os.path.basename(p): open(p).read() for p in glob.glob(f"{tmp_path}/out/*")} == {"1.words.json": "a", "2.words.json": "a/b", "3.words.json": "there"}
 
 
+def test_moves_list_by_tasks(spark, tmp_path):
+    """Files in many folders are listed by some tasks and not by one a folder, which took 4 ms a folder and more."""
+    rows = spark.range(600).select(F.concat(F.col("id") % 300, F.lit("/user_id="), F.col("id") % 450, F.lit(".json")).alias("name"), F.col("id").cast("string").alias("line"))
+    written = {r.name: r.lines for r in moves.write_lines(rows, f"file://{tmp_path}/in").collect()}
+    assert written == collections.Counter(r.name for r in rows.collect())
+    assert {k: sorted(open(f"{tmp_path}/in/{k}").read().split()) for k in written} == {k: sorted(r.line for r in rows.collect() if r.name == k) for k in written}
+    spark.sparkContext.setJobGroup("moves", "")
+    found = moves.moved_flat(spark, f"file://{tmp_path}/in", "*.json", f"file://{tmp_path}/out").collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    told = spark.sparkContext.statusTracker()
+    stages = [told.getStageInfo(s) for j in told.getJobIdsForGroup("moves") for s in told.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) < 100
+    assert len(found) == len(written) and sum(r.state == "moved" for r in found) == len({r.name for r in found}) == len(os.listdir(tmp_path / "out"))
+
+
 def test_inventory_with_sidecars(spark, tmp_path):
     car = lambda name, text: (tmp_path / f"{name}.words.json").write_text(text)
     for name, size in (("good", 500), ("small", 44), ("alone", 300), ("broken", 300), ("silent", 300), ("wordless", 300)):

@@ -245,12 +245,15 @@ def voices_filled(spark, d):
 
 @query("SELECT DISTINCT CAST(user_id AS VARCHAR) || '.json' AS name, 'moved' AS state FROM events")
 def files_moved(spark, d):
-    """A file a user, moved out of folders into one by tasks; moved again, none is."""
+    """A file a user, in folders by the user's hash, moved out of them into one by tasks; moved again, none is."""
     from ..sources import moves
     from ..streaming.live import shared_path
 
     path = shared_path(spark, "moves")
-    spark.read.parquet(f"{d}/events.parquet").select("user_id", "event_id", "value").repartition("user_id").write.partitionBy("user_id").json(f"{path}/in")
+    user = F.coalesce(F.col("user_id").cast("string"), F.lit("none"))
+    file = F.concat(F.pmod(F.crc32(user.cast("binary")), F.lit(200)).cast("string"), F.lit("/user_id="), user, F.lit(".json"))
+    events = spark.read.parquet(f"{d}/events.parquet").select(file.alias("name"), F.to_json(F.struct("event_id", "value")).alias("line"))
+    moves.write_lines(events, f"{path}/in").write.parquet(f"{path}/written")
     name = F.concat(F.regexp_extract("path", r"user_id=(\d+)", 1), F.lit(".json"))
     for k in range(2):
         moves.moved_flat(spark, f"{path}/in", "*.json", f"{path}/out", name).write.parquet(f"{path}/report{k}")
