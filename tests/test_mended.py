@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnlake.functions.exprs import blank, md5_mod, script_ok
-from turnlake.operators import audits, evaluation, publishing, quality, storage
+from turnlake.operators import audits, evaluation, frames, publishing, quality, storage, vad
 from turnlake.sources import codec, moves
 
 
@@ -124,6 +124,20 @@ def test_moves_list_by_tasks(spark, tmp_path):
     assert len(found) == len(written) and sum(r.state == "moved" for r in found) == len({r.name for r in found}) == len(os.listdir(tmp_path / "out"))
 
 
+def test_tracks_in_a_row(spark):
+    """Tracks from a clip's energy as one array are those of windows over its frames, which took six shuffles of all frames."""
+    rng = random.Random(7)
+    clips = [[rng.choice([0.0, 0.1, 3.0, 4.0, 5.5, rng.uniform(0, 9)]) * (0.05 if c % 9 == 0 else 1) for _ in range(rng.randrange(1, 60))] for c in range(120)]
+    rows = spark.createDataFrame([(c, f, e) for c, x in enumerate(clips) for f, e in enumerate(x)], "clip int, frame int, e double")
+    wanted = {(r.clip, r.frame): r.speaking for r in vad.smoothed(vad.hysteresis(rows)).collect()}
+    whole = spark.createDataFrame(list(enumerate(clips)), "clip int, e array<double>").select("clip", vad.heard_track(F.col("e")).alias("track"))
+    assert {(r.clip, f): v for r in whole.collect() for f, v in enumerate(r.track)} == wanted
+    sized = spark.createDataFrame([(c, len(x), len(x)) for c, x in enumerate(clips)], "clip int, num_frames int, audio_frames int")
+    plan = frames.with_track(sized, rows, "clip")
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Window") == 0
+    assert {(r.clip, f): v for r in plan.collect() for f, v in enumerate(r.vad)} == wanted
+
+
 def test_inventory_with_sidecars(spark, tmp_path):
     car = lambda name, text: (tmp_path / f"{name}.words.json").write_text(text)
     for name, size in (("good", 500), ("small", 44), ("alone", 300), ("broken", 300), ("silent", 300), ("wordless", 300)):

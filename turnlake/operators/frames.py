@@ -137,12 +137,12 @@ def spoken_spans(clips: DataFrame) -> DataFrame:
 def with_track(clips: DataFrame, energy: DataFrame, key: str = "scenario_id") -> DataFrame:
     """Adds vad, 1 where the user speaks: by the energy (key, frame, e) of the clip's first num_frames frames,
     else through the audio's frames; 0 after."""
-    heard = energy.join(clips.select(key, "num_frames"), key).where("frame < num_frames").select(key, "frame", "e")
-    track = vad.smoothed(vad.hysteresis(heard, clip=key), clip=key)
-    tracks = track.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "speaking"))), lambda x: x["speaking"]).alias("_heard"))
+    heard = energy.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("frame", F.col("e").cast("double").alias("e")))).alias("_heard"))
     n = F.col("num_frames").cast("int")
+    within = F.filter("_heard", lambda x: x["frame"] < F.col("num_frames"))
+    track = F.when(F.size(within) > 0, vad.heard_track(F.transform(within, lambda x: x["e"])))
     guessed = F.array_repeat(F.lit(1), F.least(F.col("audio_frames"), F.col("num_frames")).cast("int"))
-    return clips.join(tracks, key, "left").withColumn("vad", fitted(F.coalesce("_heard", guessed), n, F.lit(0))).drop("_heard")
+    return clips.join(heard, key, "left").withColumn("vad", fitted(F.coalesce(track, guessed), n, F.lit(0))).drop("_heard")
 
 
 def frame_records(clips: DataFrame, energy: DataFrame, encoded_path: Column | None = None) -> DataFrame:
@@ -157,7 +157,8 @@ def frame_records(clips: DataFrame, energy: DataFrame, encoded_path: Column | No
 
 def vap_targets(track: Column, horizon: int = LOOKAHEAD) -> Column:
     """For each frame of a track the next horizon frames, 0 beyond the end."""
-    return F.transform(track, lambda _, t: fitted(F.slice(track, t + 2, F.lit(horizon)), F.lit(horizon), F.lit(0)))
+    padded = F.array(F.concat(track, F.array_repeat(F.lit(0), horizon)))  # once, not frame by frame
+    return F.get(F.transform(padded, lambda p: F.transform(track, lambda _, t: F.slice(p, t + 2, F.lit(horizon)))), F.lit(0))
 
 
 def track_of(recorded: Column, heard: Column, length: Column) -> Column:

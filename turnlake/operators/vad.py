@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ON, OFF, LEAST_GAP, LEAST_RUN = 0.45, 0.30, 3, 2
@@ -37,6 +37,43 @@ def smoothed(track: DataFrame, clip: str = "clip", frame: str = "frame", value:
     return flipped_runs(flipped_runs(track, clip, frame, value, 0, LEAST_GAP), clip, frame, value, 1, LEAST_RUN)
 
 
+def _held(value: Column, body) -> Column:
+    """body of a value that is worked out once, whatever lambdas it stands in."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _quantile(ordered: Column, share: float) -> Column:
+    """As percentile() has it, of an array in order."""
+    at = (F.size(ordered) - 1) * F.lit(share)
+    low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+    a, b = F.get(ordered, low), F.get(ordered, high)
+    return F.when(a == b, a).otherwise((high - at) * a + (at - low) * b)
+
+
+def heard_track(energy: Column, on: float = ON, off: float = OFF, least_gap: int = LEAST_GAP, least_run: int = LEAST_RUN) -> Column:
+    """hysteresis() and smoothed() of a clip's energy as one array in the order of frames: an array of 0 and 1.
+
+    Frames are a text of a sign each, which is worked on run by run: linear in the frames, and none is shuffled.
+    """
+    values = F.transform(energy, lambda x: x.cast("double"))
+
+    def signs(v: Column, bounds: Column) -> Column:
+        floor, span = bounds["floor"], bounds["peak"] - bounds["floor"]
+        sign = lambda x: F.when(span < 1, "1").when(x > floor + on * span, "1").when(x <= floor + off * span, "0").otherwise("?")
+        return F.array_join(F.transform(v, sign), "")
+
+    def bounds(v: Column) -> Column:
+        ordered = F.array_sort(F.filter(v, lambda x: x.isNotNull()))
+        return _held(ordered, lambda o: F.struct(_quantile(o, 0.05).alias("floor"), _quantile(o, 0.95).alias("peak")))
+
+    text = _held(values, lambda v: _held(bounds(v), lambda b: signs(v, b)))
+    text = F.translate(F.regexp_replace(text, r"(?:(?<=1)|(?<!^)\G)\?", "1"), "?", "0")  # the last decision holds, at first 0
+    for of, to, least in (("0", "1", least_gap), ("1", "0", least_run)):
+        for n in range(1, least):
+            text = F.regexp_replace(text, f"(?<!{of}){of * n}(?!{of})", to * n)
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: c.cast("int"))
+
+
 def frame_energy(samples: DataFrame, clip: str = "clip", place: str = "i", value: str = "x", block: int = 1920) -> DataFrame:
     """(clip, frame, energy): log root mean square of each block of samples; a short block counts as filled up with 0."""
     frames = samples.groupBy(clip, F.floor(F.col(place) / block).cast("int").alias("frame")).agg((F.sum(F.col(value) * F.col(value)) / block).alias("power"))
