@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh
+from .common import Scratch, fresh, released
 from .vectors import LETTERS, groups_of, hashed_words
 
 HALF = 16  # words; a passage has two halves
@@ -191,6 +191,7 @@ def range_of(texts: DataFrame, idf: np.ndarray, text_col: str, rank: int) -> tup
     for r in parts.groupBy("block").applyInArrow(_sum_parts, schema).collect():
         y[r.block * step:(r.block + 1) * step] = np.frombuffer(r.part, np.float32).reshape(-1, rank)
         passages += r.passages
+    released(texts.sparkSession)  # of several copies of the sum, as Spark hands it over
     return y, passages
 
 
