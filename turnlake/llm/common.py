@@ -44,12 +44,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def released(spark: SparkSession) -> None:
-    """Lets the driver's JVM collect its garbage: Spark then clears the shuffle files of plans that nothing refers to any
-    more, and the heap shrinks to what is in use. Else, over many plans, both grow up to their limit first."""
-    spark.sparkContext._jvm.System.gc()
-
-
 class Scratch:
     """Tables in a folder of their own in the shared folder, for loops that cut their lineage each round."""
 
@@ -61,7 +55,6 @@ class Scratch:
         self.number += 1
         path = f"{self.folder}/{self.number}"
         df.write.parquet(path)
-        released(self.spark)  # the plan ends here
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
